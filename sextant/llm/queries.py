@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
+from sextant.llm.bpe_codec import op10_bpe_codec
+from sextant.llm.media import op2_media_columns
+from sextant.llm.minhash_dedup import op6_minhash_near_dedup
+from sextant.llm.mixing import op4_mix_sources
 from sextant.llm.suffix_dedup import op3_suffix_dedup
 
-QUERIES = {"op3_suffix_dedup": op3_suffix_dedup}
+QUERIES = {
+    "op2_media_columns": op2_media_columns,
+    "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_mix_sources": op4_mix_sources,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op10_bpe_codec": op10_bpe_codec,
+}
 ORACLE_SQL: dict[str, str] = {}
