@@ -120,7 +120,7 @@ def _scan(width: int):
             zero = np.zeros(len(notice), np.int64)
             yield _batch(gram[notice], np.full(len(notice), NOTICE), zero.view(U), zero, zero, zero)
             yield _batch(gram[own], np.full(own.sum(), BLOCK), name[own], doc[own], start[own], n[own])
-            yield _batch(name[fought], np.full(fought.sum(), CONTESTED), name[fought], doc[fought], start[fought], n[fought])
+            yield _batch(name[fought], np.full(fought.sum(), CONTESTED), gram[fought], doc[fought], start[fought], n[fought])
             gone = np.flatnonzero(later)
             gone = gone[np.lexsort((start[gone], doc[gone]))]
             d, s, k = _merged(doc[gone], start[gone], n[gone])
@@ -154,13 +154,14 @@ def _rank_blocks(batches):
         new[1:] = key[1:] != key[:-1]
         group = np.cumsum(new) - 1
         block = kind == BLOCK
-        first = block.copy()
+        text = block | (kind == CONTESTED)
+        first = text.copy()
         first[1:] &= new[1:] | (kind[1:] != kind[:-1]) | (name[1:] != name[:-1])
-        fought = (np.bincount(group, weights=first) > 1) | (np.bincount(group, weights=(kind == NOTICE)) > 0)
+        fought = (np.bincount(group, weights=first & block) > 1) | (np.bincount(group, weights=(kind == NOTICE)) > 0)
         lead = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
-        later = block & ~first & ((doc != doc[lead]) | (start != start[lead]))
+        later = text & ~first & ((doc != doc[lead]) | (start != start[lead]))
         out = np.full(len(key), -1, np.int8)
-        out[(kind == CONTESTED) | (first & fought[group])] = CONTESTED
+        out[first & ((kind == CONTESTED) | fought[group])] = CONTESTED
         out[(kind == GONE) | later] = GONE
         k = out >= 0
         return _batch(key[k], out[k], name[k], doc[k], start[k], n[k])
