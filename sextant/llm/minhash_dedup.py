@@ -9,10 +9,11 @@
 3. Classes that meet in a prefix form blocks (connected components of class to smallest class of the
    posting). A block is dealt into cells of about CELL classes by a hash. In a cell, collisions
    are counted, pairs of MATCHES or more are confirmed on full sets; pairs already connected are passed over.
-4. Blocks of several cells are dealt again in RESHUFFLES other ways, which joins up large groups;
-   then each class outside the block's largest component is compared with all cells. After that no
-   pair of classes in a block is both unconnected and uncompared, at no time do all pairs of a
-   group exist as rows, and no cell outgrows its bound.
+4. Blocks of several cells are dealt in DEALS ways, once by the smallest class met, then at random, which
+   joins up large groups. After that each class outside the block's largest component is compared with
+   all cells in which a class shares one of its prefix tokens. Then no pair of classes that meet
+   in a prefix is both unconnected and uncompared; at no time do all pairs of a group exist as
+   rows, and no cell outgrows its bound.
 
 Nulls and empty tables: null or wordless texts have no set (n_shingles 0) and no link; a null doc_id
 counts as the largest and comes back as null. Rows that share a doc_id are one node. Only doc_id
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from sextant.llm import bytescan as bs
 from sextant.llm.shared import connected_components, materialize
 
-COORDS, MATCHES, CELL, CELL_BYTES, RESHUFFLES = 32, 12, 128, 32 << 20, 2
+COORDS, MATCHES, CELL, CELL_BYTES, DEALS = 32, 12, 128, 32 << 20, 3
 U = np.uint64
 LAST = np.iinfo(np.int64).max
 
@@ -145,14 +146,14 @@ def _link_cell(nodes, comps, query, sets, tokens, percent: int) -> list[tuple[in
     """Links between the classes of a cell; where some are queries, between a query and any other."""
     links, size = _Links(nodes, comps), len(nodes)
     some = bool(query.any())
+    others = np.flatnonzero(~query) if some else np.arange(size)
     for x in np.flatnonzero(query) if some else range(size):
-        others = np.arange(size) if some else np.arange(x + 1, size)
-        same = np.zeros(len(others), np.int32)
-        for k in range(COORDS):  # collisions by coordinate
-            same += tokens[others, k] == tokens[x, k]
-        for y in others[np.argsort(-same, kind="stable")][: int(np.count_nonzero(same >= MATCHES))]:
-            if links.top(int(x)) != links.top(int(y)) and _near(sets[x], sets[y], percent):
-                links.join(int(x), int(y))
+        near = others if some else others[x + 1 :]
+        same = np.count_nonzero(tokens[near] == tokens[x], axis=1)  # collisions by coordinate
+        keep = np.flatnonzero(same >= MATCHES)
+        for y in near[keep[np.argsort(-same[keep], kind="stable")]].tolist():
+            if links.top(x) != links.top(y) and _near(sets[x], sets[y], percent):
+                links.join(x, y)
     return links.found
 
 
@@ -221,37 +222,36 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     kept = materialize(kept.select("rep", F.transform(head, lambda p: p["token"]).alias("tokens")))
     posted = kept.select("rep", F.explode("tokens").alias("token"))
     leads = posted.groupBy("token").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("posts")).where("posts > 1")
-    meets = posted.join(leads, "token").where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b"))
-    blocks = connected_components(meets)
+    meets = materialize(posted.join(leads, "token").groupBy("rep", "lead").count().drop("count"))
+    blocks = connected_components(meets.select(F.col("rep").alias("a"), F.col("lead").alias("b")))
 
     sizes = signed.groupBy(F.col("doc").alias("node")).agg(F.max("bytes").alias("bytes"))
     placed = blocks.select("node", F.col("root").alias("block")).join(sizes, "node")
     spread = placed.groupBy("block").agg(F.count(F.lit(1)).alias("size"), F.sum("bytes").alias("bytes"))
     spread = spread.select("block", F.greatest(F.ceil(F.col("size") / CELL), F.ceil(F.col("bytes") / CELL_BYTES)).cast("int").alias("cells"))
-    placed = materialize(placed.select(F.col("node").alias("rep"), "block").join(spread, "block"))
+    leading = meets.groupBy(F.col("rep").alias("node")).agg(F.min("lead").alias("lead"))
+    placed = materialize(placed.join(spread, "block").join(leading, "node").withColumnRenamed("node", "rep"))
     body = texts.withColumn("rep", F.coalesce("doc_id", F.lit(LAST))).select("rep", "text")
-    body = placed.hint("shuffle_hash").join(body, "rep").withColumn("query", F.lit(False))
-    cell = lambda seed: F.pmod(F.xxhash64("rep", F.lit(seed)), F.col("cells")).cast("int")
-    large = materialize(body.where("cells > 1"))
-    small = body.where("cells = 1").withColumns({"cell": F.lit(0), "comp": F.col("rep")})
-    links = materialize(_dealt(small, parts, words, percent))
+    body = materialize(placed.hint("shuffle_hash").join(body, "rep"))
+    at = lambda key, seed: F.pmod(F.xxhash64(key, F.lit(seed)), F.col("cells")).cast("int")
+    # no way of dealing shares a cell with another
+    ways = F.when(F.col("cells") == 1, F.array(F.lit(0))).otherwise(F.array(at("lead", 0), *(F.col("cells") * k + at("rep", k) for k in range(1, DEALS))))
+    links = materialize(_dealt(body.withColumns({"cell": F.explode(ways), "comp": F.col("rep"), "query": F.lit(False)}), parts, words, percent))
+    large = placed.where("cells > 1")
     if not large.isEmpty():
-        grown = None
-        comp = large.select("rep").distinct().withColumn("comp", F.col("rep"))
-        for seed in range(1 + RESHUFFLES):
-            more = materialize(_dealt(large.join(comp.hint("shuffle_hash"), "rep").withColumn("cell", cell(seed)), parts, words, percent))
-            grown = more if grown is None else grown.unionAll(more)
-            comp = large.select("rep").distinct().join(connected_components(grown).withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("root", "rep").alias("comp"))
-        comp = materialize(comp.join(large.select("rep", "block").distinct(), "rep"))
-        sized = comp.groupBy("block", "comp").agg(F.count(F.lit(1)).alias("size"))
-        main = sized.groupBy("block").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"))
-        marked = large.drop("query").join(comp.select("rep", "comp").hint("shuffle_hash"), "rep").join(main, "block").withColumn("query", F.col("comp") != F.col("main"))
-        marked = materialize(marked)
-        everywhere = marked.where("query").withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-        there = marked.withColumn("query", F.lit(False)).withColumn("cell", cell(0))
-        asked = there.join(marked.where("query").select("block").distinct(), "block", "left_semi")
-        last = _dealt(everywhere.unionByName(asked), parts, words, percent)
-        links = links.unionAll(grown).unionAll(materialize(last))
+        found = connected_components(links)
+        comp = materialize(large.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "block", "cells", F.coalesce("root", "rep").alias("comp")))
+        main = comp.groupBy("block", "comp").count().groupBy("block").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
+        marked = materialize(comp.join(main, "block").select("rep", "cells", "comp", (F.col("comp") != F.col("main")).alias("query")))
+        spots = posted.join(marked, "rep").select("rep", "token", "query", at("rep", 1).alias("cell"))
+        homes = spots.groupBy("token").agg(F.collect_set("cell").alias("homes"))
+        ask = spots.where("query").select("rep", "token").join(homes, "token").groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("homes"))).alias("homes"))
+        text = body.where("cells > 1").select("rep", "block", "text")
+        asked = text.join(marked.where("query").select("rep", "comp", "query"), "rep").join(ask, "rep").withColumn("cell", F.explode("homes")).drop("homes")
+        there = text.join(marked.select("rep", "cells", "comp"), "rep").withColumns({"query": F.lit(False), "cell": at("rep", 1)}).drop("cells")
+        needed = asked.select("block", "cell").distinct()
+        last = _dealt(asked.unionByName(there.join(needed, ["block", "cell"], "left_semi")), parts, words, percent)
+        links = links.unionAll(materialize(last))
     roots = connected_components(links)
     joined = member.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("doc", "n", "rep", F.coalesce("root", "rep").alias("root"))
     alone = signed.where("n = 0").select("doc", "n", F.col("doc").alias("rep"), F.col("doc").alias("root"))

@@ -21,12 +21,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, files: int = 0) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: lineage ends there,
     so a lost executor costs the tasks it ran and not the steps before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sextant/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
@@ -57,22 +57,22 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     live = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
     live = materialize(live.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    label = None
+    steps = []
     for _ in range(rounds):
         if live.isEmpty():
             break
         both = live.unionAll(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("to")))
-        if label is None:
-            label = step.select("node", F.col("to").alias("root"))
-        else:
-            moved = step.select(F.col("node").alias("root"), "to")
-            label = materialize(label.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+        steps.append(step)
         ta, tb = step.select(F.col("node").alias("a"), F.col("to").alias("ta")), step.select(F.col("node").alias("b"), F.col("to").alias("tb"))
         live = live.join(ta, "a").join(tb, "b").where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"))
         live = materialize(live.distinct())
     else:
         raise RuntimeError("components did not settle")
-    if label is None:
+    if not steps:
         return live.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return label
+    label = steps[0].select("node", F.col("to").alias("root"))
+    for step in steps[1:]:
+        moved = step.select(F.col("node").alias("root"), "to")
+        label = label.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return materialize(label)
