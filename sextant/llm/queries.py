@@ -3,16 +3,26 @@
 from __future__ import annotations
 
 from sextant.llm.bpe_codec import op10_bpe_codec
+from sextant.llm.chat_format import op7_chat_tool_links
+from sextant.llm.fingerprints import op9_fingerprints
+from sextant.llm.license_scan import op5_license_scan
 from sextant.llm.media import op2_media_columns
 from sextant.llm.minhash_dedup import op6_minhash_near_dedup
 from sextant.llm.mixing import op4_mix_sources
+from sextant.llm.quality import op1_quality_rules
 from sextant.llm.suffix_dedup import op3_suffix_dedup
+from sextant.llm.toxicity import op8_toxicity
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_media_columns": op2_media_columns,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_mix_sources": op4_mix_sources,
+    "op5_license_scan": op5_license_scan,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_chat_tool_links": op7_chat_tool_links,
+    "op8_toxicity": op8_toxicity,
+    "op9_fingerprints": op9_fingerprints,
     "op10_bpe_codec": op10_bpe_codec,
 }
 ORACLE_SQL: dict[str, str] = {}

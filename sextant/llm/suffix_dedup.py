@@ -240,8 +240,8 @@ def _covered(start: np.ndarray, n: np.ndarray, width: int) -> tuple[np.ndarray,
     return a[at], far[np.append(at[1:], len(a)) - 1]
 
 
-def removed_spans(documents: DataFrame, threshold: int = 100) -> DataFrame:
-    """documents(doc_id, text) -> (doc_id, text, spots array<struct<start, n>>): runs of n window
+def removed_spans(documents: DataFrame, threshold: int = 100, extra: list[str] | None = None) -> DataFrame:
+    """documents(doc_id, text) -> (doc_id, text, spots array<struct<start, n>>, extra columns): runs of n window
     starts whose string of `threshold` bytes starts earlier too. spots is null where there are none."""
     if threshold < GRAM + 2 or threshold % 2:
         raise ValueError(f"threshold must be even and at least {GRAM + 2}")
@@ -258,12 +258,14 @@ def removed_spans(documents: DataFrame, threshold: int = 100) -> DataFrame:
     second = second.repartition(parts, "key").sortWithinPartitions(*sort).mapInArrow(_rank_pairs, PLACES_SQL)
     second = materialize(second.select("doc", "start", "n"))
     gone = first.where(F.col("kind") == GONE).select("doc", "start", "n").unionAll(second).groupBy("doc").agg(F.collect_list(spot).alias("spots"))
-    return keyed.join(gone.hint("shuffle_hash"), "doc", "left").select("doc_id", "text", "spots")
+    if extra:  # beside the text, under names that can't clash
+        keyed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*extra).alias("extra")).withColumn("doc", F.coalesce("doc_id", F.lit(LAST)))
+    return keyed.join(gone.hint("shuffle_hash"), "doc", "left").drop("doc")
 
 
-def _cleaned(width: int):
+def _cleaned(width: int, extra: bool):
     def clean(batches):
-        for ids, text, spots in bs.arrow_batches(batches, ["doc_id", "text", "spots"]):
+        for ids, text, spots, *more in bs.arrow_batches(batches, ["doc_id", "text", "spots", *["extra"] * extra]):
             data, offsets = bs.buffers(text)
             lists = spots.offsets.to_numpy()
             start, n = spots.values.field("start").to_numpy(), spots.values.field("n").to_numpy().astype(np.int64)
@@ -279,19 +281,25 @@ def _cleaned(width: int):
                     kept = bytes(body)
                 for name, value in zip(out, (len(body), int((b - a).sum()), len(a), kept, hashlib.sha256(kept).hexdigest()), strict=True):
                     out[name].append(value)
-            yield pa.RecordBatch.from_arrays([ids, *map(pa.array, (out["n_bytes"], out["n_removed"], out["n_spans"])), pa.array(out["kept"], pa.binary()), pa.array(out["kept_sha256"], pa.string())], names=["doc_id", *out])
+            columns = [ids, *map(pa.array, (out["n_bytes"], out["n_removed"], out["n_spans"])), pa.array(out["kept"], pa.binary()), pa.array(out["kept_sha256"], pa.string())]
+            yield pa.RecordBatch.from_arrays([*columns, *more], names=["doc_id", *out, *["extra"] * len(more)])
 
     return clean
 
 
-def suffix_dedup(documents: DataFrame, threshold: int = 100) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept binary, kept_sha256), one row per document row.
+def suffix_dedup(documents: DataFrame, threshold: int = 100, extra: list[str] | None = None) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept binary, kept_sha256, and the columns named in extra), one row per document row.
 
-    Nulls: text counts as empty, doc_id as the last. Empty tables give empty results. Only doc_id and
-    text are read, so other columns may have any name. kept are the remaining bytes; a cut may split a
-    character, so decode with errors="replace".
+    Nulls: text counts as empty, doc_id as the last. Empty tables give empty results. Only doc_id,
+    text and extra are read, so other columns may have any name. kept are the remaining bytes; a cut may
+    split a character, so decode with errors="replace".
     """
-    return removed_spans(documents, threshold).mapInArrow(_cleaned(threshold), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    spans = removed_spans(documents, threshold, extra)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
+    if not extra:
+        return spans.mapInArrow(_cleaned(threshold, False), schema)
+    found = spans.mapInArrow(_cleaned(threshold, True), f"{schema}, extra {spans.schema['extra'].dataType.simpleString()}")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "extra.*")
 
 
 def op3_suffix_dedup(spark, sf_dir):
