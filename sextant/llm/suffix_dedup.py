@@ -11,8 +11,8 @@ ranked by ever longer prefixes, and leave as soon as their rank is unique:
    each of threshold / 2 bytes, which reaches the threshold. Spark sorts the pairs with their
    positions; all but the first of equal pairs go.
 
-Ranks are named by 64-bit hashes (pairs: 128 bits), so that a round takes one exchange and no global
-renumbering. What a task knows by itself leaves at once: later copies within a task are decided
+Ranks are named by hashes, so that a round takes one exchange and no global
+renumbering (blocks: 64 bits for the anchor and 64 for the block; pairs: 96 bits of both halves). What a task knows by itself leaves at once: later copies within a task are decided
 there, so a hot passage sends one row per task and not one per copy.
 
 Order is (doc_id, start); a null doc_id stands last. Rows with the same doc_id count as the same
@@ -36,8 +36,9 @@ from sextant.llm.shared import materialize
 GRAM = 32
 U = np.uint64
 NOTICE, BLOCK, CONTESTED, GONE = 0, 1, 2, 3
-PLACES = pa.schema([("key", pa.int64()), ("kind", pa.int8()), ("name", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("n", pa.int32())])
-PLACES_SQL = "key long, kind byte, name long, doc long, start long, n int"
+COLUMNS = ["key", "name", "doc", "start", "kind", "n"]  # what varies stands together, which packs better in an exchange
+PLACES_SQL = "key long, name long, doc long, start long, kind byte, n int"
+PAIRS_SQL = PLACES_SQL.replace("name long", "name int")
 LAST = np.iinfo(np.int64).max
 
 
@@ -46,8 +47,9 @@ def _docs(column) -> np.ndarray:
 
 
 def _batch(key, kind, name, doc, start, n) -> pa.RecordBatch:
-    as_long = lambda x: np.ascontiguousarray(x).view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(as_long(key)), pa.array(np.asarray(kind, np.int8)), pa.array(as_long(name)), pa.array(doc), pa.array(start), pa.array(n.astype(np.int32))], schema=PLACES)
+    as_signed = lambda x: np.ascontiguousarray(x).view(np.int32 if x.itemsize == 4 else np.int64)
+    columns = [as_signed(key), as_signed(name), doc.astype(np.int64), start.astype(np.int64), np.asarray(kind, np.int8), n.astype(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=COLUMNS)
 
 
 def _blocks(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, width: int):
@@ -133,7 +135,7 @@ def _grouped(batches, decide):
     """decide() over whole groups of `key`; batches come sorted by it. An unfinished group waits for the next batch."""
     rest = None
     for batch in batches:
-        table = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
+        table = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(len(COLUMNS))]
         if rest is not None:
             table = [np.concatenate(x) for x in zip(rest, table, strict=True)]
         if not len(table[0]):
@@ -149,7 +151,7 @@ def _grouped(batches, decide):
 def _rank_blocks(batches):
     """Sorted by (key, kind, name, doc, start): contested blocks, and those that go."""
 
-    def decide(key, kind, name, doc, start, n):
+    def decide(key, name, doc, start, kind, n):
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
         group = np.cumsum(new) - 1
@@ -172,7 +174,7 @@ def _rank_blocks(batches):
 def _rank_pairs(batches):
     """Sorted by (key, kind, name, doc, start), rows of windows: those that go."""
 
-    def decide(key, kind, name, doc, start, n):
+    def decide(key, name, doc, start, kind, n):
         window = kind == BLOCK
         first = window.copy()
         first[1:] &= (key[1:] != key[:-1]) | (name[1:] != name[:-1]) | (kind[1:] != kind[:-1])
@@ -212,6 +214,8 @@ def _pairs(width: int):
             if width % 2:  # the halves leave out the middle byte
                 middle = [int(data[offsets[np.searchsorted(docs, d)] + p + half]) for d, p in zip(doc, at, strict=True)]
                 key = bs.mix(key ^ np.array(middle, U))
+            # a pair's key is spread over all bits, so that a left half with many right halves doesn't meet in one task
+            key, name = bs.mix(key ^ bs.mix(name ^ U(0x6A09E667F3BCC909))), (name >> U(32)).astype(np.uint32)
             order = np.lexsort((at, doc, name, key))
             key, name, doc, at = key[order], name[order], doc[order], at[order]
             first = np.ones(len(key), bool)
@@ -222,7 +226,7 @@ def _pairs(width: int):
             yield _batch(key[first], np.full(len(one), BLOCK), name[first], doc[first], at[first], one)
             gone = gone[np.lexsort((at[gone], doc[gone]))]
             d, s, k = _merged(doc[gone], at[gone], np.ones(len(gone), np.int64))
-            yield _batch(bs.mix(d.astype(U) ^ s.astype(U)), np.full(len(d), GONE), d.view(U), d, s, k)
+            yield _batch(bs.mix(d.astype(U) ^ s.astype(U)), np.full(len(d), GONE), np.zeros(len(d), np.uint32), d, s, k)
 
     return pairs
 
@@ -254,8 +258,8 @@ def removed_spans(documents: DataFrame, threshold: int = 100, extra: list[str] |
     spot = F.struct("start", "n")
     fought = first.where(F.col("kind") == CONTESTED).groupBy("doc").agg(F.collect_list(spot).alias("spots"))
     keyed = texts.withColumn("doc", F.coalesce("doc_id", F.lit(LAST)))
-    second = keyed.join(fought.hint("shuffle_hash"), "doc").select("doc_id", "text", "spots").mapInArrow(_pairs(threshold), PLACES_SQL)
-    second = second.repartition(parts, "key").sortWithinPartitions(*sort).mapInArrow(_rank_pairs, PLACES_SQL)
+    second = keyed.join(fought.hint("shuffle_hash"), "doc").select("doc_id", "text", "spots").mapInArrow(_pairs(threshold), PAIRS_SQL)
+    second = second.repartition(parts, "key").sortWithinPartitions(*sort).mapInArrow(_rank_pairs, PAIRS_SQL)
     second = materialize(second.select("doc", "start", "n"))
     gone = first.where(F.col("kind") == GONE).select("doc", "start", "n").unionAll(second).groupBy("doc").agg(F.collect_list(spot).alias("spots"))
     if extra:  # beside the text, under names that can't clash
