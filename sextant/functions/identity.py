@@ -8,6 +8,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def short_id(prefix: str, *parts: Column) -> Column:
@@ -62,7 +63,7 @@ def canonical(value: object) -> str:
     return "{" + ",".join(f"{canonical(k)}:{canonical(v)}" for k, v in members) + "}"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_json(text: pd.Series) -> pd.Series:
     """Null for null and for what is no JSON. Number and string forms differ from to_json, hence Python."""
     def one(t: str | None) -> str | None:

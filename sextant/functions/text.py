@@ -188,7 +188,7 @@ def without_latex(text: Column) -> Column:
         (r"\\(?:textbf|textit|emph|texttt|underline|mathrm|text|section|subsection|subsubsection|paragraph|caption|footnote)\*?" + arg, "$1"),
         (r"\\(?:includegraphics|input|include|usepackage|documentclass)(?:\[[^\]]*\])*" + arg, ""), (r"\\item\b", "- "), (r"\\\\", " "), (r"~", " "), (r"\\([%&#_$])", "$1"), (r"\\[a-zA-Z]+\*?(?:\[[^\]]*\])?", ""), (r"[{}]", ""), (r"[ \t]+", " "),
     ]
-    return F.trim(reduce(lambda t, r: F.regexp_replace(t, r[0], r[1]), rules, text))
+    return F.regexp_replace(reduce(lambda t, r: F.regexp_replace(t, r[0], r[1]), rules, text), r"^\s+|\s+$", "")
 
 
 def latex_body(text: Column) -> Column:

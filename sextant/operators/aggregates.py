@@ -26,9 +26,9 @@ def safe(amount: Column) -> Column:
     return F.when(~F.isnan(amount), amount)
 
 
-def costs(rows: DataFrame, by: list[str], amount: str) -> DataFrame:
+def costs(rows: DataFrame, by: list[str], amount: str, digits: int = 2) -> DataFrame:
     value = safe(F.col(amount))
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("calls"), F.round(F.coalesce(F.sum(value), F.lit(0.0)), 4).alias("total"), F.round(F.avg(value), 2).alias("mean"))
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("calls"), F.round(F.coalesce(F.sum(value), F.lit(0.0)), 4).alias("total"), F.round(F.avg(value), digits).alias("mean"))
 
 
 def ordered_sample(rows: DataFrame, by: str, value: str, order: str, most: int) -> DataFrame:

@@ -41,7 +41,7 @@ def stride_sample(rows: DataFrame, key: str, order: str, most: int) -> DataFrame
     """At most `most` rows of a key at even steps."""
     w = Window.partitionBy(key)
     step = F.ceil(F.count(F.lit(1)).over(w) / most)
-    return rows.withColumn("i", F.row_number().over(w.orderBy(order)) - 1).where(F.col("i") % step == 0).drop("i")
+    return rows.withColumns({"i": F.row_number().over(w.orderBy(order)) - 1, "step": step}).where("i % step = 0").drop("i", "step")
 
 
 def span_gaps(spans: DataFrame, key: str, start: str, end: str) -> DataFrame:

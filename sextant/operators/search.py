@@ -28,7 +28,8 @@ def keyword_search(documents: DataFrame, query: str, key: str = "doc_id", text:
     """
     terms = sorted({t for t in "".join(c if c.isascii() and c.isalnum() else " " for c in query.lower()).split()})
     rows = documents.select(key, tokens(F.col(text)).alias("t"))
-    counts = [F.size(F.filter("t", lambda x, q=q: x == q)) for q in terms]
+    count = lambda term: F.size(F.filter("t", lambda x: x == term))
+    counts = [count(term) for term in terms]
     rows = rows.select(key, F.size("t").alias("n"), F.array(*counts).alias("tf"))
     stats = rows.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"), *(F.sum((F.col("tf")[i] > 0).cast("int")).alias(f"df{i}") for i in range(len(terms))))
     hits = rows.where(F.forall("tf", lambda x: x > 0)).crossJoin(F.broadcast(stats))  # one row of statistics

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from sextant.plans import graphs, retrieval, selection, statistics, texts
+
+MODULES = (statistics, selection, texts, retrieval, graphs)
+QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
 FLAGSHIP = "hybrid_search"
