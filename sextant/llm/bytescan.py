@@ -73,8 +73,9 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
 
 
-def runs(offsets: np.ndarray, most: int = PIECE):
-    """Ranges [i, j) of rows with at most `most` bytes together; a longer row is alone."""
+def runs(offsets: np.ndarray, most: int | None = None):
+    """Ranges [i, j) of rows with at most `most` bytes together, PIECE by default; a longer row is alone."""
+    most = most or PIECE
     i, n = 0, len(offsets) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)

@@ -92,14 +92,17 @@ def _pivot(seed: int, level: int, last: bool):
             if open_ < 0:
                 open_ = k
                 continue
-            i, words = open_, (p[open_] * size[open_], p[k] * size[k])
-            gain_i, gain_k = min(size[i] - words[0], words[1]), min(size[k] - words[1], words[0])
-            if _draw(seed, level, ids[i], ids[k]) * (gain_i + gain_k) < gain_k:
-                take, give, moved = i, k, gain_i
+            i = open_
+            words = {i: p[i] * size[i], k: p[k] * size[k]}
+            room = {x: size[x] - words[x] for x in (i, k)}
+            gain_i, gain_k = min(room[i], words[k]), min(room[k], words[i])
+            take, give = (i, k) if _draw(seed, level, ids[i], ids[k]) * (gain_i + gain_k) < gain_k else (k, i)
+            if room[take] <= words[give]:  # exactly one or both of them become integral
+                p[give] = 0.0 if room[take] == words[give] else (words[give] - room[take]) / size[give]
+                p[take] = 1.0
             else:
-                take, give, moved = k, i, gain_k
-            p[take] = 1.0 if moved >= size[take] * (1 - p[take]) else p[take] + moved / size[take]
-            p[give] = 0.0 if moved >= size[give] * p[give] else p[give] - moved / size[give]
+                p[take] = (words[take] + words[give]) / size[take]
+                p[give] = 0.0
             open_ = next((x for x in (i, k) if 0.0 < p[x] < 1.0), -1)
         if open_ >= 0:
             left[open_] = not last
