@@ -1,78 +1,5 @@
-"""Storage shared by driver and executors, plus distributed connected components."""
+"""What the operators use of the library's shared storage and graph functions."""
 
-from __future__ import annotations
+from sextant.operators.shared import cleanup, connected_components, materialize, shared_dir
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one is set only where the session has none (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="sextant-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def materialize(df: DataFrame, files: int = 0) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: lineage ends there,
-    so a lost executor costs the tasks it ran and not the steps before."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sextant/{uuid.uuid4().hex}"
-    (df.coalesce(files) if files else df).write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def cleanup(spark: SparkSession | None = None) -> None:
-    """Delete the tables of materialize(). Results that read them must have been used by then."""
-    while _written:
-        owner, path = _written.pop()
-        try:
-            jvm, jsc = owner._jvm, owner.sparkContext._jsc
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session may be gone at exit
-            return
-
-
-atexit.register(cleanup)
-
-
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """edges(a, b) of long -> (node, root) with root the smallest node reachable.
-
-    Contraction: every node takes its smallest neighbour or itself, both ends of each edge are
-    renamed, loops and repeats go. Each round is one partially aggregated group-by and two
-    equi-joins whose right side has one row per node, so a hot node never meets in one task
-    (skew-split joins). The smallest node of a component is never renamed, hence it is the root.
-    Empty edges give an empty result; null ends are ignored.
-    """
-    live = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
-    live = materialize(live.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    steps = []
-    for _ in range(rounds):
-        if live.isEmpty():
-            break
-        both = live.unionAll(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("to")))
-        steps.append(step)
-        ta, tb = step.select(F.col("node").alias("a"), F.col("to").alias("ta")), step.select(F.col("node").alias("b"), F.col("to").alias("tb"))
-        live = live.join(ta, "a").join(tb, "b").where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"))
-        live = materialize(live.distinct())
-    else:
-        raise RuntimeError("components did not settle")
-    if not steps:
-        return live.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    label = steps[0].select("node", F.col("to").alias("root"))
-    for step in steps[1:]:
-        moved = step.select(F.col("node").alias("root"), "to")
-        label = label.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-    return materialize(label)
+__all__ = ["cleanup", "connected_components", "materialize", "shared_dir"]

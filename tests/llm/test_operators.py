@@ -8,6 +8,7 @@ import struct
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -63,9 +64,41 @@ def brute_removed(rows, width=100):
     return out
 
 
-@pytest.mark.parametrize("piece", [1 << 20, 700])
-def test_suffix_dedup(spark, monkeypatch, piece):
-    monkeypatch.setattr(bytescan, "PIECE", piece)
+@pytest.fixture
+def small_pieces(monkeypatch):
+    monkeypatch.setattr(bytescan, "PIECE", 700)
+    bytescan.tables.cache_clear()
+    yield
+    bytescan.tables.cache_clear()
+
+
+def test_suffix_dedup_in_pieces(small_pieces):
+    """The kernels in this process, with texts longer than a piece, one row a batch."""
+    rows = texts()
+    each = [pa.RecordBatch.from_pydict({"doc_id": [k], "text": [t]}, pa.schema([("doc_id", pa.int64()), ("text", pa.string())])) for k, t in enumerate(rows)]
+
+    def exchange(batches, rank):
+        table = pa.Table.from_batches([b for b in batches if b.num_rows]).sort_by([(c, "ascending") for c in ("key", "kind", "name", "doc", "start")])
+        return pa.Table.from_batches(list(rank(iter(table.to_batches(max_chunksize=37))))).to_pylist()
+
+    first = exchange(suffix_dedup._scan(100)(iter(each)), suffix_dedup._rank_blocks)
+    spots = collections.defaultdict(list)
+    for r in first:
+        if r["kind"] == suffix_dedup.CONTESTED:
+            spots[r["doc"]].append({"start": r["start"], "n": r["n"]})
+    kind = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("spots", pa.list_(pa.struct([("start", pa.int64()), ("n", pa.int32())])))])
+    fought = [pa.RecordBatch.from_pydict({"doc_id": [d], "text": [rows[d]], "spots": [x]}, kind) for d, x in spots.items()]
+    second = exchange(suffix_dedup._pairs(100)(iter(fought)), suffix_dedup._rank_pairs)
+    gone = collections.defaultdict(list)
+    for r in [*first, *second]:
+        if r["kind"] == suffix_dedup.GONE:
+            gone[r["doc"]].append({"start": r["start"], "n": r["n"]})
+    last = [pa.RecordBatch.from_pydict({"doc_id": [d], "text": [t], "spots": [gone.get(d)]}, kind) for d, t in enumerate(rows)]
+    found = pa.Table.from_batches(list(suffix_dedup._cleaned(100, False)(iter(last)))).to_pylist()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found} == brute_removed(rows)
+
+
+def test_suffix_dedup(spark):
     rows = texts()
     found = suffix_dedup.suffix_dedup(documents(spark, rows)).collect()
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found} == brute_removed(rows)
@@ -328,9 +361,7 @@ def test_compiled_rules_equal_the_model(spark):
     assert np.allclose(1 / (1 + np.exp(-z)), [r["score"] for r in rows])
 
 
-@pytest.mark.parametrize("piece", [64, 1 << 20])
-def test_word_hashes_do_not_depend_on_pieces(monkeypatch, piece):
-    monkeypatch.setattr(bytescan, "PIECE", piece)
+def test_word_hashes_do_not_depend_on_pieces(small_pieces):
     rows = [t or "" for t in texts()]
     data = np.frombuffer("".join(rows).encode(), np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in rows])])
