@@ -1,9 +1,10 @@
 """Canonical exact digests with DataFrame functions only.
 
 A text's canonical form is NFC-normalised (ICU, in the JVM), lower-cased, with each run of blanks as one space and none
-at the ends. Its fingerprint is 128 bits of xxhash over that form. Inside a bucket of equal hashes the forms' bytes are
-compared (smallest against largest, partially aggregated before the exchange, so copies never meet as rows);
-where they differ the fingerprint gets the form's SHA-256 as well.
+at the ends. Its fingerprint is 128 bits of xxhash over that form. Hashes are counted first; only forms in buckets of several
+documents travel on, and are compared byte by byte as a set (merged in each task before the exchange, so copies never meet
+as rows). Where a bucket holds different forms the fingerprint gets the form's SHA-256 as well. Texts are exchanged once, by
+doc_id, for both the edited text and the comparison.
 
 Null text counts as empty, a null doc_id as the smallest. The next document is the one with the next smaller
 doc_id, after the last the first; of several rows with that doc_id the one with the smallest text
@@ -49,20 +50,27 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))
     base = documents.select(key.alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    chain = following(base.groupBy("key").agg(F.max(F.char_length("text")).alias("n")))
+    forms = base.select("key", F.char_length("text").alias("n"), canonical(F.col("text")).alias("form"))
+    known = materialize(forms.select("key", "n", wide_hash(F.col("form")).alias("h"), F.sha2("form", 256).alias("s")))
+    several = known.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h", F.lit(True).alias("several"))
+    marks = known.groupBy("key").agg(F.max("n").alias("n"), F.min(F.struct("h", "s")).alias("of"))
+    chain = following(marks.select("key", "n"))
     asked = chain.select(F.col("next").alias("key"), F.col("key").alias("asker"), F.floor(F.col("n") / 3).cast("int").alias("share"))
-    given = base.join(asked.hint("shuffle_hash"), "key").select("asker", F.left("text", F.col("share")).alias("head"), canonical(F.col("text")).alias("form"))
-    given = given.select("asker", F.struct("head", wide_hash(F.col("form")).alias("hash"), F.sha2("form", 256).alias("sha")).alias("given"))
-    given = given.groupBy(F.col("asker").alias("key")).agg(F.min("given").alias("given"))
+    asked = asked.join(marks.select("key", "of"), "key")
+    given = base.join(asked.hint("shuffle_hash"), "key").select(F.col("asker").alias("key"), F.struct(F.left("text", F.col("share")).alias("head"), "of").alias("given"))
+    given = given.groupBy("key").agg(F.min("given").alias("given"))
+    flagged = known.join(several, "h").select("key", "several").distinct()
     n, share = F.char_length("text"), F.floor(F.char_length("text") / 3).cast("int")
-    edited = base.join(given, "key").select("key", "text", n.alias("n_chars"), "given", F.concat(F.left("text", n - share), F.left("given.head", share)).alias("edited"))
-    forms = edited.select("key", "n_chars", "given", F.sha2("edited", 256).alias("edited_sha256"), canonical(F.col("text")).alias("form"), canonical(F.col("edited")).alias("edited_form"))
+    edited = base.join(given, "key").join(flagged.hint("shuffle_hash"), "key", "left")
+    edited = edited.select("key", "text", n.alias("n_chars"), "given", "several", F.concat(F.left("text", n - share), F.left("given.head", share)).alias("edited"))
+    forms = edited.select("key", "n_chars", "given", "several", F.sha2("edited", 256).alias("edited_sha256"), canonical(F.col("text")).alias("form"), canonical(F.col("edited")).alias("edited_form"))
     digest = lambda c: (wide_hash(F.col(c)), F.sha2(c, 256))
     (h, s), (eh, es) = digest("form"), digest("edited_form")
-    prints = forms.select("key", "n_chars", "edited_sha256", h.alias("h"), s.alias("s"), eh.alias("eh"), es.alias("es"), (F.col("form") == F.col("edited_form")).alias("same"), F.col("given.hash").alias("nh"), F.col("given.sha").alias("ns"))
+    prints = forms.select("key", "n_chars", "edited_sha256", h.alias("h"), s.alias("s"), eh.alias("eh"), es.alias("es"), (F.col("form") == F.col("edited_form")).alias("same"), F.col("given.of.h").alias("nh"), F.col("given.of.s").alias("ns"), F.when(F.col("several"), F.col("form")).alias("form"))
+    prints = materialize(prints)
     # byte comparison inside equal buckets
-    own = base.select(canonical(F.col("text")).alias("form")).select("form", wide_hash(F.col("form")).alias("h"))
-    clashes = materialize(own.groupBy("h").agg(F.min("form").alias("a"), F.max("form").alias("b")).where("a <> b").select("h"))
+    clashes = materialize(prints.where("form is not null").groupBy("h").agg(F.collect_set("form").alias("forms")).where(F.size("forms") > 1).select("h"))
+    prints = prints.drop("form")
     full = lambda hash_, sha: F.col(hash_)
     if not clashes.isEmpty():
         prints = prints.join(clashes.select("h", F.lit(True).alias("clash")), "h", "left").join(clashes.select(F.col("h").alias("eh"), F.lit(True).alias("eclash")), "eh", "left")
