@@ -1,7 +1,7 @@
 """Toxicity by compression distance: two zstandard dictionaries, one of toxic and one of ordinary text.
 
 Training counts, over a bounded sample of labelled documents, the word beginnings and whole words of
-either class by document. Segments over-represented in a class (z of at least MIN_Z) make up that class's
+either class by document. Segments over-represented in a class (a root likelihood ratio of at least MIN_Z) make up that class's
 dictionary, together with the segments frequent in both. A text is compressed window by window
 against each dictionary; the windows' differences in length are summed up in a few statistics, which a
 logistic regression turns into a probability. Three quarters of the sample make the dictionaries; the
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from sextant.llm import bytescan as bs
 
-MIN_Z, MIN_DOCS, WINDOW, OVERLAP, LENGTHS = 4.5, 4, 96, 10, (5, 6, 7, 8, 9, 10, 11)
+MIN_Z, MIN_DOCS, WINDOW, OVERLAP, LENGTHS = 6.0, 4, 96, 10, (5, 6, 7, 8, 9, 10, 11)
 PRIMER = bytes((k * 7 + 3) % 31 + 1 for k in range(64))
 PARAMETERS = zs.ZstdCompressionParameters(window_log=17, hash_log=15, chain_log=14, search_log=4, min_match=6, target_length=1, strategy=zs.STRATEGY_FAST, write_content_size=0, write_checksum=0, write_dict_id=0)
 
@@ -65,9 +65,14 @@ def over_represented(own: Counter, n: int, other: Counter, m: int, size: int = 8
     found = []
     for s, c in own.items():
         if c >= MIN_DOCS:
-            p, q = (c + 0.5) / (n + 1), (other[s] + 0.5) / (m + 1)
-            z = (p - q) / math.sqrt(p * (1 - p) / (n + 1) + q * (1 - q) / (m + 1))
-            if z >= MIN_Z and p > 2 * q:
+            d = other[s]
+            if c * m > 2 * d * n:
+                # signed root of the likelihood ratio, which holds for few documents too
+                part = lambda k, size: k * math.log(k * (n + m) / (size * (c + d))) if k else 0.0
+                rest = lambda k, size: (size - k) * math.log((size - k) * (n + m) / (size * (n + m - c - d))) if size > k else 0.0
+                z = math.sqrt(max(0.0, 2 * (part(c, n) + part(d, m) + rest(c, n) + rest(d, m))))
+                if z < MIN_Z:
+                    continue
                 found.append((-z, s))
     out, used = [], 0
     for _, s in sorted(found):
