@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -21,13 +22,20 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame, files: int = 0) -> DataFrame:
+def materialize(df: DataFrame, files: int = 0, release: bool = False) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: lineage ends there,
-    so a lost executor costs the tasks it ran and not the steps before."""
+    so a lost executor costs the tasks it ran and not the steps before.
+
+    release: ask the driver for a garbage collection afterwards. Spark deletes the shuffle files of a
+    finished step once its plan has been collected, and large steps should not wait for that by chance."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sextant/{uuid.uuid4().hex}"
     (df.coalesce(files) if files else df).write.parquet(path)
     _written.append((spark, path))
+    if release:
+        del df
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
