@@ -254,13 +254,13 @@ def removed_spans(documents: DataFrame, threshold: int = 100, extra: list[str] |
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sort = ["key", "kind", "name", "doc", "start"]
     first = texts.mapInArrow(_scan(threshold), PLACES_SQL).repartition(parts, "key").sortWithinPartitions(*sort).mapInArrow(_rank_blocks, PLACES_SQL)
-    first = materialize(first.select("kind", "doc", "start", "n"))
+    first = materialize(first.select("kind", "doc", "start", "n"), release=True)
     spot = F.struct("start", "n")
     fought = first.where(F.col("kind") == CONTESTED).groupBy("doc").agg(F.collect_list(spot).alias("spots"))
     keyed = texts.withColumn("doc", F.coalesce("doc_id", F.lit(LAST)))
     second = keyed.join(fought.hint("shuffle_hash"), "doc").select("doc_id", "text", "spots").mapInArrow(_pairs(threshold), PAIRS_SQL)
     second = second.repartition(parts, "key").sortWithinPartitions(*sort).mapInArrow(_rank_pairs, PAIRS_SQL)
-    second = materialize(second.select("doc", "start", "n"))
+    second = materialize(second.select("doc", "start", "n"), release=True)
     gone = first.where(F.col("kind") == GONE).select("doc", "start", "n").unionAll(second).groupBy("doc").agg(F.collect_list(spot).alias("spots"))
     if extra:  # beside the text, under names that can't clash
         keyed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*extra).alias("extra")).withColumn("doc", F.coalesce("doc_id", F.lit(LAST)))
