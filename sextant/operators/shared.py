@@ -28,7 +28,7 @@ def materialize(df: DataFrame, files: int = 0, release: bool = False) -> DataFra
 
     release: ask the driver for a garbage collection afterwards. Spark deletes the shuffle files of a
     finished step once its plan has been collected, and large steps should not wait for that by chance."""
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/sextant/{uuid.uuid4().hex}"
     (df.coalesce(files) if files else df).write.parquet(path)
     _written.append((spark, path))
@@ -36,7 +36,7 @@ def materialize(df: DataFrame, files: int = 0, release: bool = False) -> DataFra
         del df
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def cleanup(spark: SparkSession | None = None) -> None:
