@@ -230,12 +230,16 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     spread = placed.groupBy("block").agg(F.count(F.lit(1)).alias("size"), F.sum("bytes").alias("bytes"))
     spread = spread.select("block", F.greatest(F.ceil(F.col("size") / CELL), F.ceil(F.col("bytes") / CELL_BYTES)).cast("int").alias("cells"))
     leading = meets.groupBy(F.col("rep").alias("node")).agg(F.min("lead").alias("lead"))
-    placed = materialize(placed.join(spread, "block").join(leading, "node").withColumnRenamed("node", "rep"))
+    placed = placed.join(spread, "block").join(leading, "node").withColumnRenamed("node", "rep")
+    # many classes may have met the same smallest one: they are split as well
+    split = placed.groupBy("lead").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CELL), F.ceil(F.sum("bytes") / CELL_BYTES)).cast("int").alias("splits"))
+    placed = materialize(placed.join(split, "lead"))
     body = texts.withColumn("rep", F.coalesce("doc_id", F.lit(LAST))).select("rep", "text")
     body = materialize(placed.hint("shuffle_hash").join(body, "rep"))
     at = lambda key, seed: F.pmod(F.xxhash64(key, F.lit(seed)), F.col("cells")).cast("int")
     # no way of dealing shares a cell with another
-    ways = F.when(F.col("cells") == 1, F.array(F.lit(0))).otherwise(F.array(at("lead", 0), *(F.col("cells") * k + at("rep", k) for k in range(1, DEALS))))
+    by_lead = F.pmod(F.xxhash64("lead", F.pmod(F.xxhash64("rep", F.lit(0)), F.col("splits"))), F.col("cells")).cast("int")
+    ways = F.when(F.col("cells") == 1, F.array(F.lit(0))).otherwise(F.array(by_lead, *(F.col("cells") * k + at("rep", k) for k in range(1, DEALS))))
     links = materialize(_dealt(body.withColumns({"cell": F.explode(ways), "comp": F.col("rep"), "query": F.lit(False)}), parts, words, percent))
     large = placed.where("cells > 1")
     if not large.isEmpty():
