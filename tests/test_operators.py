@@ -36,6 +36,14 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_long_paths(spark):
+    path = [(k, k + 1) for k in range(1, 400)]
+    crossed = [(5000 + (k * 37) % 400, 5000 + ((k + 1) * 37) % 400) for k in range(399)]
+    hub = [(k, 9999) for k in range(9000, 9050)]
+    found = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(path + crossed + hub, "a long, b long")).collect()}
+    assert found == {k: 1 for k in range(1, 401)} | {k: 5000 for k in range(5000, 5400)} | {k: 9000 for k in [*range(9000, 9050), 9999]}
+
+
 def test_title_pairs_match_brute_force(spark):
     rng = random.Random(2)
     words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta"]
