@@ -65,6 +65,22 @@ def test_title_pairs_match_brute_force(spark):
     assert found == near
 
 
+def test_pieces_are_recovered_after_a_long_gap(spark):
+    said = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    text = f"{said('a', 20)}\n{said('gap', 500)}\n{said('B', 20)} $$\n{said('row', 40)}\n{said('c', 20)}"
+    table = f"{said('row', 12)} {' '.join(f'row{i}' for i in range(28, 40))}"
+    parts = [said("a", 20), said("b", 20), said("none", 10), table, "", said("c", 20), said("a", 20)]
+    pieces = spark.createDataFrame([(1, i, p) for i, p in enumerate(parts)], "doc_id long, position int, content string")
+    rows = curation.recovered(pieces, spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string")).orderBy("position").collect()
+    assert [(r["status"], r["method"]) for r in rows] == [
+        ("recovered", "align"), ("recovered", "align"), ("FAILED", "no-anchor"), ("abbreviated", "anchored-abbrev"), ("FAILED", "empty-or-exhausted"), ("recovered", "align"), ("FAILED", "empty-or-exhausted"),
+    ]
+    assert rows[1]["text"] == f"{said('B', 20)} $$" and rows[3]["text"] == said("row", 40) and rows[5]["text"] == said("c", 20)
+    assert all(r["text"] is None or text[r["start"] : r["end"]] == r["text"] for r in rows)
+    assert [x[0] for x in curation.recovered_sequence(["one two three four seven eight nine ten"], "one two three four five six seven eight nine ten")] == ["recovered"]
+    assert [x[1] for x in curation.recovered_sequence(["one x y z q"], "one two three four five")] == ["boundary-or-match-fail"]
+
+
 def test_licences(spark):
     cases = {
         None: "NOASSERTION", " ": "NOASSERTION", "http://creativecommons.org/licenses/by-nc-sa/3.0/": "CC-BY-NC-SA-3.0", "CC BY": "CC-BY-4.0", "cc_by_nd": "CC-BY-ND-4.0", "CC0": "CC0-1.0", "mit": "MIT",
