@@ -23,7 +23,7 @@ def title_likeness(s, d):
 
 
 def text_likeness(s, d):
-    a = table(s, d, "documents").where("doc_id < 40").select("doc_id", "text")
+    a = table(s, d, "documents").select("doc_id", "text")
     b = a.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("other"))
     return a.join(b, "doc_id").select("doc_id", F.round(T.text_similarity(F.col("text"), F.col("other")), 6).alias("similarity"))
 
@@ -101,14 +101,14 @@ def latex_strip(s, d):
 def html_sections(s, d):
     """Headings of a page with the text that follows each."""
     body = F.regexp_replace("html", r"(?is)<(script|style|nav)\b.*?</\1>|<!--.*?-->", "")
-    parts = F.slice(F.split(body, r"(?i)<h[1-6][^>]*>"), 2, 1000)
+    parts = F.filter(F.split(body, r"(?i)<h[1-6][^>]*>"), lambda _, i: i > 0)
     plain = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"(?s)<[^>]*>", " "), r"\s+", " "))
     rows = table(s, d, "pages").select("page_id", F.posexplode(parts).alias("place", "part"))
     return rows.select("page_id", "place", plain(F.regexp_extract("part", r"(?is)^(.*?)</h[1-6]>", 1)).alias("heading"), F.length(plain(F.regexp_replace("part", r"(?is)^.*?</h[1-6]>", ""))).alias("chars"))
 
 
 def align_recover(s, d):
-    docs = table(s, d, "documents").where("n_chars < 3000")
+    docs = table(s, d, "documents")
     pieces = chunks(docs).select("doc_id", "position", "content")
     return C.recovered(pieces, docs.select("doc_id", "text"))
 

@@ -81,6 +81,26 @@ def test_pieces_are_recovered_after_a_long_gap(spark):
     assert [x[1] for x in curation.recovered_sequence(["one x y z q"], "one two three four five")] == ["boundary-or-match-fail"]
 
 
+def test_long_documents_are_aligned(spark, tmp_path):
+    from sextant.plans.texts import align_recover
+
+    rows = [(1, "word " * 700 + "\nend.", 3505), (2, "short one\ntwo", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted((r["doc_id"], r["position"], r["status"]) for r in align_recover(spark, str(tmp_path)).collect()) == [(1, 0, "recovered"), (1, 1, "recovered"), (2, 0, "recovered"), (2, 1, "recovered")]
+
+
+def test_all_headings_and_all_neighbours(spark, tmp_path):
+    from sextant.plans.texts import html_sections, text_likeness
+
+    page = "<p>before</p>" + "".join(f"<h2>t{i}</h2><p>{'x' * (i % 7)}</p>" for i in range(1500))
+    spark.createDataFrame([(1, page), (2, "<p>none</p>"), (3, None)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = sorted((r["place"], r["heading"], r["chars"]) for r in html_sections(spark, str(tmp_path)).collect())
+    assert found == [(i, f"t{i}", i % 7) for i in range(1500)]
+    spark.createDataFrame([(k, "abcd"[: k % 5]) for k in range(100)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    likeness = {r["doc_id"]: r["similarity"] for r in text_likeness(spark, str(tmp_path)).collect()}
+    assert likeness == {k: round(1 - 1 / max(k % 5, (k - 1) % 5), 6) if k % 5 else 0.0 for k in range(1, 100)}
+
+
 def test_licences(spark):
     cases = {
         None: "NOASSERTION", " ": "NOASSERTION", "http://creativecommons.org/licenses/by-nc-sa/3.0/": "CC-BY-NC-SA-3.0", "CC BY": "CC-BY-4.0", "cc_by_nd": "CC-BY-ND-4.0", "CC0": "CC0-1.0", "mit": "MIT",
