@@ -271,6 +271,22 @@ def test_licence_scan(spark):
     assert license_scan.scan_licences(df).count() == len(rows) and license_scan.scan_licences(df.limit(0)).count() == 0
 
 
+def test_licence_files_and_wrapped_headers(spark):
+    full = {k: t.replace("<year>", "2020").replace("<name of author>", "A. Writer") for k, t in license_scan.FULL.items()}
+    wrapped = {
+        "Apache-2.0": "# Copyright 2020 A. Writer\n#\n# Licensed under the Apache\n# License, Version\n# 2.0.\n\nimport os",
+        "GPL-3.0": "/*\n * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n *\n * No warranty.\n */\nint x;",
+        "MPL-2.0": "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed with this\n// file, You can obtain one at http://mozilla.org/MPL/2.0/.\n\nlet x;",
+    }
+    titles = {"MIT": "The MIT License (MIT)\n\nCopyright (c) 2020 A. Writer\n", "GPL-3.0": "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n", "MPL-2.0": "Mozilla Public License Version 2.0\n====\n"}
+    cases = [(k, f"full/{k}/LICENSE", t) for k, t in full.items()] + [(k, f"wrapped/{k}/x.py", t) for k, t in wrapped.items()] + [(k, f"title/{k}/COPYING", t) for k, t in titles.items()]
+    below = [(k, f"full/{k}/src/y.py", "y = 1") for k in full]
+    plain = [(None, "p/LICENSE", "All the words of the house and of the work that you may use in this or that way. " * 30)]
+    rows = [(i, path, t) for i, (_, path, t) in enumerate(cases + below + plain)]
+    found = {r["path"]: r["licence"] for r in license_scan.scan_licences(frame(spark, rows, "file_id long, path string, text string")).collect()}
+    assert found == {path: k for k, path, _ in cases + below + plain}
+
+
 def test_licence_cosine_matches_brute_force(spark):
     rng = random.Random(4)
     vectors, unknown = license_scan.weights(license_scan.TEMPLATES)
