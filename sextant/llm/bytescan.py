@@ -7,12 +7,14 @@ length of a text or of an Arrow batch.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20
+PIECE, BATCH_BYTES = 1 << 20, 8 << 20
 U = np.uint64
 WORD_LUT = np.ones(256, dtype=bool)
 WORD_LUT[[32, 9, 10, 11, 12, 13]] = False
@@ -143,7 +145,19 @@ def _long_word(part: np.ndarray) -> int:
 
 
 def arrow_batches(batches, columns: list[str]):
-    """The columns of each Arrow record batch, as a list."""
-    for batch in batches:
-        if batch.num_rows:
-            yield [batch.column(batch.schema.get_field_index(c)) for c in columns]
+    """The columns of each Arrow record batch, as a list; batches of more than BATCH_BYTES come in parts, so what is made of one is bounded as well."""
+    try:
+        for batch in batches:
+            rows = max(1, batch.num_rows * BATCH_BYTES // max(1, batch.get_total_buffer_size()))
+            for k in range(0, batch.num_rows, rows):
+                part = batch.slice(k, rows)
+                yield [part.column(part.schema.get_field_index(c)) for c in columns]
+    finally:
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker outlives its task and would keep it beside the next one's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)

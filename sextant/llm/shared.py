@@ -1,5 +1,46 @@
-"""What the operators use of the library's shared storage and graph functions."""
+"""What the operators share: storage and graph functions of the library, keys of rows, joins with hot keys."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from sextant.operators.shared import cleanup, connected_components, materialize, shared_dir
 
-__all__ = ["cleanup", "connected_components", "materialize", "shared_dir"]
+__all__ = ["LAST", "cleanup", "connected_components", "join_counted", "materialize", "row_keys", "shared_dir"]
+
+LAST = 2**63 - 1  # stands for a null doc_id
+HOT_KEYS = 1000
+
+
+def row_keys(documents: DataFrame, *columns) -> tuple[DataFrame, DataFrame | None]:
+    """(rows(key, doc_id, text, columns), names): key is a long that differs between different documents and is in the order of doc_id, null last.
+
+    Where no doc_id is repeated it is the doc_id, and names is None. Otherwise rows with one doc_id are different documents if their
+    texts differ (128 bits of hash, which also order them): keys are then places in the order of distinct (doc_id, hash), numbered by ranges, so that
+    a doc_id of any number of rows is spread over tasks. Rows equal in both share a key. names(key, doc_id, copies) has one row per key.
+    """
+    spark = documents.sparkSession
+    rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *columns)
+    if rows.groupBy("key").count().where("count > 1").isEmpty():
+        return rows, None
+    rows = rows.withColumnsRenamed({"key": "id"}).withColumns({"d1": F.xxhash64("text"), "d2": F.xxhash64(F.lit(1), "text")})
+    order = ["id", "d1", "d2"]
+    found = rows.groupBy(*order).agg(F.count(F.lit(1)).alias("copies"))
+    ranged = materialize(found.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("range", F.spark_partition_id()))
+    sizes = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n"))  # one row per partition
+    before = sizes.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy(*order))
+    names = materialize(ranged.withColumn("place", place).join(F.broadcast(before), "range").select(*order, "copies", (F.col("before") + F.col("place")).alias("key")))
+    keyed = rows.join(names.drop("copies"), order).drop(*order)
+    return keyed, names.select("key", F.when(F.col("id") != LAST, F.col("id")).alias("doc_id"), "copies")
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, key: str, count: str) -> DataFrame:
+    """rows joined with counted, which has one row per key and the number of the key's rows: keys with more than one in HOT_KEYS of all
+    rows, of which there are fewer than HOT_KEYS, are broadcast, so no task gets all rows of one; the others are exchanged. rows is read twice."""
+    total = counted.agg(F.sum(count)).collect()[0][0] or 0
+    hot = counted.where(F.col(count) > total / HOT_KEYS)
+    cold = counted.where(F.col(count) <= total / HOT_KEYS)
+    marked = rows.join(F.broadcast(hot.select(key, F.lit(True).alias("is_hot"))), key, "left")  # fewer than HOT_KEYS rows
+    return rows.join(F.broadcast(hot), key).unionByName(marked.where("is_hot is null").drop("is_hot").join(cold, key))

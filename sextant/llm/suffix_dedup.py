@@ -7,16 +7,17 @@ ranked by ever longer prefixes, and leave as soon as their rank is unique:
    leftmost position of the smallest GRAM-byte hash in it. Equal windows have equal anchors, so a
    window whose anchor's rank is unique is unique. Neighbouring windows with one anchor make a
    block. Where all blocks of a rank are equal in full, all but the earliest go as they are.
-2. The others are contested: each of their windows p gets the pair of ranks (p, p + threshold / 2),
-   each of threshold / 2 bytes, which reaches the threshold. Spark sorts the pairs with their
-   positions; all but the first of equal pairs go.
+2. The others are contested. Ranks are paired at growing offsets: that of L bytes at p and at p + L names
+   2 L bytes, from GRAM on (32, 64, ...), until the next pair reaches the threshold: (rank at p, rank at p + threshold - L).
+   Spark sorts these last pairs with their positions; all but the first of equal pairs go.
 
-Ranks are named by hashes, so that a round takes one exchange and no global
-renumbering (blocks: 64 bits for the anchor and 64 for the block; pairs: 96 bits of both halves). What a task knows by itself leaves at once: later copies within a task are decided
+Ranks are named by hashes: a pair's name follows from its two ranks, so the pairs in between need no exchange to be
+numbered, and the ranks of step 1 serve step 2 as they are. Names have 128 bits in step 1 (64 of the anchor, 64 of the block) and 96 in
+step 2. What a task knows by itself leaves at once: later copies within a task are decided
 there, so a hot passage sends one row per task and not one per copy.
 
-Order is (doc_id, start); a null doc_id stands last. Rows with the same doc_id count as the same
-document: where such rows hold equal texts, all get the same result. Null text is empty. Texts
+Order is (doc_id, start); a null doc_id stands last. Rows with the same doc_id and the same text count as the same
+document and get the same result; with different texts they are different documents, in the order of a hash of their text. Null text is empty. Texts
 shorter than the threshold keep all bytes.
 """
 
@@ -26,20 +27,18 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sextant.llm import bytescan as bs
-from sextant.llm.shared import materialize
+from sextant.llm.shared import LAST, materialize, row_keys
 
-GRAM = 32
+GRAM, DECIDED = 32, 1 << 20  # bytes of the first rank; windows that are decided at a time
 U = np.uint64
 NOTICE, BLOCK, CONTESTED, GONE = 0, 1, 2, 3
 COLUMNS = ["key", "name", "doc", "start", "kind", "n"]  # what varies stands together, which packs better in an exchange
 PLACES_SQL = "key long, name long, doc long, start long, kind byte, n int"
 PAIRS_SQL = PLACES_SQL.replace("name long", "name int")
-LAST = np.iinfo(np.int64).max
 
 
 def _docs(column) -> np.ndarray:
@@ -185,48 +184,80 @@ def _rank_pairs(batches):
     return _grouped(batches, decide)
 
 
+def lengths(width: int) -> list[int]:
+    """Prefix lengths of the ranks, each at most twice the one before."""
+    out = [GRAM]
+    while out[-1] < width:
+        out.append(min(2 * out[-1], width))
+    return out
+
+
+def _rank(sums: np.ndarray, at: np.ndarray, ladder: list[int]) -> np.ndarray:
+    """Names of the prefixes of ladder[-1] bytes at the given positions: the pair of two names of the length before."""
+    if len(ladder) == 1:
+        return bs.spans(sums, at, at + ladder[0])
+    return _paired(_rank(sums, at, ladder[:-1]), _rank(sums, at + (ladder[-1] - ladder[-2]), ladder[:-1]))
+
+
+def _paired(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return bs.mix(left ^ bs.mix(right ^ U(0x6A09E667F3BCC909)))
+
+
+def _windows(data: np.ndarray, offsets: np.ndarray, spots, width: int):
+    """(prefix sums, contested windows as places in them, their rows, their starts), piece by piece."""
+    lists, inner = spots.offsets.to_numpy(), spots.values
+    start, n = inner.field("start").to_numpy(), inner.field("n").to_numpy().astype(np.int64)
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(lists))
+    start, n = start[lists[0] : lists[-1]], n[lists[0] : lists[-1]]
+    low = offsets[row] + start  # places of the first windows
+    order = np.argsort(low, kind="stable")
+    row, low, n = row[order], low[order], n[order]
+    end = np.maximum.accumulate(low + n) if len(low) else low
+    for i, j in bs.runs(offsets):
+        for a in range(int(offsets[i]), int(offsets[j]), bs.PIECE):
+            b = min(a + bs.PIECE, int(offsets[j]))
+            k, m = np.searchsorted(end, a, "right"), np.searchsorted(low, b, "left")
+            first, last = np.maximum(low[k:m], a), np.minimum(low[k:m] + n[k:m], b)
+            size = np.maximum(last - first, 0)
+            if not size.sum():
+                continue
+            at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            owner = np.repeat(row[k:m], size)
+            yield bs.prefix(data[a : min(b + width - 1, len(data))]), at - a, owner, at - offsets[owner]
+
+
 def _pairs(width: int):
-    """Rank pairs of the windows of contested blocks; later copies within a batch are decided here."""
-    half = width // 2
+    """Rank pairs of the windows of contested blocks; later copies among DECIDED windows are decided here."""
+    ladder = lengths(width)
+
+    def decided(parts):
+        key, name, doc, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((at, doc, name, key))
+        key, name, doc, at = key[order], name[order], doc[order], at[order]
+        first = np.ones(len(key), bool)
+        first[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
+        lead = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
+        gone = np.flatnonzero(~first & ((doc != doc[lead]) | (at != at[lead])))
+        one = np.ones(first.sum(), np.int64)
+        yield _batch(key[first], np.full(len(one), BLOCK), name[first], doc[first], at[first], one)
+        gone = gone[np.lexsort((at[gone], doc[gone]))]
+        d, s, k = _merged(doc[gone], at[gone], np.ones(len(gone), np.int64))
+        yield _batch(bs.mix(d.astype(U) ^ s.astype(U)), np.full(len(d), GONE), np.zeros(len(d), np.uint32), d, s, k)
 
     def pairs(batches):
-        for ids, text, found in bs.arrow_batches(batches, ["doc_id", "text", "spots"]):
+        waiting, size = [], 0
+        for ids, text, spots in bs.arrow_batches(batches, ["doc_id", "text", "spots"]):
             docs, (data, offsets) = _docs(ids), bs.buffers(text)
-            lists, inner = found.offsets.to_numpy(), found.values
-            start = inner.field("start").to_numpy()
-            n = inner.field("n").to_numpy().astype(np.int64)
-            left, right, owner, at = [], [], [], []
-            for r in range(len(docs)):
-                body = memoryview(data[offsets[r] : offsets[r + 1]])
-                names: dict[int, int] = {}
-                for k in range(lists[r], lists[r + 1]):
-                    for p in range(start[k], start[k] + n[k]):
-                        for q in (p, p + width - half):
-                            if q not in names:
-                                names[q] = xxhash.xxh3_64_intdigest(body[q : q + half])
-                        left.append(names[p])
-                        right.append(names[p + width - half])
-                        at.append(p)
-                owner.append(np.full(len(at) - sum(map(len, owner)), docs[r]))
-            if not at:
-                continue
-            key, name, doc, at = np.array(left, U), np.array(right, U), np.concatenate(owner), np.array(at, np.int64)
-            if width % 2:  # the halves leave out the middle byte
-                middle = [int(data[offsets[np.searchsorted(docs, d)] + p + half]) for d, p in zip(doc, at, strict=True)]
-                key = bs.mix(key ^ np.array(middle, U))
-            # a pair's key is spread over all bits, so that a left half with many right halves doesn't meet in one task
-            key, name = bs.mix(key ^ bs.mix(name ^ U(0x6A09E667F3BCC909))), (name >> U(32)).astype(np.uint32)
-            order = np.lexsort((at, doc, name, key))
-            key, name, doc, at = key[order], name[order], doc[order], at[order]
-            first = np.ones(len(key), bool)
-            first[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
-            lead = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
-            gone = np.flatnonzero(~first & ((doc != doc[lead]) | (at != at[lead])))
-            one = np.ones(first.sum(), np.int64)
-            yield _batch(key[first], np.full(len(one), BLOCK), name[first], doc[first], at[first], one)
-            gone = gone[np.lexsort((at[gone], doc[gone]))]
-            d, s, k = _merged(doc[gone], at[gone], np.ones(len(gone), np.int64))
-            yield _batch(bs.mix(d.astype(U) ^ s.astype(U)), np.full(len(d), GONE), np.zeros(len(d), np.uint32), d, s, k)
+            for sums, at, owner, start in _windows(data, offsets, spots, width):
+                left, right = _rank(sums, at, ladder[:-1]), _rank(sums, at + (width - ladder[-2]), ladder[:-1])
+                # a pair's key is spread over all bits, so that a left half with many right halves doesn't meet in one task
+                waiting.append((_paired(left, right), (right >> U(32)).astype(np.uint32), docs[owner], start))
+                size += len(at)
+                if size >= DECIDED:
+                    yield from decided(waiting)
+                    waiting, size = [], 0
+        if size:
+            yield from decided(waiting)
 
     return pairs
 
@@ -245,26 +276,28 @@ def _covered(start: np.ndarray, n: np.ndarray, width: int) -> tuple[np.ndarray,
 
 
 def removed_spans(documents: DataFrame, threshold: int = 100, extra: list[str] | None = None) -> DataFrame:
-    """documents(doc_id, text) -> (doc_id, text, spots array<struct<start, n>>, extra columns): runs of n window
-    starts whose string of `threshold` bytes starts earlier too. spots is null where there are none."""
-    if threshold < GRAM + 2 or threshold % 2:
-        raise ValueError(f"threshold must be even and at least {GRAM + 2}")
+    """documents(doc_id, text) -> (doc_id, text, spots array<struct<start, n>>, extra): runs of n window
+    starts whose string of `threshold` bytes starts earlier too. spots is null where there are none; doc_id is the key
+    of row_keys(), extra a struct of the row's own doc_id and the columns named."""
+    if threshold <= GRAM:
+        raise ValueError(f"threshold must be more than {GRAM}")
     spark = documents.sparkSession
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    beside = [F.struct(F.col("doc_id").cast("long").alias("own"), *extra).alias("extra")] if extra is not None else []
+    rows, _ = row_keys(documents, *beside)
+    texts = rows.select(F.col("key").alias("doc_id"), "text")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sort = ["key", "kind", "name", "doc", "start"]
     first = texts.mapInArrow(_scan(threshold), PLACES_SQL).repartition(parts, "key").sortWithinPartitions(*sort).mapInArrow(_rank_blocks, PLACES_SQL)
     first = materialize(first.select("kind", "doc", "start", "n"))
     spot = F.struct("start", "n")
-    fought = first.where(F.col("kind") == CONTESTED).groupBy("doc").agg(F.collect_list(spot).alias("spots"))
-    keyed = texts.withColumn("doc", F.coalesce("doc_id", F.lit(LAST)))
-    second = keyed.join(fought.hint("shuffle_hash"), "doc").select("doc_id", "text", "spots").mapInArrow(_pairs(threshold), PAIRS_SQL)
+    spots = lambda df: df.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(spot).alias("spots"))
+    fought = spots(first.where(F.col("kind") == CONTESTED))
+    second = texts.join(fought.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "spots").mapInArrow(_pairs(threshold), PAIRS_SQL)
     second = second.repartition(parts, "key").sortWithinPartitions(*sort).mapInArrow(_rank_pairs, PAIRS_SQL)
     second = materialize(second.select("doc", "start", "n"))
-    gone = first.where(F.col("kind") == GONE).select("doc", "start", "n").unionAll(second).groupBy("doc").agg(F.collect_list(spot).alias("spots"))
-    if extra:  # beside the text, under names that can't clash
-        keyed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*extra).alias("extra")).withColumn("doc", F.coalesce("doc_id", F.lit(LAST)))
-    return keyed.join(gone.hint("shuffle_hash"), "doc", "left").drop("doc")
+    gone = spots(first.where(F.col("kind") == GONE).select("doc", "start", "n").unionAll(second))
+    rows = rows.select(F.col("key").alias("doc_id"), "text", *["extra"] * len(beside))
+    return rows.join(gone.hint("shuffle_hash"), "doc_id", "left")
 
 
 def _cleaned(width: int, extra: bool):
@@ -298,12 +331,10 @@ def suffix_dedup(documents: DataFrame, threshold: int = 100, extra: list[str] |
     text and extra are read, so other columns may have any name. kept are the remaining bytes; a cut may
     split a character, so decode with errors="replace".
     """
-    spans = removed_spans(documents, threshold, extra)
+    spans = removed_spans(documents, threshold, extra or [])
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
-    if not extra:
-        return spans.mapInArrow(_cleaned(threshold, False), schema)
     found = spans.mapInArrow(_cleaned(threshold, True), f"{schema}, extra {spans.schema['extra'].dataType.simpleString()}")
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "extra.*")
+    return found.select(F.col("extra.own").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", *(f"extra.{c}" for c in extra or []))
 
 
 def op3_suffix_dedup(spark, sf_dir):
