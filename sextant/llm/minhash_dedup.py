@@ -16,7 +16,7 @@
    rows, and no cell outgrows its bound.
 
 Nulls and empty tables: null or wordless texts have no set (n_shingles 0) and no link; a null doc_id
-counts as the largest and comes back as null. Rows that share a doc_id are one node. Only doc_id
+counts as the largest and comes back as null. Rows that share a doc_id are one node if they share their text, else one node each. Only doc_id
 and text are read, so other columns may have any name.
 """
 
@@ -30,11 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sextant.llm import bytescan as bs
-from sextant.llm.shared import connected_components, materialize
+from sextant.llm.shared import LAST, connected_components, join_counted, materialize, row_keys
 
 COORDS, MATCHES, CELL, CELL_BYTES, DEALS = 32, 12, 128, 32 << 20, 3
 U = np.uint64
-LAST = np.iinfo(np.int64).max
 
 
 @lru_cache(1)
@@ -93,14 +92,10 @@ def signature(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _ids(column) -> np.ndarray:
-    return column.fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64)
-
-
 def _sign(words: int):
     def sign(batches):
-        for ids, text in bs.arrow_batches(batches, ["doc_id", "text"]):
-            docs, (data, offsets) = _ids(ids), bs.buffers(text)
+        for ids, text in bs.arrow_batches(batches, ["key", "text"]):
+            docs, (data, offsets) = ids.to_numpy(), bs.buffers(text)
             for i, j, values, at in sets_of(data, offsets, words):
                 n, some = np.diff(at), np.diff(at) > 0
                 lo, hi = np.zeros(j - i, U), np.zeros(j - i, U)
@@ -142,16 +137,31 @@ def _near(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def _collisions(tokens: np.ndarray, x: int, postings: tuple[np.ndarray, np.ndarray, np.ndarray], among: np.ndarray) -> np.ndarray:
+    """How many tokens each class of the cell shares with class x, by merging x's postings: first those of its rarest COORDS - MATCHES + 1
+    tokens (prefix); the others only count for classes met there, and are skipped where there are none."""
+    order, start, end = postings
+    rare = np.argsort(end[x] - start[x], kind="stable")
+    merged = lambda some: np.bincount(np.concatenate([order[start[x, k] : end[x, k]] for k in some]), minlength=len(tokens)) * among
+    same = merged(rare[: COORDS - MATCHES + 1])
+    met = same > 0
+    return np.where(met, same + merged(rare[COORDS - MATCHES + 1 :]), 0) if met.any() else same
+
+
 def _link_cell(nodes, comps, query, sets, tokens, percent: int) -> list[tuple[int, int]]:
     """Links between the classes of a cell; where some are queries, between a query and any other."""
     links, size = _Links(nodes, comps), len(nodes)
     some = bool(query.any())
-    others = np.flatnonzero(~query) if some else np.arange(size)
+    among = ~query if some else np.ones(size, bool)
+    flat = np.sort(tokens.ravel())
+    order = np.argsort(tokens.ravel(), kind="stable") // COORDS  # postings: the classes under each token
+    postings = order, np.searchsorted(flat, tokens, "left"), np.searchsorted(flat, tokens, "right")
     for x in np.flatnonzero(query) if some else range(size):
-        near = others if some else others[x + 1 :]
-        same = np.count_nonzero(tokens[near] == tokens[x], axis=1)  # collisions by coordinate
+        if not some:
+            among[x] = False  # pairs of x are done after this round
+        same = _collisions(tokens, x, postings, among)
         keep = np.flatnonzero(same >= MATCHES)
-        for y in near[keep[np.argsort(-same[keep], kind="stable")]].tolist():
+        for y in keep[np.argsort(-same[keep], kind="stable")].tolist():
             if links.top(x) != links.top(y) and _near(sets[x], sets[y], percent):
                 links.join(x, y)
     return links.found
@@ -166,7 +176,7 @@ def _link(words: int, percent: int):
             table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
             if not table.num_rows:
                 continue
-            block, cell = table["block"].to_numpy(), table["cell"].to_numpy()
+            block, cell = table["block"].to_numpy(), table["cell"].to_numpy(zero_copy_only=False)
             cut = np.flatnonzero((block[1:] != block[:-1]) | (cell[1:] != cell[:-1])) + 1
             for a, b in zip(np.concatenate([[0], cut])[:-1], cut, strict=False):
                 yield table.slice(a, b - a)
@@ -195,7 +205,7 @@ def _link(words: int, percent: int):
 
 
 def _dealt(rows: DataFrame, parts: int, words: int, percent: int) -> DataFrame:
-    rows = rows.select("block", "cell", "rep", "comp", "query", "text")
+    rows = rows.select("block", F.col("cell").cast("string").alias("cell"), "rep", "comp", "query", "text")
     return rows.repartition(parts, "block", "cell").sortWithinPartitions("block", "cell").mapInArrow(_link(words, percent), "a long, b long")
 
 
@@ -205,9 +215,21 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     Two documents are linked if 100 * |intersection| >= percent * |union| of their shingle sets; component_id
     is the smallest doc_id reachable over links, class_id the smallest with an equal set.
     """
-    spark = documents.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows, names = row_keys(documents)
+    if names is None:
+        found = linked(rows.select("key", "text"), words, percent)
+        real = lambda c: F.when(F.col(c) != LAST, F.col(c))
+        return found.select(real("key").alias("doc_id"), F.col("n").alias("n_shingles"), real("rep").alias("class_id"), real("root").alias("component_id"))
+    found = linked(materialize(rows.groupBy("key").agg(F.min("text").alias("text"))), words, percent)
+    named = lambda key, to: names.select(F.col("key").alias(key), F.col("doc_id").alias(to))
+    groups = found.select("rep", "root").distinct().join(named("rep", "class_id"), "rep").join(named("root", "component_id"), "root").drop("root")
+    found = found.join(groups, "rep").join(names, "key").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id")
+
+
+def linked(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """texts(key, text), keys distinct -> (key, n, rep, root): size of the set, smallest key with that set, smallest key reachable."""
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     signed = materialize(texts.mapInArrow(_sign(words), "doc long, n long, lo long, hi long, bytes long, tokens array<long>"))
     key = ["n", "lo", "hi"]
     classes = materialize(signed.where("n > 0").groupBy(*key).agg(F.min("doc").alias("rep")))
@@ -216,13 +238,13 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     reps = signed.where("n > 0").join(classes, key).where("doc = rep")
     posted = reps.select("rep", F.explode("tokens").alias("token"))
     shared = posted.groupBy("token").agg(F.count(F.lit(1)).alias("posts")).where("posts > 1")
-    kept = posted.join(shared, "token").groupBy("rep").agg(F.sort_array(F.collect_set(F.struct("posts", "token"))).alias("posts")).where(F.size("posts") >= MATCHES)
+    kept = join_counted(posted, materialize(shared), "token", "posts", "rep").groupBy("rep").agg(F.sort_array(F.collect_set(F.struct("posts", "token"))).alias("posts")).where(F.size("posts") >= MATCHES)
     # a class without u of its tokens has them before all others in the order from rare to common
     head = F.slice("posts", 1, F.greatest(F.lit(0), F.size("posts") - (MATCHES - 1)))
     kept = materialize(kept.select("rep", F.transform(head, lambda p: p["token"]).alias("tokens")))
     posted = kept.select("rep", F.explode("tokens").alias("token"))
     leads = posted.groupBy("token").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("posts")).where("posts > 1")
-    meets = materialize(posted.join(leads, "token").groupBy("rep", "lead").count().drop("count"))
+    meets = materialize(join_counted(posted, materialize(leads), "token", "posts", "rep").groupBy("rep", "lead").count().drop("count"))
     blocks = connected_components(meets.select(F.col("rep").alias("a"), F.col("lead").alias("b")))
 
     sizes = signed.groupBy(F.col("doc").alias("node")).agg(F.max("bytes").alias("bytes"))
@@ -234,7 +256,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     # many classes may have met the same smallest one: they are split as well
     split = placed.groupBy("lead").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CELL), F.ceil(F.sum("bytes") / CELL_BYTES)).cast("int").alias("splits"))
     placed = materialize(placed.join(split, "lead"))
-    body = texts.withColumn("rep", F.coalesce("doc_id", F.lit(LAST))).select("rep", "text")
+    body = texts.select(F.col("key").alias("rep"), "text")
     body = materialize(placed.hint("shuffle_hash").join(body, "rep"))
     at = lambda key, seed: F.pmod(F.xxhash64(key, F.lit(seed)), F.col("cells")).cast("int")
     # no way of dealing shares a cell with another
@@ -251,16 +273,21 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
         homes = spots.groupBy("token").agg(F.collect_set("cell").alias("homes"))
         ask = spots.where("query").select("rep", "token").join(homes, "token").groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("homes"))).alias("homes"))
         text = body.where("cells > 1").select("rep", "block", "text")
-        asked = text.join(marked.where("query").select("rep", "comp", "query"), "rep").join(ask, "rep").withColumn("cell", F.explode("homes")).drop("homes")
-        there = text.join(marked.select("rep", "cells", "comp"), "rep").withColumns({"query": F.lit(False), "cell": at("rep", 1)}).drop("cells")
-        needed = asked.select("block", "cell").distinct()
-        last = _dealt(asked.unionByName(there.join(needed, ["block", "cell"], "left_semi")), parts, words, percent)
+        asked = text.join(marked.where("query").select("rep", "comp", "query"), "rep").join(ask, "rep").withColumn("home", F.explode("homes")).drop("homes")
+        there = text.join(marked.select("rep", "cells", "comp"), "rep").withColumns({"query": F.lit(False), "home": at("rep", 1)}).drop("cells")
+        # the queries of a cell are dealt too, and the cell goes with each hand of them
+        hands = asked.groupBy("block", "home").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CELL), F.ceil(F.sum(F.octet_length("text")) / CELL_BYTES)).cast("int").alias("hands"))
+        hands = materialize(hands)
+        hand = lambda h: F.concat_ws("/", "home", h).alias("cell")
+        columns = ["block", "rep", "comp", "query", "text"]
+        asked = asked.join(hands, ["block", "home"]).select(*columns, hand(F.pmod(F.xxhash64("rep", F.lit(1)), "hands")))
+        there = there.join(hands, ["block", "home"]).select(*columns, F.explode(F.sequence(F.lit(0), F.col("hands") - 1)).alias("h"), "home")
+        last = _dealt(asked.unionByName(there.select(*columns, hand(F.col("h")))), parts, words, percent)
         links = links.unionAll(materialize(last))
     roots = connected_components(links)
     joined = member.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("doc", "n", "rep", F.coalesce("root", "rep").alias("root"))
     alone = signed.where("n = 0").select("doc", "n", F.col("doc").alias("rep"), F.col("doc").alias("root"))
-    real = lambda c: F.when(F.col(c) != LAST, F.col(c))
-    return joined.unionAll(alone).select(real("doc").alias("doc_id"), F.col("n").alias("n_shingles"), real("rep").alias("class_id"), real("root").alias("component_id"))
+    return joined.unionAll(alone).withColumnRenamed("doc", "key")
 
 
 def op6_minhash_near_dedup(spark, sf_dir):

@@ -9,7 +9,8 @@ of a tree, until a source has one left, of which so many words are taken: a sour
 target by less than a word. Draws are hashes of seed, level and doc_ids, so reruns agree.
 
 Nulls: text counts as empty, the null source is a source of its own and last, a null doc_id sorts
-last. Documents without words take none. Rows that share a doc_id are separate documents that draw alike.
+last. Documents without words take none. Where a doc_id is null or repeated, rows are separate documents and draw by
+their place in the table that sizes are written to, so rows of one doc_id spread over groups like any others.
 Empty tables give empty results. Only doc_id, text and source are read.
 """
 
@@ -28,7 +29,7 @@ from sextant.llm import bytescan as bs
 from sextant.llm.shared import materialize
 
 GROUP = 1024
-ROUNDED = "doc_id long, source string, size long, whole long, fraction double, left boolean"
+ROUNDED = "doc_id long, row long, source string, size long, whole long, fraction double, left boolean"
 
 
 def _sizes(batches):
@@ -79,9 +80,9 @@ def _draw(seed: int, level: int, a: int, b: int) -> float:
 
 def _pivot(seed: int, level: int, last: bool):
     def pivot(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "doc_id"], ascending=[False, True], na_position="last", ignore_index=True)
+        rows = rows.sort_values(["size", "row"], ascending=[False, True], ignore_index=True)
         size, p = rows["size"].to_numpy(), rows["fraction"].to_numpy().copy()
-        ids = rows["doc_id"].fillna(-1).to_numpy().astype(np.int64)
+        ids = rows["row"].to_numpy()
         left = np.zeros(len(rows), bool)
         open_ = -1
         for k in range(len(rows)):
@@ -106,7 +107,7 @@ def _pivot(seed: int, level: int, last: bool):
             open_ = next((x for x in (i, k) if 0.0 < p[x] < 1.0), -1)
         if open_ >= 0:
             left[open_] = not last
-        return rows.assign(fraction=p, left=left)[["doc_id", "source", "size", "whole", "fraction", "left"]]
+        return rows.assign(fraction=p, left=left)[["doc_id", "row", "source", "size", "whole", "fraction", "left"]]
 
     return pivot
 
@@ -117,7 +118,9 @@ def mix_sources(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sh
     The driver gets one row per source (name, size, documents), never a row per document.
     """
     spark = documents.sparkSession
-    counted = materialize(word_counts(documents))
+    counted = materialize(word_counts(documents).withColumn("place", F.monotonically_increasing_id()))
+    repeated = not counted.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
+    counted = counted.withColumn("row", F.col("place") if repeated else F.col("doc_id")).drop("place")
     found = counted.groupBy("source").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).collect()
     sizes = {r["source"]: int(r["s"]) for r in found}
     wanted = targets(sizes, weights, share, most)
@@ -136,7 +139,7 @@ def mix_sources(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sh
     plan = spark.createDataFrame(plan, "source string, source_size long, target double, whole long, fraction double, steps array<int>")
     done, live = None, counted.alias("d").join(plan.alias("p"), F.expr("d.source <=> p.source")).select("d.*", "p.whole", "p.fraction", "p.steps")
     for level in range(max(depth, 1)):
-        salt = F.pmod(F.xxhash64("doc_id", F.lit(seed + level)), F.coalesce(F.get("steps", F.lit(level)), F.lit(1)))
+        salt = F.pmod(F.xxhash64("row", F.lit(seed + level)), F.coalesce(F.get("steps", F.lit(level)), F.lit(1)))
         last = level == max(depth, 1) - 1
         step = materialize(live.withColumn("salt", salt).drop("steps").groupBy("source", "salt").applyInPandas(_pivot(seed, level, last), ROUNDED))
         over = step.where("not left").drop("left")

@@ -10,7 +10,7 @@ from sextant.operators.shared import cleanup, connected_components, materialize,
 __all__ = ["LAST", "cleanup", "connected_components", "join_counted", "materialize", "row_keys", "shared_dir"]
 
 LAST = 2**63 - 1  # stands for a null doc_id
-HOT_KEYS = 1000
+HOT_KEYS, SALTS = 1000, 16
 
 
 def row_keys(documents: DataFrame, *columns) -> tuple[DataFrame, DataFrame | None]:
@@ -36,11 +36,12 @@ def row_keys(documents: DataFrame, *columns) -> tuple[DataFrame, DataFrame | Non
     return keyed, names.select("key", F.when(F.col("id") != LAST, F.col("id")).alias("doc_id"), "copies")
 
 
-def join_counted(rows: DataFrame, counted: DataFrame, key: str, count: str) -> DataFrame:
-    """rows joined with counted, which has one row per key and the number of the key's rows: keys with more than one in HOT_KEYS of all
-    rows, of which there are fewer than HOT_KEYS, are broadcast, so no task gets all rows of one; the others are exchanged. rows is read twice."""
+def join_counted(rows: DataFrame, counted: DataFrame, key: str, count: str, spread: str) -> DataFrame:
+    """rows joined with counted, a written table with one row per key and the number of the key's rows. A key with more than one in HOT_KEYS of all
+    rows (there are fewer than HOT_KEYS of these, so they can be broadcast) is dealt into SALTS parts by a hash of column spread: no task gets all rows of one."""
     total = counted.agg(F.sum(count)).collect()[0][0] or 0
-    hot = counted.where(F.col(count) > total / HOT_KEYS)
-    cold = counted.where(F.col(count) <= total / HOT_KEYS)
-    marked = rows.join(F.broadcast(hot.select(key, F.lit(True).alias("is_hot"))), key, "left")  # fewer than HOT_KEYS rows
-    return rows.join(F.broadcast(hot), key).unionByName(marked.where("is_hot is null").drop("is_hot").join(cold, key))
+    many = F.col(count) > max(2, total / HOT_KEYS)
+    hot = F.broadcast(counted.where(many).select(key, F.lit(True).alias("is_hot")))  # fewer than HOT_KEYS rows
+    dealt = rows.join(hot, key, "left").withColumn("salt", F.when(F.col("is_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(0).cast("int")).drop("is_hot")
+    parts = F.when(many, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(counted.withColumn("salt", F.explode(parts)), [key, "salt"]).drop("salt")

@@ -112,6 +112,23 @@ def test_suffix_dedup_repeated_rows_and_nulls(spark):
     assert suffix_dedup.suffix_dedup(df.limit(0)).count() == 0
 
 
+def test_suffix_dedup_tells_rows_of_one_id_apart(spark):
+    """Rows with one doc_id or none but different texts are different documents: nobody loses what is unique."""
+    rng = random.Random(2)
+    a, b, c = ("".join(rng.choices("abcdefgh ", k=250)) for _ in range(3))
+    df = frame(spark, [(2, a), (2, b), (None, c), (None, c + a), (1, b)], "doc_id long, text string")
+    found = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_bytes"], r["n_removed"]) for r in suffix_dedup.suffix_dedup(df).collect())
+    assert found[:3] == [(False, 1, 250, 0), (False, 2, 250, 0), (False, 2, 250, 250)]
+    assert all(n >= gone for _, _, n, gone in found) and sorted(n - gone for *_, n, gone in found) in ([0, 0, 250, 250, 250], [0, 0, 0, 250, 500], [0, 0, 250, 250, 250])
+
+
+@pytest.mark.parametrize("width", [33, 64, 100, 129, 400])
+def test_suffix_dedup_at_any_length(spark, width):
+    rows = texts(n=36)
+    found = suffix_dedup.suffix_dedup(documents(spark, rows), width).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found} == brute_removed(rows, width)
+
+
 def brute_components(rows, words=4):
     lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     sets = {}
@@ -149,6 +166,22 @@ def test_near_duplicates(spark, monkeypatch, cell):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute_components(rows)
 
 
+def test_near_duplicates_in_a_long_chain(spark):
+    """A version history: each text is a window of words moved on, linked to its neighbours only."""
+    words = [f"w{k}" for k in range(1000)]
+    rows = [" ".join(words[8 * k : 8 * k + 100]) for k in range(110)]
+    found = minhash_dedup.near_duplicates(documents(spark, rows), words=4).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute_components(rows)
+    assert {r["component_id"] for r in found} == {0}
+
+
+def test_near_duplicates_tell_rows_of_one_id_apart(spark):
+    rows = [(3, "a b c d e"), (3, "f g h i j"), (None, "f g h i j"), (None, "k l m n o"), (5, "A b c d e"), (3, "f g h i j")]
+    df = frame(spark, rows, "doc_id long, text string").withColumns({"key": F.lit(1), "text2": F.lit(2), "copies": F.lit(3)})
+    found = sorted((str(r["doc_id"]), r["component_id"] or -1) for r in minhash_dedup.near_duplicates(df).collect())
+    assert found == [("3", 3), ("3", 3), ("3", 3), ("5", 3), ("None", -1), ("None", 3)]
+
+
 def test_near_duplicates_edges(spark):
     assert minhash_dedup.near_duplicates(documents(spark, [])).count() == 0
     df = frame(spark, [(None, "a b c d e"), (4, "A b c d e"), (4, "a b c d e"), (9, None)], "doc_id long, text string").withColumn("rep", F.lit("clash"))
@@ -173,6 +206,19 @@ def test_mixing(spark, monkeypatch):
     assert mixing.mix_sources(df.limit(0)).count() == 0
 
 
+def test_mixing_spreads_repeated_ids(spark, monkeypatch):
+    """Rows of one doc_id, and of none, are documents of their own and don't meet in one group."""
+    monkeypatch.setattr(mixing, "GROUP", 16)
+    rows = [(7 if k % 2 else None, "w " * (3 + k % 9), "en", "a" if k % 3 else None, 1) for k in range(200)]
+    found = mixing.mix_sources(frame(spark, rows)).collect()
+    assert len(found) == 200 and all(0 <= r["taken"] <= 2 * r["size"] for r in found)
+    taken, target = collections.Counter(), {}
+    for r in found:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert all(abs(taken[s] - target[s]) <= 1 for s in target)
+
+
 def test_targets_cap_and_reshare():
     assert mixing.targets({"a": 10, "b": 100, None: 100}) == {"a": 20.0, "b": pytest.approx(196.6666667), None: pytest.approx(98.3333333)}
     assert mixing.targets({}) == {}
@@ -182,7 +228,7 @@ def test_mixing_is_unbiased(spark):
     p = np.zeros(30)
     import pandas as pd
 
-    rows = pd.DataFrame({"doc_id": range(30), "source": "s", "size": [5 + k % 7 for k in range(30)], "whole": 0, "fraction": 0.3, "salt": 0})
+    rows = pd.DataFrame({"doc_id": range(30), "row": range(30), "source": "s", "size": [5 + k % 7 for k in range(30)], "whole": 0, "fraction": 0.3, "salt": 0})
     for seed in range(400):
         out = mixing._pivot(seed, 0, True)(rows)
         p += out.sort_values("doc_id")["fraction"].to_numpy()
