@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.llm.bpe_codec import bpe_encode
-from sextant.llm.minhash_dedup import near_duplicates
+from sextant.llm.minhash_dedup import linked
 from sextant.llm.mixing import mix_sources
-from sextant.llm.shared import materialize
+from sextant.llm.shared import materialize, row_keys
 from sextant.llm.suffix_dedup import suffix_dedup
 from sextant.llm.toxicity import fit_toxicity, held_out
 
@@ -28,14 +28,24 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five words, 0.8) the document with the smallest doc_id stays; documents without words all stay."""
-    found = near_duplicates(docs)
-    gone = found.where("n_shingles > 0 and not doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of near-duplicates (five words, 0.8) the document with the smallest doc_id stays, null last; documents without words all stay.
+    Rows that share a doc_id are documents of their own where their texts differ; of rows equal in both one stays."""
+    rows, names = row_keys(docs, "lang", "source", "n_chars")
+    texts = rows.select("key", "text")
+    if names is not None:
+        texts = materialize(texts.groupBy("key").agg(F.min("text").alias("text")))
+    found = linked(texts, 5, 80)
+    kept = rows.join(found.where("n > 0 and key <> root").select("key"), "key", "left_anti")
+    if names is None:
+        return kept.select(*COLUMNS)
+    again = names.where("copies > 1").join(found.where("n > 0").select("key"), "key").select("key")
+    once = kept.join(again, "key").groupBy("key").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return kept.join(again, "key", "left_anti").select(*COLUMNS).unionByName(once)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of strings of 100 bytes that start earlier too are cut out; a character cut in two goes as well. Documents with nothing left of their text go."""
+    """Bytes of strings of 100 bytes that start earlier too are cut out; a character cut in two goes as well. Documents with nothing left of their text go.
+    Rows that share a doc_id are documents of their own where their texts differ."""
     kept = suffix_dedup(docs, extra=["lang", "source"])
     # what was cut out may leave part of a character at either end
     text = F.regexp_replace(F.try_validate_utf8(F.col("kept").cast("string")), "�", "")
@@ -47,10 +57,12 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it (not at all, once or twice); the one document of a source of which the mix takes a part
     comes with that many of its words. Documents without words stay once."""
-    taken = mix_sources(docs).select("doc_id", "size", "taken", "source")
-    plan = taken.withColumns({"copies": F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size"))).cast("int"), "rest": F.when(F.col("size") == 0, 0).otherwise(F.col("taken") % F.col("size"))})
-    plan = plan.where("copies > 0 or rest > 0").select("doc_id", "source", "copies", "rest").distinct()
-    rows = docs.alias("d").join(plan.alias("p"), F.expr("d.doc_id <=> p.doc_id and d.source <=> p.source")).select("d.*", "p.copies", "p.rest")
+    rows = docs.withColumn("row", F.col("doc_id").cast("long"))
+    if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():  # rows are told apart by their place
+        rows = materialize(docs.withColumn("row", F.monotonically_increasing_id()))
+    taken = mix_sources(rows.select(F.col("row").alias("doc_id"), "text", "source")).select(F.col("doc_id").alias("row"), "size", "taken")
+    plan = taken.select("row", F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size"))).cast("int").alias("copies"), F.when(F.col("size") == 0, 0).otherwise(F.col("taken") % F.col("size")).alias("rest"))
+    rows = rows.join(plan.where("copies > 0 or rest > 0"), "row")
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("rest").cast("int")), " ")
     texts = F.concat(F.array_repeat("text", F.col("copies")), F.when(F.col("rest") > 0, F.array(part)).otherwise(F.array().cast("array<string>")))
     return rows.withColumn("text", F.explode(texts)).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
