@@ -80,3 +80,47 @@ def test_tokens(stages):
     encoded = lambda t: (lambda ids: struct.pack(f"<{len(ids)}I", *ids))(library.encode(t or "", add_special_tokens=False).ids)
     wanted = collections.Counter((r["doc_id"], encoded(r["text"])) for r in stages["mixing"].collect())
     assert collections.Counter((r["doc_id"], bytes(r["ids"])) for r in stages["tokens"].collect()) == wanted
+
+
+AWKWARD = "doc_id long, text string, lang string, source string, n_chars long, key long, row long"
+WORDS = [f"w{k}" for k in range(400)]
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    """Repeated and null doc_ids, null, empty and equal rows, extra columns with names that the stages use."""
+    a, b, c = (" ".join(WORDS[k : k + 60]) for k in (0, 100, 200))
+    rows = [(1, a, "s"), (1, b, "s"), (1, b, "s"), (None, c, "t"), (None, c, None), (None, None, "t"), (7, "", "s"), (7, "", "s"), (9, a + " more", "t"), (None, "x y z", None), (4, "one two three", "s"), (4, "four five six", "t")]
+    return spark.createDataFrame([(d, t, None, s, None, 1, 2) for d, t, s in rows], AWKWARD)
+
+
+def texts_of(df):
+    return sorted((r["text"] is None, r["text"] or "") for r in df.collect())
+
+
+def test_near_dedup_keeps_what_is_unique(spark, folder, awkward):
+    a, b, c = (" ".join(WORDS[k : k + 60]) for k in (0, 100, 200))
+    kept = cp.near_dedup(spark, awkward, folder)
+    assert kept.columns == cp.COLUMNS and texts_of(kept) == sorted([(False, t) for t in (a, b, c, "", "", "x y z", "one two three", "four five six")] + [(True, "")])
+
+
+def test_passages_keep_what_is_unique(spark, folder, awkward):
+    kept = cp.passages(spark, cp.near_dedup(spark, awkward, folder), folder)
+    assert kept.columns == cp.COLUMNS and "".join(r["text"] or "" for r in kept.collect()).count("w110 ") == 1 and kept.count() == 9
+
+
+def test_mixing_takes_no_row_more_than_twice(spark, folder, awkward):
+    out = collections.Counter(r["text"] for r in cp.mixing(spark, awkward, folder).collect())
+    given = collections.Counter(r["text"] for r in awkward.collect())
+    whole = {t: n for t, n in out.items() if t in given}
+    assert all(n <= 2 * given[t] for t, n in whole.items()) and sum(n for t, n in out.items() if t not in given) <= 3
+    assert out[None] == 1 and out[""] == 2  # without words: once each
+
+
+@pytest.mark.parametrize("stage", [n for n, _ in cp.STAGES])
+def test_stages_take_awkward_and_empty_tables(spark, folder, awkward, stage):
+    run = dict(cp.STAGES)[stage]
+    for docs in (awkward, awkward.limit(0)):
+        out = run(spark, docs, folder)
+        assert stage == "tokens" or out.columns == cp.COLUMNS
+        assert (out.count() > 0) == (docs.count() > 0)
