@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sextant.llm import bytescan as bs
+from sextant.llm.shared import bounded_batches
 
 PIECE_CHARS, CACHED_WORDS, CACHED_PAIRS = 1 << 20, 250_000, 500_000
 END = "\x00"  # stands for the mark of a word's end; no visible byte character
@@ -196,7 +197,7 @@ def bpe_encode(documents: DataFrame, vocabulary: str, with_ids: bool = True) ->
     with open(vocabulary, "rb") as f:
         source = documents.sparkSession.sparkContext.broadcast(f.read())
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_coded(source, with_ids), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids)
+    return bounded_batches(rows).mapInArrow(_coded(source, with_ids), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids)
 
 
 def bpe_decode(encoded: DataFrame, vocabulary: str) -> DataFrame:

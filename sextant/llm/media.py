@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sextant.llm import bytescan as bs
+from sextant.llm.shared import bounded_batches
 
 FRAME, PEAKS, REACH, BLOCK, RATE = 576, 3, 2, 512, 8000
 HANN = np.hanning(FRAME).astype(np.float32)
@@ -103,7 +104,7 @@ def media_columns(documents: DataFrame, full: bool = True) -> DataFrame:
     fingerprint); with full also landmarks (time-coded array) and media (the WAV file)."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return rows.mapInArrow(_media(full), schema + ", landmarks array<long>, media binary" * full)
+    return bounded_batches(rows).mapInArrow(_media(full), schema + ", landmarks array<long>, media binary" * full)
 
 
 def op2_media_columns(spark, sf_dir):

@@ -270,8 +270,8 @@ def linked(texts: DataFrame, words: int, percent: int) -> DataFrame:
         main = comp.groupBy("block", "comp").count().groupBy("block").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
         marked = materialize(comp.join(main, "block").select("rep", "cells", "comp", (F.col("comp") != F.col("main")).alias("query")))
         spots = posted.join(marked, "rep").select("rep", "token", "query", at("rep", 1).alias("cell"))
-        homes = spots.groupBy("token").agg(F.collect_set("cell").alias("homes"))
-        ask = spots.where("query").select("rep", "token").join(homes, "token").groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("homes"))).alias("homes"))
+        homes = materialize(spots.groupBy("token").agg(F.collect_set("cell").alias("homes"), F.count_if("query").alias("asks")).where("asks > 0"))
+        ask = join_counted(spots.where("query").select("rep", "token"), homes, "token", "asks", "rep").groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("homes"))).alias("homes"))
         text = body.where("cells > 1").select("rep", "block", "text")
         asked = text.join(marked.where("query").select("rep", "comp", "query"), "rep").join(ask, "rep").withColumn("home", F.explode("homes")).drop("homes")
         there = text.join(marked.select("rep", "cells", "comp"), "rep").withColumns({"query": F.lit(False), "home": at("rep", 1)}).drop("cells")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sextant.llm import bytescan as bs
-from sextant.llm.shared import materialize
+from sextant.llm.shared import bounded_batches, materialize
 
 GROUP = 1024
 ROUNDED = "doc_id long, row long, source string, size long, whole long, fraction double, left boolean"
@@ -54,7 +54,7 @@ def _sizes(batches):
 def word_counts(documents: DataFrame) -> DataFrame:
     """(doc_id, source, size): the number of runs of characters other than space and \\x09-\\x0D."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_sizes, "doc_id long, source string, size long")
+    return bounded_batches(rows).mapInArrow(_sizes, "doc_id long, source string, size long")
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> dict[str | None, float]:

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sextant.llm import bytescan as bs
+from sextant.llm.shared import bounded_batches
 from sextant.llm.minhash_dedup import shingles
 from sextant.llm.toxicity import held_out
 
@@ -101,7 +102,7 @@ def _measure(batches):
 def measured(documents: DataFrame) -> DataFrame:
     """doc_id and STATISTICS of every row."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_measure, "doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS))
+    return bounded_batches(rows).mapInArrow(_measure, "doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS))
 
 
 Rule = tuple[tuple[int, bool, float], ...]  # (statistic, above, threshold), ...

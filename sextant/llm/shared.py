@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 
 from sextant.operators.shared import cleanup, connected_components, materialize, shared_dir
 
-__all__ = ["LAST", "cleanup", "connected_components", "join_counted", "materialize", "row_keys", "shared_dir"]
+__all__ = ["LAST", "bounded_batches", "cleanup", "connected_components", "join_counted", "materialize", "row_keys", "shared_dir"]
 
 LAST = 2**63 - 1  # stands for a null doc_id
 HOT_KEYS, SALTS = 1000, 16
 
 
+def bounded_batches(df: DataFrame, most: str = "8m") -> DataFrame:
+    """df itself; the session's Arrow batches are bounded by bytes too (Spark's own bound is 64 MB, and each task holds several), for texts differ much in length."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+    return df
+
+
 def row_keys(documents: DataFrame, *columns) -> tuple[DataFrame, DataFrame | None]:
     """(rows(key, doc_id, text, columns), names): key is a long that differs between different documents and is in the order of doc_id, null last.
 
@@ -20,7 +26,7 @@ def row_keys(documents: DataFrame, *columns) -> tuple[DataFrame, DataFrame | Non
     texts differ (128 bits of hash, which also order them): keys are then places in the order of distinct (doc_id, hash), numbered by ranges, so that
     a doc_id of any number of rows is spread over tasks. Rows equal in both share a key. names(key, doc_id, copies) has one row per key.
     """
-    spark = documents.sparkSession
+    spark = bounded_batches(documents).sparkSession
     rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *columns)
     if rows.groupBy("key").count().where("count > 1").isEmpty():
         return rows, None

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sextant.llm import bytescan as bs
+from sextant.llm.shared import bounded_batches
 
 MIN_Z, MIN_DOCS, WINDOW, OVERLAP, LENGTHS = 6.0, 4, 96, 10, (5, 6, 7, 8, 9, 10, 11)
 PRIMER = bytes((k * 7 + 3) % 31 + 1 for k in range(64))
@@ -158,7 +159,7 @@ class ToxicityModel:
                 yield pa.RecordBatch.from_arrays([ids, pa.array(model.probability(np.array(found)))], names=["doc_id", "score"])
 
         rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        return rows.mapInArrow(score, "doc_id long, score double")
+        return bounded_batches(rows).mapInArrow(score, "doc_id long, score double")
 
 
     def keep(self, documents: DataFrame, threshold: float) -> DataFrame:
@@ -172,7 +173,7 @@ class ToxicityModel:
                 found = [distance.statistics((t.as_py() or "").lower().encode()) if distance else np.zeros(6) for t in text]
                 yield batch.filter(pa.array(model.probability(np.array(found).reshape(-1, 6)) < threshold))
 
-        return documents.mapInArrow(keep, documents.schema)
+        return bounded_batches(documents).mapInArrow(keep, documents.schema)
 
 
 def _bent(x: np.ndarray) -> np.ndarray:
