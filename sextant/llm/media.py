@@ -2,7 +2,7 @@
 
 A text's UTF-8 bytes, filled up with 255 to a positive multiple of FRAME, are the samples of a
 mono WAV file written and read by the wave module. Windows of FRAME samples at half-window steps are
-transformed; each keeps its PEAKS largest local maxima, and each peak is paired with the peaks of
+transformed; each keeps its PEAKS largest local maxima (silence has none), and each peak is paired with the peaks of
 the next REACH windows. A pair is coded as one long: time << 40 | first bin << 24 | second bin << 8 | step.
 
 Null and empty texts give one frame of 255s. Rows are independent; repeated rows give repeated
@@ -57,18 +57,19 @@ def landmarks(samples: bytes) -> np.ndarray:
         rows = np.arange(len(peak))
         top = np.empty((len(peak), PEAKS), np.int64)
         for m in range(PEAKS):
-            top[:, m] = np.argmax(peak, axis=1)
-            peak[rows, top[:, m]] = 0
-        bins.append(np.sort(top, axis=1) + 2)
+            best = np.argmax(peak, axis=1)
+            top[:, m] = np.where(peak[rows, best] > 0, best + 2, 0)  # 0: the window has no such peak
+            peak[rows, best] = 0
+        bins.append(np.sort(top, axis=1))
     bins = np.concatenate(bins)
     codes = [np.zeros(0, np.int64)]
     for step in range(1, REACH + 1):
         a, b = bins[:-step, :, None], bins[step:, None, :]
         if len(a):
             time = np.arange(len(a))[:, None, None]
-            codes.append(((time << 40) | (a << 24) | (b << 8) | step).ravel())
+            codes.append(((time << 40) | (a << 24) | (b << 8) | step)[(a > 0) & (b > 0)])
     if len(bins) == 1:  # a single window has its own peaks only
-        codes.append((bins[0] << 24).ravel())
+        codes.append(bins[0][bins[0] > 0] << 24)
     return np.sort(np.concatenate(codes))
 
 
@@ -108,4 +109,4 @@ def media_columns(documents: DataFrame, full: bool = True) -> DataFrame:
 
 
 def op2_media_columns(spark, sf_dir):
-    return media_columns(spark.read.parquet(f"{sf_dir}/documents.parquet"), full=False)
+    return media_columns(spark.read.parquet(f"{sf_dir}/documents.parquet"))

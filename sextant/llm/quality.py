@@ -5,7 +5,7 @@ quadruples). Small trees grown on random parts of a bounded labelled sample give
 rule, a conjunction of comparisons with statistics. A lasso-penalised logistic regression over
 all rules leaves a few; these, with their weights, are compiled into one Spark column expression.
 
-Bounds: at most max_rows labelled rows, the first by a hash of doc_id, are fitted on. Scoring takes
+Bounds: at most max_rows labelled rows, the first by a hash of doc_id, are fitted on, one text for each doc_id. Scoring takes
 every text as a whole. Null text counts as empty; all statistics of an empty text are 0, and the rules
 score them as any others. Without labels of both classes the score is the one label there is, or 0.5.
 Rows are independent; only doc_id and text are read.
@@ -183,10 +183,10 @@ class QualityModel:
 
 def fit_quality(documents: DataFrame, labels: DataFrame, max_rows: int = 12_000, trees: int = 40, depth: int = 3, penalty: float = 0.0015) -> QualityModel:
     """labels(doc_id, quality): training labels only; the caller leaves the held-out ones out. Rows with a null label don't count."""
-    known = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") == 1).cast("double").alias("y"))
+    known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("quality") == 1).cast("double").alias("y"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    picked = texts.join(F.broadcast(sample), "doc_id")  # at most max_rows rows of ids and labels
+    picked = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))  # at most max_rows rows: one text for each doc_id
     rows = np.array([tuple(r) for r in measured(picked).join(F.broadcast(sample), "doc_id").select("doc_id", "y", *STATISTICS).collect()], float)
     if not len(rows) or np.ptp(rows[:, 1]) == 0:
         return QualityModel(0.0 if not len(rows) else (20.0 if rows[0, 1] else -20.0))
@@ -204,6 +204,8 @@ def fit_quality(documents: DataFrame, labels: DataFrame, max_rows: int = 12_000,
             seen.add(key)
             names.append(rule)
             columns.append(c)
+    if not columns:  # no rule tells any rows apart
+        return QualityModel(float(np.log(y.mean() / (1 - y.mean()))))
     matrix = np.column_stack(columns).astype(np.float64)
     weights, constant = lasso_logistic(matrix, y, penalty)
     return QualityModel(constant, [(r, float(w)) for r, w in zip(names, weights, strict=True) if w])

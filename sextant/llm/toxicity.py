@@ -1,18 +1,17 @@
 """Toxicity by compression distance: two zstandard dictionaries, one of toxic and one of ordinary text.
 
-Training counts, over a bounded sample of labelled documents, the word beginnings and whole words of
-either class by document. Segments over-represented in a class (a root likelihood ratio of at least MIN_Z) make up that class's
-dictionary, together with the segments frequent in both. A text is compressed window by window
-against each dictionary; the windows' differences in length are summed up in a few statistics, which a
-logistic regression turns into a probability. Three quarters of the sample make the dictionaries; the
-rest, which they have not seen, calibrates the regression, reweighted to the share of toxic labels among
-all training labels.
+zstandard trains both, over a bounded sample of labelled documents: the ordinary one on the ordinary texts, the toxic one on those words of
+toxic texts that hold a word beginning or whole word over-represented among toxic documents (a root likelihood ratio of at least MIN_Z), for toxic
+texts are mostly ordinary and would else train the same dictionary twice. Both stand on the ordinary dictionary, so what remains between them is the toxic part. A
+text is compressed window by window against each; a window counts as toxic from a gain in length on that is calibrated, like the
+logistic regression which turns a few statistics of the gains into a probability, on documents which the dictionaries had not
+seen: three quarters of the sample train, the rest calibrates, reweighted to the share of toxic labels among all training labels.
 
 A primer known to both dictionaries precedes each window, so that zstandard never falls back to storing a
 window as it is, and literals are not entropy-coded: each byte saved shows.
 
 Bounds: at most max_toxic and max_ordinary labelled rows are fitted on, the first by a hash of doc_id,
-of texts up to max_chars; scoring takes every text as a whole. Null and empty texts are scored like any
+of texts up to max_chars, one text for each doc_id; scoring takes every text as a whole. Null and empty texts are scored like any
 text without a finding; without labels of both classes the score is the share of toxic labels, or 0.
 Rows are independent; only doc_id and text are read.
 """
@@ -34,6 +33,7 @@ from sextant.llm import bytescan as bs
 from sextant.llm.shared import bounded_batches
 
 MIN_Z, MIN_DOCS, WINDOW, OVERLAP, LENGTHS = 6.0, 4, 96, 10, (5, 6, 7, 8, 9, 10, 11)
+ORDINARY_BYTES, TOXIC_BYTES, CHUNK, SEGMENT, DMER, CUTS = 16_000, 6_000, 24, 30, 6, range(1, 16)
 PRIMER = bytes((k * 7 + 3) % 31 + 1 for k in range(64))
 PARAMETERS = zs.ZstdCompressionParameters(window_log=17, hash_log=15, chain_log=14, search_log=4, min_match=6, target_length=1, strategy=zs.STRATEGY_FAST, write_content_size=0, write_checksum=0, write_dict_id=0)
 
@@ -85,19 +85,27 @@ def over_represented(own: Counter, n: int, other: Counter, m: int, size: int = 8
     return out
 
 
+def trained(size: int, samples: list[bytes]) -> bytes:
+    """A dictionary of at most `size` bytes; of too few samples for training, the samples themselves."""
+    try:
+        return zs.train_dictionary(size, samples, k=SEGMENT, d=DMER).as_bytes()
+    except zs.ZstdError:
+        return b"".join(samples)[-size:]
+
+
 def dictionaries(texts: list[bytes], toxic: list[bool]) -> tuple[bytes, bytes]:
-    """(toxic, ordinary) raw-content dictionaries. The surest segments stand last, where they are nearest; what both
-    have stands at the same distance in either, so that it costs the same."""
+    """(toxic, ordinary) dictionaries of equal length."""
+    fresh = _fresh_words(texts)
     counts, n = (Counter(), Counter()), [0, 0]
-    for words, bad in zip(_fresh_words(texts), toxic, strict=True):
+    for words, bad in zip(fresh, toxic, strict=True):
         counts[bad].update(segments(words))
         n[bad] += 1
-    both = sorted((s for s in counts[0] if len(s) >= 6 and counts[0][s] > n[0] / 50), key=lambda s: (-counts[0][s] - counts[1][s], s))[:400]
-    own = [over_represented(counts[k], n[k], counts[1 - k], n[1 - k]) for k in (0, 1)]
-    rare = [b"".join(reversed(found)) for found in own]
-    size = max(map(len, rare))
-    build = lambda found: b"".join(reversed(both)) + found.rjust(size, b"\x7f") + PRIMER
-    return build(rare[1]), build(rare[0])
+    signs = set(over_represented(counts[1], n[1], counts[0], n[0]))
+    marked = lambda word: any((b" " + word + b" ")[:m] in signs for m in range(LENGTHS[0], len(word) + 3))
+    ordinary = [b" " + b" ".join(words[k : k + CHUNK]) + b" " for words, bad in zip(fresh, toxic, strict=True) if not bad for k in range(0, len(words), CHUNK)]
+    toxic_words = ([w for w in words if marked(w)] for words, bad in zip(fresh, toxic, strict=True) if bad)
+    base, rare = trained(ORDINARY_BYTES, ordinary), trained(TOXIC_BYTES, [b" " + b" ".join(words) + b" " for words in toxic_words if words])
+    return base + rare + PRIMER, base + b"\x7f" * len(rare) + PRIMER
 
 
 class Distance:
@@ -110,13 +118,26 @@ class Distance:
         dictionary.precompute_compress(compression_params=PARAMETERS)  # digested once, at every position
         return zs.ZstdCompressor(compression_params=PARAMETERS, dict_data=dictionary)
 
-    def statistics(self, text: bytes) -> np.ndarray:
-        """Of the windows' (ordinary - toxic) lengths: mean, largest, mean of three, share gaining, gain a window, log of windows."""
+    def gains(self, text: bytes) -> np.ndarray:
+        """(ordinary - toxic) lengths of the windows."""
         text = b" " + text + b" "
         toxic, ordinary = self.toxic.compress, self.ordinary.compress
-        gains = np.array([len(ordinary(w)) - len(toxic(w)) for w in (PRIMER + text[max(0, k - OVERLAP) : k + WINDOW] for k in range(0, len(text), WINDOW))], float)
-        top = np.sort(gains)[-3:]
-        return np.array([gains.mean(), top[-1], top.mean(), (gains >= 3).mean(), np.maximum(gains - 1, 0).mean(), math.log(len(gains))])
+        return np.array([len(ordinary(w)) - len(toxic(w)) for w in (PRIMER + text[max(0, k - OVERLAP) : k + WINDOW] for k in range(0, len(text), WINDOW))], float)
+
+
+def statistics(gains: np.ndarray, cut: int) -> np.ndarray:
+    """Mean gain, largest, mean of three, share of windows that gain `cut` or more, gain a window, log of windows."""
+    top = np.sort(gains)[-3:]
+    return np.array([gains.mean(), top[-1], top.mean(), (gains >= cut).mean(), np.maximum(gains - 1, 0).mean(), math.log(len(gains))])
+
+
+def calibrated_cut(gains: list[np.ndarray], toxic: np.ndarray) -> int:
+    """The gain from which a window counts as toxic: where the classes' shares of such windows differ most, in units of their spread."""
+    def apart(cut: int) -> float:
+        share = np.log1p(10 * np.array([(g >= cut).mean() for g in gains]))
+        return (share[toxic].mean() - share[~toxic].mean()) / (share.std() + 1e-9)
+
+    return max(CUTS, key=lambda cut: (apart(cut), -cut))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -141,6 +162,13 @@ class ToxicityModel:
     mean: np.ndarray = field(default_factory=lambda: np.zeros(6))
     scale: np.ndarray = field(default_factory=lambda: np.ones(6))
     beta: np.ndarray | None = None
+    cut: int = 3
+
+    def judge(self):
+        """Function of Arrow texts -> probabilities; made once a task."""
+        distance = Distance(self.toxic, self.ordinary) if self.beta is not None else None
+        found = lambda t: statistics(distance.gains((t.as_py() or "").lower().encode()), self.cut) if distance else np.zeros(6)
+        return lambda texts: self.probability(np.array([found(t) for t in texts]).reshape(-1, 6))
 
     def probability(self, statistics: np.ndarray) -> np.ndarray:
         if self.beta is None:
@@ -153,10 +181,9 @@ class ToxicityModel:
         model = self
 
         def score(batches):
-            distance = Distance(model.toxic, model.ordinary) if model.beta is not None else None
+            judge = model.judge()
             for ids, text in bs.arrow_batches(batches, ["doc_id", "text"]):
-                found = [distance.statistics((t.as_py() or "").lower().encode()) if distance else np.zeros(6) for t in text]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(model.probability(np.array(found)))], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(judge(text))], names=["doc_id", "score"])
 
         rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         return bounded_batches(rows).mapInArrow(score, "doc_id long, score double")
@@ -167,11 +194,10 @@ class ToxicityModel:
         model, kept = self, documents.columns
 
         def keep(batches):
-            distance = Distance(model.toxic, model.ordinary) if model.beta is not None else None
+            judge = model.judge()
             for batch in batches:
-                text = batch.column(kept.index("text"))
-                found = [distance.statistics((t.as_py() or "").lower().encode()) if distance else np.zeros(6) for t in text]
-                yield batch.filter(pa.array(model.probability(np.array(found).reshape(-1, 6)) < threshold))
+                yield batch.filter(pa.array(judge(batch.column(kept.index("text"))) < threshold))
+            bs.give_back()
 
         return bounded_batches(documents).mapInArrow(keep, documents.schema)
 
@@ -182,14 +208,15 @@ def _bent(x: np.ndarray) -> np.ndarray:
 
 def fit_toxicity(documents: DataFrame, labels: DataFrame, max_toxic: int = 2500, max_ordinary: int = 5000, max_chars: int = 20_000) -> ToxicityModel:
     """labels(doc_id, toxic): training labels only; the caller leaves the held-out ones out. Rows with a null label don't count."""
-    known = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") == 1).alias("toxic"))
+    known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") == 1).alias("toxic"))
     share = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     total = sum(share.values())
     if len(share) < 2:
         return ToxicityModel(prior=float(share.get(True, 0) > 0))
     first = [known.where(F.col("toxic") == bad).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for bad, n in ((True, max_toxic), (False, max_ordinary))]
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= max_chars)
-    rows = texts.join(F.broadcast(first[0].unionAll(first[1])), "doc_id").select("doc_id", "text", "toxic").collect()  # at most max_toxic + max_ordinary rows of labels
+    picked = texts.join(F.broadcast(first[0].unionAll(first[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = picked.select("doc_id", "text", "toxic").collect()  # at most max_toxic + max_ordinary rows
     rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"]))
     random.Random(5).shuffle(rows)
     bodies, bad = [r["text"].lower().encode() for r in rows], [bool(r["toxic"]) for r in rows]
@@ -198,14 +225,15 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, max_toxic: int = 2500,
     spare = np.arange(len(rows)) % 4 == 3
     built = dictionaries([b for b, s in zip(bodies, spare, strict=True) if not s], [b for b, s in zip(bad, spare, strict=True) if not s])
     distance = Distance(*built)
-    x = np.array([distance.statistics(b) for b, s in zip(bodies, spare, strict=True) if s])
-    bad = [b for b, s in zip(bad, spare, strict=True) if s]
+    gains = [distance.gains(b) for b, s in zip(bodies, spare, strict=True) if s]
+    bad = np.array(bad)[spare]
     if len(set(bad)) < 2:
         return ToxicityModel(prior=share[True] / total)
-    x, y = _bent(x), np.array(bad, float)
+    cut = calibrated_cut(gains, bad)
+    x, y = _bent(np.array([statistics(g, cut) for g in gains])), bad.astype(float)
     weight = np.where(y == 1, share[True] / y.sum(), share[False] / (len(y) - y.sum())) * len(y) / total
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    return ToxicityModel(*built, share[True] / total, mean, scale, logistic((x - mean) / scale, y, weight))
+    return ToxicityModel(*built, share[True] / total, mean, scale, logistic((x - mean) / scale, y, weight), cut)
 
 
 def held_out(modulus: int, rest: int):
@@ -215,5 +243,4 @@ def held_out(modulus: int, rest: int):
 def op8_toxicity(spark, sf_dir):
     documents, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     model = fit_toxicity(documents, labels.where(~held_out(4, 2)))
-    score = F.coalesce("score", F.lit(0.0))
-    return model.score(documents).select("doc_id", held_out(4, 2).alias("held_out"), score.alias("score"), F.when(score >= 0.3, 1).otherwise(0).alias("predicted"))
+    return model.score(documents).select("doc_id", held_out(4, 2).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))

@@ -254,6 +254,28 @@ def test_landmarks_find_tones():
     assert 40 in set((codes >> 24) & 0xFFFF) and len(codes) == len(set(codes.tolist()))
 
 
+def brute_landmarks(samples):
+    """Peak pairs window by window, with a plain transform of each."""
+    x = [v - 128.0 for v in samples]
+    hann = [0.5 - 0.5 * np.cos(2 * np.pi * k / 575) for k in range(576)]
+    peaks = []
+    for a in range(0, len(x) - 575, 288):
+        power = np.abs(np.fft.fft([v * h for v, h in zip(x[a : a + 576], hann)])[:289])
+        found = [(power[b], b) for b in range(2, 288) if power[b] > power[b - 1] and power[b] >= power[b + 1] and power[b] > 1e-3]
+        peaks.append([b for _, b in sorted(found, key=lambda f: -f[0])[:3]])
+    if len(peaks) == 1:
+        return {(0, b, 0, 0) for b in peaks[0]}
+    return {(t, a, b, step) for t in range(len(peaks)) for step in (1, 2) if t + step < len(peaks) for a in peaks[t] for b in peaks[t + step]}
+
+
+@pytest.mark.parametrize("size", [576, 576 * 2, 576 * 5])
+def test_landmarks_match_brute_force(size):
+    samples = np.random.default_rng(size).integers(0, 256, size).astype(np.uint8).tobytes()
+    codes = media.landmarks(samples)
+    assert {(c >> 40, (c >> 24) & 0xFFFF, (c >> 8) & 0xFFFF, c & 0xFF) for c in codes.tolist()} == brute_landmarks(samples)
+    assert not len(media.landmarks(bytes([128]) * 1152))  # silence
+
+
 def test_bpe_equals_library(spark):
     public = pytest.importorskip("public_tokenizers")
     tokenizers = pytest.importorskip("tokenizers")
@@ -414,6 +436,29 @@ def test_quality_held_out(spark):
     assert quality.fit_quality(docs, labels.limit(0)).score(docs.limit(1)).collect()[0]["score"] == 0.5
 
 
+def test_quality_without_rules_and_with_repeated_ids(spark):
+    docs = frame(spark, [(k, "same words here") for k in range(60)] + [(1, "another row")] * 5, "doc_id long, text string")
+    labels = frame(spark, [(k, k % 2) for k in range(60)] + [(3, 0)] * 4, "doc_id long, quality int")
+    scored = quality.fit_quality(docs, labels).score(docs).collect()
+    assert len(scored) == 65 and all(0.3 < r["score"] < 0.7 for r in scored)
+
+
+def test_toxicity_windows_match_plain_compression(spark):
+    """Gains of a text are those of compressing each of its windows by itself."""
+    docs, labels = labelled(spark)
+    model = toxicity.fit_toxicity(docs, labels)
+    text = "vileword abc def " * 30
+    distance = toxicity.Distance(model.toxic, model.ordinary)
+    padded = b" " + text.encode() + b" "
+    lengths = []
+    for content in (model.ordinary, model.toxic):
+        plain = toxicity.zs.ZstdCompressor(compression_params=toxicity.PARAMETERS, dict_data=toxicity.zs.ZstdCompressionDict(content, dict_type=toxicity.zs.DICT_TYPE_RAWCONTENT))
+        lengths.append([len(plain.compress(toxicity.PRIMER + padded[max(0, k - toxicity.OVERLAP) : k + toxicity.WINDOW])) for k in range(0, len(padded), toxicity.WINDOW)])
+    gains = distance.gains(text.encode())
+    assert len(gains) == len(lengths[0]) and np.corrcoef(gains, np.subtract(*lengths))[0, 1] > 0.5 and gains.mean() > 0
+    assert model.cut in toxicity.CUTS and len(model.toxic) == len(model.ordinary)
+
+
 def test_compiled_rules_equal_the_model(spark):
     docs, labels = labelled(spark, 200)
     model = quality.fit_quality(docs, labels)
