@@ -395,6 +395,38 @@ def test_chat_links(spark):
     assert chat_format.link_calls(calls.limit(0), results.limit(0), chat_format.REPLY).count() == 0
 
 
+def test_chat_order_is_topological(spark):
+    """References against the order of turns, chains of them, a cycle, an unknown one; each against a plain check of all edges."""
+    ref = lambda *ids: "{" + ",".join(f'"a{k}":{{"$result": "{i}"}}' for k, i in enumerate(ids)) + "}"
+    calls = [(1, "a", 5, "t", "{}"), (1, "b", 1, "t", ref("a")), (1, "c", 1, "t", ref("b")), (1, "d", 9, "t", ref("c", "a")), (1, "x", 2, "t", ref("y")), (1, "y", 2, "t", ref("x")), (1, "z", 3, "t", ref("gone")), (None, "a", 0, "t", ref("a2")), (None, "a2", 4, "t", "{}"), (1, "q", 1, "t", '{"s":"\\"$result\\":\\"a\\""}')]
+    results = [(1, "a", 6, "r"), (1, "b", 2, "r"), (1, "c", 2, "r"), (None, "a2", 8, "r")]
+    out = chat_format.link_calls(frame(spark, calls, "conv_id long, call_id string, turn int, name string, arguments string"), frame(spark, results, "conv_id long, call_id string, turn int, content string"), {"t": {}}).collect()
+    at = {(r["conv_id"], r["call_id"], r["kind"]): (r["major"], r["minor"]) for r in out}
+    assert len(out) == len(calls) + len(results)
+    for call, on in (("b", "a"), ("c", "b"), ("d", "c"), ("d", "a")):
+        assert at[1, call, "call"] > at[1, on, "result"] > at[1, on, "call"]
+    assert at[None, "a", "call"] > at[None, "a2", "result"] == (8, 1) and at[1, "q", "call"] == (1, 0) and at[1, "d", "call"] == (9, 0)
+    said = {(r["conv_id"], r["call_id"]): r["problems"] for r in out if r["kind"] == "call"}
+    assert "gone: no such call" in said[1, "z"] and any("in a cycle of references" in said[1, k] for k in "xy") and not any("cycle" in p for k in "abcd" for p in said[1, k])
+
+
+def test_op7_query(spark, folder):
+    """Against a plain version of the query: who answers whom, and in what order."""
+    turns = spark.read.parquet(f"{folder}/conversations.parquet").collect()
+    calls = {(r["conv_id"], r["turn"]) for r in turns if r["role"] != "assistant"}
+    answers = {(r["conv_id"], r["turn"] - 1) for r in turns if r["role"] == "assistant"}
+    found = {(r["conv_id"], r["call_id"], r["kind"]): r for r in chat_format.op7_chat_tool_links(spark, folder).collect()}
+    wanted = {(c, f"{c}-{t}", "call"): (c, t) in answers for c, t in calls} | {(c, f"{c}-{t}", "result"): (c, t) in calls for c, t in answers}
+    assert {k: r["linked"] for k, r in found.items()} == wanted
+    for (c, t), n in ((k, found[k[0], f"{k[0]}-{k[1]}", "call"]) for k in calls):
+        if (c, t) in answers:
+            r = found[c, f"{c}-{t}", "result"]
+            assert (r["major"], r["minor"]) > (n["major"], n["minor"])
+        if t >= 2 and (c, t - 2) in calls and (c, t - 2) in answers:
+            r = found[c, f"{c}-{t - 2}", "result"]
+            assert (n["major"], n["minor"]) > (r["major"], r["minor"])
+
+
 def labelled(spark, n=500):
     rng = random.Random(6)
     common = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 7))) for _ in range(400)]
