@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sextant.llm.shared import materialize
+from sextant.llm.shared import join_counted, materialize
 
 LOWEST = -(2**63)
 
@@ -52,14 +52,14 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     base = documents.select(key.alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     forms = base.select("key", F.char_length("text").alias("n"), canonical(F.col("text")).alias("form"))
     known = materialize(forms.select("key", "n", wide_hash(F.col("form")).alias("h"), F.sha2("form", 256).alias("s")))
-    several = known.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h", F.lit(True).alias("several"))
+    several = materialize(known.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").withColumn("several", F.lit(True)))
     marks = known.groupBy("key").agg(F.max("n").alias("n"), F.min(F.struct("h", "s")).alias("of"))
     chain = following(marks.select("key", "n"))
     asked = chain.select(F.col("next").alias("key"), F.col("key").alias("asker"), F.floor(F.col("n") / 3).cast("int").alias("share"))
     asked = asked.join(marks.select("key", "of"), "key")
     given = base.join(asked.hint("shuffle_hash"), "key").select(F.col("asker").alias("key"), F.struct(F.left("text", F.col("share")).alias("head"), "of").alias("given"))
     given = given.groupBy("key").agg(F.min("given").alias("given"))
-    flagged = known.join(several, "h").select("key", "several").distinct()
+    flagged = join_counted(known.select("key", "h"), several, "h", "c", "key").select("key", "several").distinct()
     n, share = F.char_length("text"), F.floor(F.char_length("text") / 3).cast("int")
     edited = base.join(given, "key").join(flagged.hint("shuffle_hash"), "key", "left")
     edited = edited.select("key", "text", n.alias("n_chars"), "given", "several", F.concat(F.left("text", n - share), F.left("given.head", share)).alias("edited"))
