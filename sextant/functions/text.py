@@ -43,6 +43,62 @@ def paragraphs(text: Column, more_than: int = 50) -> Column:
     return F.filter(F.transform(F.split(text, "\n\n+"), F.trim), lambda p: F.length(p) > more_than)
 
 
+#: LaTeX commands and environments that begin a new part.
+LATEX_PARTS = r"(?=\\(?:section|subsection|subsubsection|paragraph|chapter)\*?\{)|(?=\\begin\{(?:thebibliography|longtable|table|figure|algorithm|theorem|lemma|proof|corollary|definition|example|remark)\*?\})|(?=\\bibitem[\s\[])"
+
+
+def packed_lines(text: Column, most: int) -> Column:
+    """Lines over 30 characters, joined while they stay within `most`; a pack of 50 or fewer characters takes the next line whatever its length, and goes if it is the last."""
+    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda l: F.length(l) > 30)
+    start = F.struct(no_strings().alias("done"), F.lit("").alias("open"))
+
+    def add(state: Column, line: Column) -> Column:
+        done, held = state["done"], state["open"]
+        full = (F.length(held) + F.length(line) + 1 > most) & (F.length(held) > 50)
+        return F.struct(F.when(full, F.concat(done, F.array(F.trim(held)))).otherwise(done).alias("done"), F.when(full | (held == ""), line).otherwise(F.concat(held, F.lit("\n"), line)).alias("open"))
+
+    return F.aggregate(lines, start, add, lambda s: F.when(F.length(F.trim(s["open"])) > 50, F.concat(s["done"], F.array(F.trim(s["open"])))).otherwise(s["done"]))
+
+
+def latex_parts(text: Column, most: int = 5000) -> Column:
+    """Parts of over 50 characters; one of more than `most` becomes its paragraphs if all of several fit, else packs of lines."""
+    long = lambda parts: F.filter(F.transform(parts, F.trim), lambda p: F.length(p) > 50)
+
+    def smaller(part: Column) -> Column:
+        paras = long(F.split(part, "\n\n+"))
+        return F.when(F.length(part) <= most, F.array(part)).when((F.size(paras) > 1) & F.forall(paras, lambda p: F.length(p) <= most), paras).otherwise(packed_lines(part, most))
+
+    return F.flatten(F.transform(long(F.split(text, LATEX_PARTS)), smaller))
+
+
+def section_batches(sections: Column, most: int = 3500, least: int = 30, carried: int = 500) -> Column:
+    """array<array<string>>: sections of `least` or more characters in batches of up to `most`; a batch begins with the last section of the one before, if that has `carried` characters or fewer."""
+    kept = F.filter(sections, lambda s: F.length(F.trim(s)) >= least)
+    empty = F.array().cast("array<array<string>>")
+    start = F.struct(empty.alias("done"), no_strings().alias("open"), F.lit(0).alias("size"))
+
+    def add(state: Column, part: Column) -> Column:
+        held, last = state["open"], F.try_element_at(state["open"], F.lit(-1))
+        full = (state["size"] + F.length(part) > most) & (F.size(held) > 0)
+        carry = F.when(F.length(last) <= carried, F.array(last)).otherwise(no_strings())
+        before = F.when(full, carry).otherwise(held)
+        size = F.when(full, F.when(F.length(last) <= carried, F.length(last)).otherwise(0)).otherwise(state["size"])
+        return F.struct(F.when(full, F.concat(state["done"], F.array(held))).otherwise(state["done"]).alias("done"), F.concat(before, F.array(part)).alias("open"), (size + F.length(part)).alias("size"))
+
+    return F.aggregate(kept, start, add, lambda s: F.when(F.size(s["open"]) > 0, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"]))
+
+
+def section_paths(names: Column, depths: Column) -> Column:
+    """Each section's path from the root, depth-first: names and depths are arrays in the order of the document, the root's depth is 1."""
+    start = F.struct(no_strings().alias("paths"), no_strings().alias("stack"))
+
+    def add(state: Column, item: Column) -> Column:
+        stack = F.concat(F.slice(state["stack"], F.lit(1), F.greatest(item["d"] - 1, F.lit(0))), F.array(item["n"]))
+        return F.struct(F.concat(state["paths"], F.array(F.array_join(stack, " > "))).alias("paths"), stack.alias("stack"))
+
+    return F.aggregate(F.arrays_zip(names.alias("n"), depths.alias("d")), start, add, lambda s: s["paths"])
+
+
 def is_garbage(text: Column, least: int = 50, letters: float = 0.4) -> Column:
     share = F.length(F.regexp_replace(text, "[^a-zA-Z0-9]", "")) / F.length(text)
     return (F.length(text) < least) | (share < letters)
@@ -65,7 +121,7 @@ def without_nul(text: Column) -> Column:
 
 def repaired_json(text: Column) -> Column:
     """A backslash that begins no JSON escape is doubled; null where it still is no JSON."""
-    fixed = F.regexp_replace(text, r'\\(?!["\\/bfnrtu])', r"\\\\\\\\")
+    fixed = F.regexp_replace(text, r'(\\["\\/bfnrt]|\\u[0-9a-fA-F]{4})|(\\)', "$1$2$2")  # escapes as they are, lone backslashes twice
     return F.coalesce(F.try_parse_json(text), F.try_parse_json(fixed))
 
 

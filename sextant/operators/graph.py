@@ -96,3 +96,38 @@ def projection_text(claims: DataFrame, edges: DataFrame, most: int = 160) -> Dat
 
 def first_seen(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(order)))
+
+
+def cycles_through(edges: DataFrame, start: DataFrame, hops: int = 6) -> DataFrame:
+    """start(id) -> (id, cycle_hops): the least number of hops from which a walk from the node comes back to it, null if none of up to `hops` does."""
+    step = edges.select(F.col("src").alias("at"), F.col("dst").alias("to")).distinct()
+    walk, found = start.select(F.col("id").alias("start"), F.col("id").alias("at")), None
+    for h in range(1, hops + 1):
+        walk = materialize(walk.join(step, "at").select("start", F.col("to").alias("at")).distinct())
+        back = walk.where("start = at").select("start", F.lit(h).alias("h"))
+        found = back if found is None else found.unionAll(back)
+        walk = walk.where("start <> at")
+    return start.join(found.groupBy(F.col("start").alias("id")).agg(F.min("h").alias("cycle_hops")), "id", "left")
+
+
+def corrected_by(relations: DataFrame) -> DataFrame:
+    """relations(source, target, correction) -> (id, corrected_by): the sources of correcting relations to a claim, process records left out."""
+    kept = relations.where(F.col("correction") & ~F.col("source").rlike("^(run|intent|decision|journal):"))
+    return kept.groupBy(F.col("target").alias("id")).agg(F.sort_array(F.collect_set("source")).alias("corrected_by"))
+
+
+def record_view(records: DataFrame, ids: DataFrame, corrections: DataFrame, heads: DataFrame) -> DataFrame:
+    """Scientific records by id(id), with who corrected them and what superseded them (id, superseded_by)."""
+    found = records.where(F.col("record_type").isin("claim", "relation", "activity", "metric", "bundle")).join(ids.select("id").distinct(), "id", "left_semi")
+    claim = F.col("record_type") == "claim"
+    out = found.join(corrections, "id", "left").join(heads.groupBy("id").agg(F.sort_array(F.collect_set("superseded_by")).alias("superseded_by")), "id", "left")
+    return out.withColumns({"corrected_by": F.when(claim, F.col("corrected_by")), "superseded_by": F.when(claim, F.col("superseded_by"))})
+
+
+def latest_only(records: DataFrame, superseded: DataFrame) -> DataFrame:
+    return records.join(superseded.select("id"), "id", "left_anti")
+
+
+def convergence(run_a: Column, run_b: Column) -> Column:
+    """Two records of one run are an erratum, of two runs convergent."""
+    return F.when(run_a.eqNullSafe(run_b), "erratum").otherwise("convergent")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,9 +116,27 @@ def stratified(rows: DataFrame, key: str, stratum: Column, sizes: dict[str, int]
 
 
 def throttled(rows: DataFrame, key: str, ts: str, days: int) -> DataFrame:
-    """Rows with no row of their key in the days before."""
-    before = F.lag(ts).over(Window.partitionBy(key).orderBy(ts))
-    return rows.withColumn("b", before).where(F.col("b").isNull() | (F.col(ts) >= F.col("b") + F.make_dt_interval(days=F.lit(days)))).drop("b")
+    """Rows at least `days` after the last row of their key that was kept; the first of each key is kept. Whether a row stays depends on all
+    before it, so a key's rows go through one task in order, batch by batch: what it remembers is one time."""
+    at, named = rows.columns.index(ts), rows.columns.index(key)
+    gap = datetime.timedelta(days=days)
+
+    def keep(batches):
+        nothing = object()
+        owner, last = nothing, None
+        for batch in batches:
+            keys, times = batch.column(named).to_pylist(), batch.column(at).to_pylist()
+            kept = []
+            for k, t in zip(keys, times, strict=True):
+                if k != owner or last is None or (t is not None and t >= last + gap):
+                    owner, last = k, t
+                    kept.append(True)
+                else:
+                    kept.append(False)
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, key).sortWithinPartitions(key, ts).mapInArrow(keep, rows.schema)
 
 
 def resume_state(rows: DataFrame, key: str, status: str) -> DataFrame:

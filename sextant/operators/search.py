@@ -54,6 +54,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
     matrix product per Arrow batch scores them and only the best k a batch leave. The exchange moves k rows a query and batch.
     """
     asked = queries.collect()
+    if not asked:
+        return vectors.sparkSession.createDataFrame([], f"query long, {key} long, similarity double, rank int")
     names = [r["query"] for r in asked]
     matrix = np.array([r["vector"] for r in asked], np.float64)
     sizes = np.linalg.norm(matrix, axis=1)
@@ -64,7 +66,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
             ids, values = batch.column(0), batch.column(1)
             if not len(ids) or not names:
                 continue
-            x = np.array(values.to_pylist(), np.float64)
+            x = np.asarray(values.flatten(), np.float64).reshape(len(values), -1)
             found = matrix @ x.T
             size = np.outer(sizes, np.linalg.norm(x, axis=1))
             found = np.where(size > 0, found / np.where(size > 0, size, 1), -np.inf)
@@ -75,7 +77,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
                 row = found[q].copy()
                 if theirs:
                     row[other == theirs[q]] = -np.inf
-                best = np.lexsort((own, -row))[:k]
+                edge = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
+                some = np.flatnonzero(row >= edge)  # the best k, and what ties with the last
+                best = some[np.lexsort((own[some], -row[some]))][:k]
                 best = best[np.isfinite(row[best])]
                 out[0].extend([names[q]] * len(best))
                 out[1].extend(own[best].tolist())

@@ -16,7 +16,7 @@ def cost_keys(s, d):
 
 def table_scores(s, d):
     """A part's row as a little results table."""
-    p = table(s, d, "part").where("p_partkey <= 100")
+    p = table(s, d, "part")
     rows = F.array(F.array(F.col("p_brand"), F.col("p_retailprice").cast("string"), F.lit("text")), F.array(F.lit("n/a"), F.lit("95.5%"), F.lit("more")))
     tables = p.select(F.col("p_partkey").alias("table_id"), F.lit("Table 1: Parts").alias("caption"), F.array(F.lit("Dataset"), F.lit("F1 score"), F.lit("Memory")).alias("headers"), rows.alias("rows"))
     return R.table_scores(tables)
@@ -61,7 +61,7 @@ QUERIES = {f.__name__: f for f in (cost_keys, table_scores, supersede_guards, st
 ORACLE_SQL = {
     "cost_keys": """SELECT CASE event_type WHEN 'click' THEN CASE WHEN event_id % 2 = 0 THEN 'search:rerank' ELSE 'search:fast' END WHEN 'view' THEN CASE WHEN event_id % 2 = 0 THEN 'compare_papers:full' ELSE 'compare_papers' END
         WHEN 'signup' THEN CASE WHEN event_id % 2 = 0 THEN 'submit_document:dry_run' ELSE 'submit_document:latex' END ELSE 'paginate' END AS key, count(*) AS n FROM events GROUP BY 1""",
-    "table_scores": "SELECT p_partkey AS table_id, '' AS task, p_brand AS dataset, 'F1 score' AS metric, p_retailprice AS score FROM part WHERE p_partkey <= 100 UNION ALL SELECT p_partkey, '', 'Parts', 'F1 score', 95.5 FROM part WHERE p_partkey <= 100",
+    "table_scores": "SELECT p_partkey AS table_id, '' AS task, p_brand AS dataset, 'F1 score' AS metric, p_retailprice AS score FROM part UNION ALL SELECT p_partkey, '', 'Parts', 'F1 score', 95.5 FROM part",
     "supersede_guards": """WITH t AS (SELECT conv_id, turn, role, EXISTS (SELECT 1 FROM conversations b WHERE b.conv_id = a.conv_id AND b.turn = 2) AS two FROM conversations a WHERE turn = 1)
         SELECT conv_id || '-1' AS old, array_to_string(list_filter([CASE WHEN EXISTS (SELECT 1 FROM conversations c WHERE c.conv_id = t.conv_id AND c.turn = 0) THEN 'cycle' END, CASE WHEN two THEN 'set-once' END, CASE WHEN role <> 'assistant' THEN 'type' END], lambda x: x IS NOT NULL), ',') AS violated FROM t""",
     "stage_gates": """WITH r AS (SELECT user_id AS run_id, max(event_id) % 3 + 1 AS stage FROM events GROUP BY user_id)

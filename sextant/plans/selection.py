@@ -48,7 +48,7 @@ def canonical_elect_earliest(s, d):
 
 
 def span_gaps(s, d):
-    rows = table(s, d, "events").where("user_id < 50").select("user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("a"), (F.unix_seconds(F.col("ts").cast("timestamp")) + F.round(F.col("value") * 1000).cast("long")).alias("b"))
+    rows = table(s, d, "events").select("user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("a"), (F.unix_seconds(F.col("ts").cast("timestamp")) + F.round(F.col("value") * 1000).cast("long")).alias("b"))
     return R.span_gaps(rows, "user_id", "a", "b")
 
 
@@ -99,7 +99,8 @@ def stratified_sample(s, d):
 
 
 def throttled_log(s, d):
-    return R.throttled(table(s, d, "events").select("user_id", "ts", "event_id"), "user_id", "ts", 7)
+    first = table(s, d, "events").groupBy("user_id", "ts").agg(F.min("event_id").alias("event_id"))  # of events at one time
+    return R.throttled(first, "user_id", "ts", 7)
 
 
 def resume_states(s, d):
@@ -154,7 +155,7 @@ ORACLE_SQL = {
     "best_per_document": "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) = 1",
     "canonical_elect": "SELECT o_custkey AS grp, o_orderkey AS id FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY (o_orderstatus = 'F') DESC, length(o_orderpriority) DESC, o_totalprice DESC, o_orderdate, o_orderkey) = 1",
     "canonical_elect_earliest": "SELECT o_custkey AS grp, o_orderkey AS id FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1",
-    "span_gaps": """WITH r AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS a, CAST(floor(epoch(ts)) AS BIGINT) + CAST(round(value * 1000) AS BIGINT) AS b FROM events WHERE user_id < 50), w AS (SELECT *, max(b) OVER (PARTITION BY user_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r)
+    "span_gaps": """WITH r AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS a, CAST(floor(epoch(ts)) AS BIGINT) + CAST(round(value * 1000) AS BIGINT) AS b FROM events), w AS (SELECT *, max(b) OVER (PARTITION BY user_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r)
         SELECT user_id, a, b, greatest(a - coalesce(before, 0), 0) AS gap, greatest(coalesce(before, 0) - a, 0) AS overlap FROM w""",
     "stride_sample": "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, CAST(ceil(count(*) OVER (PARTITION BY o_custkey) / 4) AS BIGINT) AS step FROM orders) WHERE i % step = 0",
     "keyset_page": "SELECT o_totalprice, o_orderkey FROM orders WHERE o_totalprice < 200000 OR (o_totalprice = 200000 AND o_orderkey < 0) ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 26",
@@ -167,7 +168,8 @@ ORACLE_SQL = {
     "first_wins_dedup": "SELECT min(doc_id) AS doc_id, arg_min(source, doc_id) AS source FROM documents GROUP BY lower(text)",
     "toollog_window": """WITH m AS (SELECT user_id, coalesce(max(CASE WHEN event_type = 'signup' THEN ts END), min(ts)) AS start FROM events WHERE event_type IN ('purchase', 'signup') GROUP BY user_id)
         SELECT e.user_id AS credential, count(*) AS n, min(event_id) AS first FROM events e JOIN m ON e.user_id = m.user_id AND e.ts >= m.start GROUP BY e.user_id""",
-    "throttled_log": "SELECT user_id, ts, event_id FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events) WHERE b IS NULL OR ts >= b + INTERVAL 7 DAY",
+    "throttled_log": """WITH RECURSIVE k AS (SELECT user_id, min(ts) AS ts FROM events GROUP BY user_id UNION ALL SELECT k.user_id, (SELECT min(e.ts) FROM events e WHERE e.user_id = k.user_id AND e.ts >= k.ts + INTERVAL 7 DAY) AS ts FROM k WHERE k.ts IS NOT NULL)
+        SELECT user_id, ts, min(event_id) AS event_id FROM events JOIN k USING (user_id, ts) GROUP BY user_id, ts""",
     "resume_states": "SELECT o_custkey, CASE WHEN count(*) FILTER (WHERE o_orderstatus = 'O') > 0 THEN 'resume' WHEN count(*) FILTER (WHERE o_orderstatus = 'F') = 0 THEN 'virgin' ELSE 'rerun' END AS state FROM orders GROUP BY o_custkey",
     "upsert_latest": "SELECT p_partkey, CASE WHEN p_size > 40 THEN upper(p_name) ELSE p_name END AS p_name, CASE WHEN p_size > 40 THEN 0 ELSE p_size END AS p_size FROM part",
     "insert_ignore": """WITH x AS (SELECT doc_id, source, sha256(text) AS digest FROM documents), n AS (SELECT * FROM x WHERE doc_id >= 100 AND digest NOT IN (SELECT digest FROM x WHERE doc_id < 100))

@@ -17,7 +17,7 @@ def title_normalised(s, d):
 
 
 def title_likeness(s, d):
-    p = table(s, d, "part").where("p_partkey <= 60").select("p_partkey", "p_name")
+    p = table(s, d, "part").select("p_partkey", "p_name")
     q = p.select((F.col("p_partkey") + 1).alias("p_partkey"), F.col("p_name").alias("other"))
     return p.join(q, "p_partkey").select("p_partkey", F.round(T.title_similarity(F.col("p_name"), F.col("other")), 6).alias("similarity"))
 
@@ -55,18 +55,19 @@ def spam_screen(s, d):
 
 
 def extract_ids(s, d):
-    raw = F.concat(F.lit("See doi:10.1234/Ab."), F.col("page_id"), F.lit("). arXiv:2401."), F.lpad(F.col("page_id").cast("string"), 5, "0"), F.lit("v2, 10.5555/x"))
+    raw = F.concat(F.lit("See doi:10.1234/Ab."), F.col("page_id"), F.lit("). arXiv:2401."), F.lpad(F.col("page_id").cast("string"), 5, "0"), F.lit("v2, 10.5555/x "), F.coalesce("html", F.lit("")))
     ids = T.identifiers(raw)
     return table(s, d, "pages").select("page_id", F.array_join(ids["dois"], " ").alias("dois"), F.array_join(ids["arxiv_ids"], " ").alias("arxiv_ids"))
 
 
 def extract_urls(s, d):
-    raw = F.concat(F.lit("https://github.com/a/b"), F.col("page_id"), F.lit(". http://github.com/A/B"), F.col("page_id"), F.lit(" https://github.com/topics/x"))
+    raw = F.concat(F.lit("https://github.com/a/b"), F.col("page_id"), F.lit(". http://github.com/A/B"), F.col("page_id"), F.lit(" https://github.com/topics/x "), F.coalesce("html", F.lit("")))
     return table(s, d, "pages").select("page_id", F.array_join(T.repository_urls(raw), " ").alias("urls"))
 
 
 def dataset_mentions(s, d):
     raw = F.when(F.col("page_id") % 2 == 0, F.lit("We use ImageNet and cifar 10")).otherwise("MNIST, not mnist; SQuAD 2.0")
+    raw = F.concat(raw, F.lit("\n"), F.coalesce("html", F.lit("")))
     return table(s, d, "pages").select("page_id", F.array_join(T.dataset_names(raw), "|").alias("names"))
 
 
@@ -90,6 +91,7 @@ def quality_score(s, d):
 
 def reference_sections(s, d):
     raw = F.when(F.col("page_id") % 3 == 0, F.lit("Intro\n## References\nx")).when(F.col("page_id") % 3 == 1, F.lit("[1] a\n[2] b\n[3] c")).otherwise("none")
+    raw = F.concat(raw, F.lit("\n"), F.coalesce("html", F.lit("")))
     return table(s, d, "pages").select("page_id", T.has_references(raw).alias("has"))
 
 
@@ -114,8 +116,8 @@ def align_recover(s, d):
 
 
 def section_batches(s, d):
-    rows = table(s, d, "documents").select("doc_id", C.packed(T.paragraphs(F.regexp_replace("text", "\n", "\n\n")), 3500).alias("b"))
-    return rows.select("doc_id", F.size("b").alias("batches"), F.coalesce(F.array_max(F.transform("b", F.length)), F.lit(0)).alias("largest"))
+    rows = table(s, d, "documents").select("doc_id", T.section_batches(F.split("text", "\n+")).alias("b"))
+    return rows.select("doc_id", F.size("b").alias("batches"), F.coalesce(F.array_max(F.transform("b", lambda x: F.length(F.array_join(x, "\n")))), F.lit(0)).alias("largest"))
 
 
 def file_types(s, d):
@@ -127,7 +129,7 @@ def file_types(s, d):
 def canonical_records(s, d):
     raw = F.concat(F.lit('{"b": 1.0, "a": [1e21, 0.1, "é"], "id": '), F.col("event_id"), F.lit("}"))
     text = I.canonical_json(raw)
-    return table(s, d, "events").where("event_id < 200").select("event_id", text.alias("json"), F.sha2(text, 256).alias("hash"))
+    return table(s, d, "events").select("event_id", text.alias("json"), F.sha2(text, 256).alias("hash"))
 
 
 def word_overlap(s, d):
@@ -146,7 +148,7 @@ CHUNKS = "chunks AS (SELECT doc_id, unnest(range(len(p))) AS position, unnest(p)
 NORMAL = "trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g'))"
 ORACLE_SQL = {
     "title_normalised": f"SELECT item_id, {NORMAL.format('left(text, 120)')} AS title FROM benchmark",
-    "title_likeness": f"WITH p AS (SELECT p_partkey, {NORMAL.format('p_name')} AS t FROM part WHERE p_partkey <= 60) SELECT a.p_partkey, round(CASE WHEN greatest(length(a.t), length(b.t)) = 0 THEN 1.0 ELSE 1.0 - levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t)) END, 6) AS similarity FROM p a JOIN p b ON a.p_partkey = b.p_partkey + 1",
+    "title_likeness": f"WITH p AS (SELECT p_partkey, {NORMAL.format('p_name')} AS t FROM part) SELECT a.p_partkey, round(CASE WHEN greatest(length(a.t), length(b.t)) = 0 THEN 1.0 ELSE 1.0 - levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t)) END, 6) AS similarity FROM p a JOIN p b ON a.p_partkey = b.p_partkey + 1",
     "title_dedup": f"""WITH t AS (SELECT doc_id, {NORMAL.format('left(text, 60)')} AS t FROM documents), c AS (SELECT t, min(doc_id) AS k FROM t GROUP BY t),
         p AS (SELECT least(x.k, y.k) AS a, greatest(x.k, y.k) AS b, 1 - levenshtein(x.t, y.t) / greatest(length(x.t), length(y.t)) AS similarity FROM c x JOIN c y ON x.k < y.k AND abs(length(x.t) - length(y.t)) <= 0.1 * greatest(length(x.t), length(y.t)) + 1e-9)
         SELECT a, b, round(similarity, 6) AS similarity FROM p WHERE similarity >= 0.9 - 1e-12 UNION ALL SELECT k, doc_id, 1.0 FROM t JOIN c USING (t) WHERE k <> doc_id""",
@@ -156,19 +158,25 @@ ORACLE_SQL = {
         r AS (SELECT doc_id, text, body, bool_or(length(body) >= 200 AND length(trim(left(low, n))) >= n AND length(low) - length(replace(low, left(low, n), '')) > 0.6 * length(body)) AS rep FROM s GROUP BY doc_id, text, body),
         u AS (SELECT *, length(regexp_replace(substring(text, 201, 1800), '[^A-Z]', '', 'g')) AS up, length(regexp_replace(substring(text, 201, 1800), '[^a-z]', '', 'g')) AS lo FROM r)
         SELECT doc_id, CASE WHEN length(body) = 0 THEN 'EMPTY_BODY' WHEN length(body) < 100 THEN 'BELOW_MIN_LENGTH' WHEN rep THEN 'REPETITIVE_CONTENT' ELSE 'ok' END AS code, up + lo >= 100 AND up > 0.6 * (up + lo) AS caps FROM u""",
-    "extract_ids": "SELECT page_id, '10.1234/ab.' || page_id || ' 10.5555/x' AS dois, '2401.' || lpad(CAST(page_id AS VARCHAR), 5, '0') AS arxiv_ids FROM pages",
-    "extract_urls": "SELECT page_id, 'https://github.com/a/b' || page_id AS urls FROM pages",
-    "dataset_mentions": "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'ImageNet|CIFAR-10' ELSE 'SQuAD 2.0|SQuAD|MNIST' END AS names FROM pages",
+    "extract_ids": r"""WITH t AS (SELECT page_id, 'See doi:10.1234/Ab.' || page_id || '). arXiv:2401.' || lpad(CAST(page_id AS VARCHAR), 5, '0') || 'v2, 10.5555/x ' || coalesce(html, '') AS x FROM pages)
+        SELECT page_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(x, '(?i)\b(10\.\d{4,9}/[-._;()/:a-z0-9]+)', 1), lambda v: regexp_replace(lower(v), '[.,;:)\]]+$', '')), lambda v: contains(v, '/')))), ' ') AS dois,
+        array_to_string(list_sort(list_distinct(list_transform(list_concat(regexp_extract_all(x, '(?i)(?:arxiv\.org/(?:abs|pdf)/|arxiv:\s*)(\d{4}\.\d{4,5})(?:v\d+)?', 1), regexp_extract_all(x, '(?i)arxiv\.org/(?:abs|pdf)/([a-z-]+(?:\.[a-z]{2})?/\d{7})(?:v\d+)?', 1)), lambda v: lower(v)))), ' ') AS arxiv_ids FROM t""",
+    "extract_urls": r"""WITH t AS (SELECT page_id, regexp_extract_all('https://github.com/a/b' || page_id || '. http://github.com/A/B' || page_id || ' https://github.com/topics/x ' || coalesce(html, ''), '(https?://github\.com/[\w.-]+/[\w.-]+)', 1) AS u FROM pages),
+        e AS (SELECT page_id, unnest(range(len(u))) AS i, split_part(unnest(u), '/', 4) AS a, split_part(unnest(u), '/', 5) AS r FROM t),
+        k AS (SELECT page_id, i, 'https://github.com/' || a || '/' || regexp_replace(r, '[.),:;]+$', '') AS url FROM e WHERE lower(a) NOT IN ('topics', 'orgs', 'settings', 'issues', 'pulls', 'marketplace', 'explore', 'notifications', 'sponsors', 'features', 'pricing', 'login', 'signup', 'join')),
+        f AS (SELECT page_id, min(i) AS i, arg_min(url, i) AS url FROM k GROUP BY page_id, lower(url)) SELECT page_id, string_agg(url, ' ' ORDER BY i) AS urls FROM f GROUP BY page_id""",
+    "dataset_mentions": "WITH t AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'We use ImageNet and cifar 10' ELSE 'MNIST, not mnist; SQuAD 2.0' END || chr(10) || coalesce(html, '') AS x FROM pages) SELECT page_id, concat_ws('|', " + ", ".join(f"CASE WHEN regexp_matches(x, '{p}') THEN '{n}' END" for n, p in T.DATASETS.items()) + ") AS names FROM t",
     "id_resolve": "WITH h AS (SELECT doc_id, sha256(source || ':' || doc_id) AS a, sha256(CAST(doc_id AS VARCHAR)) AS b FROM documents) SELECT doc_id, 'doc-' || left(a, 16) AS short, substring(b, 1, 8) || '-' || substring(b, 9, 4) || '-' || substring(b, 13, 4) || '-' || substring(b, 17, 4) || '-' || substring(b, 21, 12) AS point FROM h",
     "license_effective": """WITH l AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'CC-BY-NC-4.0' WHEN 1 THEN 'CC-BY-SA-4.0' WHEN 2 THEN 'MIT' ELSE 'NOASSERTION' END AS spdx FROM documents)
         SELECT doc_id, spdx, spdx <> 'CC-BY-NC-4.0' AS open, CASE WHEN spdx = 'CC-BY-NC-4.0' THEN 'CC-BY-4.0' ELSE spdx END AS effective, CASE WHEN doc_id % 2 <> 0 THEN 'listed' WHEN spdx <> 'CC-BY-NC-4.0' THEN 'full' ELSE 'abstract' END AS tier FROM l""",
     "quality_score": f"""WITH {CHUNKS}, c AS (SELECT doc_id, count(*) AS chunks, sum(length(content)) AS chars, sum(CASE WHEN length(content) < 50 THEN 1 ELSE 0 END) AS short, sum(CASE WHEN NOT regexp_matches(regexp_replace(content, '\\s+$', ''), '[.!?:;)]\\s*$') THEN 1 ELSE 0 END) AS open FROM chunks GROUP BY doc_id),
         q AS (SELECT doc_id, chunks, chars / length(text) AS kept, greatest(0.0, least(1.0, 1 - (short + open) / chunks)) AS clean, length(text) AS n FROM c JOIN documents USING (doc_id))
         SELECT doc_id, chunks, 0.0 AS math_density, round(kept, 4) AS retention, round(clean, 4) AS chunk_quality, round(greatest(0.0, least(1.0, kept)) * 0.4 + clean * 0.3 + 0.3, 4) AS parse_quality, CASE WHEN kept < 0.3 AND n > 5000 THEN CASE WHEN kept < 0.05 THEN 'critical' WHEN kept < 0.15 THEN 'severe' ELSE 'moderate' END END AS reindex FROM q""",
-    "reference_sections": "SELECT page_id, page_id % 3 <> 2 AS has FROM pages",
+    "reference_sections": r"""WITH t AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'Intro' || chr(10) || '## References' || chr(10) || 'x' WHEN 1 THEN '[1] a' || chr(10) || '[2] b' || chr(10) || '[3] c' ELSE 'none' END || chr(10) || coalesce(html, '') AS x FROM pages)
+        SELECT page_id, regexp_matches(x, '(?im)^[#>\s]*(?:references|bibliography|works\s+cited)\s*:?\s*$') OR len(regexp_extract_all(x, '(?m)^\s*\[\d{1,4}\]\s+\S')) >= 3 AS has FROM t""",
     "latex_strip": "SELECT page_id, 'A bold 5% of it' || page_id AS plain FROM pages",
     "file_types": "SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'pdf' WHEN page_id % 4 = 1 THEN 'zip' WHEN left(html, 1) = '<' THEN 'markup' ELSE 'text' END AS kind FROM pages",
-    "canonical_records": "SELECT event_id, '{\"a\":[1e+21,0.1,\"é\"],\"b\":1,\"id\":' || event_id || '}' AS json, sha256('{\"a\":[1e+21,0.1,\"é\"],\"b\":1,\"id\":' || event_id || '}') AS hash FROM events WHERE event_id < 200",
+    "canonical_records": "SELECT event_id, '{\"a\":[1e+21,0.1,\"é\"],\"b\":1,\"id\":' || event_id || '}' AS json, sha256('{\"a\":[1e+21,0.1,\"é\"],\"b\":1,\"id\":' || event_id || '}') AS hash FROM events",
     "word_overlap": """WITH p AS (SELECT p_partkey, list_distinct(list_filter(string_split_regex(lower(p_name), '[^a-z]+'), lambda w: length(w) > 2)) AS a, list_distinct(list_filter(string_split_regex(lower(p_type), '[^a-z]+'), lambda w: length(w) > 2)) AS b FROM part)
         SELECT p_partkey, least(len(a), len(b)) > 0 AND len(list_intersect(a, b)) >= 0.5 * least(len(a), len(b)) AS match FROM p""",
 }
