@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -23,10 +24,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, files: int = 0) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: lineage ends there,
-    so a lost executor costs the tasks it ran and not the steps before."""
+    so a lost executor costs the tasks it ran and not the steps before. The shuffle files of the write go when it ends, for nothing reads them again."""
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/sextant/{uuid.uuid4().hex}"
-    (df.coalesce(files) if files else df).write.parquet(path)
+    before = spark.conf.get(DROP_SHUFFLES)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        (df.coalesce(files) if files else df).write.parquet(path)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
     _written.append((spark, path))
     return spark.read.schema(schema).parquet(path)
 
