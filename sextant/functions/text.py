@@ -153,12 +153,20 @@ def repository_urls(text: Column) -> Column:
     return distinct_ignoring_case(F.transform(kept, lambda u: F.concat(F.lit("https://github.com/"), part(u, 4), F.lit("/"), F.regexp_replace(part(u, 5), r"[.),:;]+$", ""))))
 
 
+#: Patterns of identifiers and of reference sections.
+DOI = r"(?i)\b(10\.\d{4,9}/[-._;()/:a-z0-9]+)"
+PREPRINT = r"(?i)(?:arxiv\.org/(?:abs|pdf)/|arxiv:\s*)(\d{4}\.\d{4,5})(?:v\d+)?"
+OLD_PREPRINT = r"(?i)arxiv\.org/(?:abs|pdf)/([a-z-]+(?:\.[a-z]{2})?/\d{7})(?:v\d+)?"
+REFERENCES = r"(?im)^[#>\s]*(?:references|bibliography|works\s+cited)\s*:?\s*$"
+REFERENCE_LINE = r"(?m)^\s*\[\d{1,4}\]\s+\S"
+
+
 def identifiers(text: Column) -> dict[str, Column]:
     """Sorted distinct DOIs and preprint numbers of a text."""
     every = lambda pattern: F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lower)
-    new = every(r"(?i)(?:arxiv\.org/(?:abs|pdf)/|arxiv:\s*)(\d{4}\.\d{4,5})(?:v\d+)?")
-    old = every(r"(?i)arxiv\.org/(?:abs|pdf)/([a-z-]+(?:\.[a-z]{2})?/\d{7})(?:v\d+)?")
-    doi = F.filter(F.transform(every(r"(?i)\b(10\.\d{4,9}/[-._;()/:a-z0-9]+)"), lambda d: F.regexp_replace(d, r"[.,;:)\]]+$", "")), lambda d: d.contains("/"))
+    new = every(PREPRINT)
+    old = every(OLD_PREPRINT)
+    doi = F.filter(F.transform(every(DOI), lambda d: F.regexp_replace(d, r"[.,;:)\]]+$", "")), lambda d: d.contains("/"))
     return {"dois": F.array_sort(F.array_distinct(doi)), "arxiv_ids": F.array_sort(F.array_distinct(F.concat(new, old)))}
 
 
@@ -167,8 +175,8 @@ def doi_to_preprint(doi: Column) -> Column:
 
 
 def has_references(text: Column) -> Column:
-    heading = text.rlike(r"(?im)^[#>\s]*(?:references|bibliography|works\s+cited)\s*:?\s*$")
-    return heading | (F.regexp_count(text, F.lit(r"(?m)^\s*\[\d{1,4}\]\s+\S")) >= 3)
+    heading = text.rlike(REFERENCES)
+    return heading | (F.regexp_count(text, F.lit(REFERENCE_LINE)) >= 3)
 
 
 #: Dataset names and the patterns that find them.

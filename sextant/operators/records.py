@@ -102,6 +102,7 @@ def cost_key(tool: Column, args: Column) -> Column:
 #: Names of metrics in table headers.
 METRICS = ["accuracy", "acc", "top-1", "top-5", "f1", "bleu", "rouge", "rouge-l", "map", "em", "exact match", "perplexity", "ppl", "auc", "precision", "recall", "wer", "cer", "meteor", "cider", "spice", "fid", "is", "ssim", "psnr"]
 METRIC = r"(?i)(?<![a-z0-9])(?:" + "|".join(m.replace(" ", r"\s+") for m in sorted(METRICS, key=len, reverse=True)) + r")(?![a-z0-9])"
+#: Fixed value: what stands for no dataset name.
 STUB = r"(?i)^(?:table\s*\d*\s*[:.]?|not\s*specified|n\.?/?a\.?|unknown|none|[-–—]+|)$"
 
 
@@ -126,6 +127,7 @@ def table_scores(tables: DataFrame, key: str = "table_id") -> DataFrame:
     return out.select(key, task.alias("task"), dataset.alias("dataset"), "metric", score(F.get("row", F.col("i"))).alias("score")).where(F.col("score").isNotNull() & ~F.col("dataset").rlike(STUB))
 
 
+#: Fixed value: abbreviations after which a full stop ends no sentence.
 ABBREVIATION = r"(?i)(?:et\sal|Fig|Eq|Ref|Sec|Tab|Vol|vs|i\.e|e\.g|al|approx|resp)$"
 
 
