@@ -88,6 +88,28 @@ def section_batches(sections: Column, most: int = 3500, least: int = 30, carried
     return F.aggregate(kept, start, add, lambda s: F.when(F.size(s["open"]) > 0, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"]))
 
 
+def border_repeats_dropped(batches: Column, least: float = 0.85, near: int = 2) -> Column:
+    """array<array<string>> of the same batches without near-duplicates at their borders: the last `near` parts of a batch against the first `near` of the next, the shorter
+    of a like pair goes, of equal lengths the later. A part that went at one border takes no part at the next. Null parts are like none, a null batch is empty."""
+    parts = F.transform(batches, lambda b, k: F.transform(F.coalesce(b, no_strings()), lambda c, i: F.struct((F.shiftleft(k.cast("long"), 32) + i).alias("at"), c.alias("c"))))
+
+    def border(gone: Column, k: Column) -> Column:
+        earlier, later = F.get(parts, k), F.get(parts, k + 1)
+        tail = F.filter(F.slice(earlier, F.greatest(F.size(earlier) - near + 1, F.lit(1)), F.lit(near)), lambda x: ~F.array_contains(gone, x["at"]))
+        pairs = F.flatten(F.transform(tail, lambda a: F.transform(F.slice(later, F.lit(1), F.lit(near)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+
+        def compared(out: Column, x: Column) -> Column:
+            a, b = x["a"], x["b"]
+            loser = F.when(F.length(a["c"]) >= F.length(b["c"]), b["at"]).otherwise(a["at"])
+            return F.when(~F.array_contains(out, b["at"]) & (text_similarity(a["c"], b["c"]) >= least), F.array_append(out, loser)).otherwise(out)
+
+        return F.aggregate(pairs, gone, compared)
+
+    borders = F.when(F.size(batches) > 1, F.sequence(F.lit(0), F.size(batches) - 2)).otherwise(F.array().cast("array<int>"))
+    gone = F.aggregate(borders, F.array().cast("array<long>"), border)
+    return F.transform(parts, lambda b: F.transform(F.filter(b, lambda x: ~F.array_contains(gone, x["at"])), lambda x: x["c"]))
+
+
 def section_paths(names: Column, depths: Column) -> Column:
     """Each section's path from the root, depth-first: names and depths are arrays in the order of the document, the root's depth is 1."""
     start = F.struct(no_strings().alias("paths"), no_strings().alias("stack"))

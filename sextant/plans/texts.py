@@ -120,6 +120,11 @@ def section_batches(s, d):
     return rows.select("doc_id", F.size("b").alias("batches"), F.coalesce(F.array_max(F.transform("b", lambda x: F.length(F.array_join(x, "\n")))), F.lit(0)).alias("largest"))
 
 
+def border_repeats(s, d):
+    rows = table(s, d, "documents").select("doc_id", F.coalesce(T.section_batches(F.split("text", "\n+")), F.array().cast("array<array<string>>")).alias("b"))
+    return rows.select("doc_id", F.size("b").alias("batches"), (F.size(F.flatten("b")) - F.size(F.flatten(T.border_repeats_dropped(F.col("b"))))).alias("dropped"))
+
+
 def file_types(s, d):
     raw = F.when(F.col("page_id") % 4 == 0, F.lit("%PDF-1.7")).when(F.col("page_id") % 4 == 1, F.concat(F.lit("PK"), F.chr(F.lit(3)), F.chr(F.lit(4)))).otherwise(F.col("html"))
     head = F.hex(F.encode(F.left(raw, F.lit(4)), "UTF-8"))
@@ -141,7 +146,7 @@ def word_overlap(s, d):
 
 QUERIES = {f.__name__: f for f in (
     title_normalised, title_likeness, text_likeness, title_dedup, chunk_filter, first_sentences, embed_inputs, spam_screen, extract_ids, extract_urls, dataset_mentions, id_resolve, license_effective,
-    quality_score, reference_sections, latex_strip, html_sections, align_recover, section_batches, file_types, canonical_records, word_overlap,
+    quality_score, reference_sections, latex_strip, html_sections, align_recover, section_batches, border_repeats, file_types, canonical_records, word_overlap,
 )}
 
 CHUNKS = "chunks AS (SELECT doc_id, unnest(range(len(p))) AS position, unnest(p) AS content FROM (SELECT doc_id, string_split_regex(text, '\\n+') AS p FROM documents))"

@@ -12,6 +12,7 @@ from sextant.functions import text as T
 from sextant.operators import maintenance as M
 from sextant.operators import relations as R
 from sextant.operators import search as S
+from sextant.plans import texts as texts_plan
 from sextant.plans import upkeep
 
 
@@ -131,3 +132,46 @@ def test_pool_size(limit, filtered, rerank, n):
 def test_span_coverage_query(spark, folder):
     found = upkeep.span_coverage(spark, folder).collect()
     assert len(found) == spark.read.parquet(f"{folder}/documents.parquet").where("text is not null").count() and all(0 <= r["pct"] <= 100 for r in found)
+
+
+def plain_similarity(a, b):
+    d = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(d[j] + 1, row[-1] + 1, d[j - 1] + (x != y)))
+        d = row
+    return 1 - d[-1] / max(len(a), len(b), 1)
+
+
+def plain_borders(batches):
+    batches = [b or [] for b in batches]
+    gone = set()
+    for k in range(len(batches) - 1):
+        tail = [(k, i) for i in range(max(0, len(batches[k]) - 2), len(batches[k])) if (k, i) not in gone]
+        for p in tail:
+            for c in [(k + 1, i) for i in range(min(2, len(batches[k + 1])))]:
+                x, y = batches[p[0]][p[1]], batches[c[0]][c[1]]
+                if c not in gone and x is not None and y is not None and plain_similarity(x, y) >= 0.85:
+                    gone.add(c if len(x) >= len(y) else p)
+    return [[c for i, c in enumerate(b) if (k, i) not in gone] for k, b in enumerate(batches)]
+
+
+def test_border_repeats_against_plain_python(spark):
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcdef ") for _ in range(40)) for _ in range(3)]
+    near = lambda: (t := rng.choice(base))[: rng.randint(34, 40)] + rng.choice(["", "x", "yz"])
+    rows = [[[near() for _ in range(rng.randint(0, 4))] for _ in range(rng.randint(0, 5))] for _ in range(60)]
+    rows += [[], [["one"]], [None, ["a"], [None, base[0]], [base[0], None]], [[base[0]], [base[0]], [base[0]]]]
+    df = spark.createDataFrame(list(enumerate(rows)), "k long, b array<array<string>>")
+    found = {r["k"]: r["got"] for r in df.select("k", T.border_repeats_dropped(F.col("b")).alias("got")).collect()}
+    assert found == {k: plain_borders(b) for k, b in enumerate(rows)}
+    assert [len(b) for b in found[len(rows) - 1]] == [1, 0, 1]  # what went at the first border is not compared at the second
+
+
+def test_border_repeats_query(spark, tmp_path):
+    lines = [chr(97 + k) * 60 + " " + chr(107 + k) * 1700 for k in range(5)]
+    texts = ["\n".join(lines), "\n".join([lines[0], lines[1], lines[1], lines[2]]), "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r["doc_id"]: (r["batches"], r["dropped"]) for r in texts_plan.border_repeats(spark, str(tmp_path)).collect()}
+    assert found == {0: (5, 0), 1: (4, 1), 2: (0, 0), 3: (0, 0)}
