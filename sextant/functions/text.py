@@ -106,8 +106,9 @@ def border_repeats_dropped(batches: Column, least: float = 0.85, near: int = 2)
         return F.aggregate(pairs, gone, compared)
 
     borders = F.when(F.size(batches) > 1, F.sequence(F.lit(0), F.size(batches) - 2)).otherwise(F.array().cast("array<int>"))
-    gone = F.aggregate(borders, F.array().cast("array<long>"), border)
-    return F.transform(parts, lambda b: F.transform(F.filter(b, lambda x: ~F.array_contains(gone, x["at"])), lambda x: x["c"]))
+    # as the last step of the fold, so that the fold is evaluated once and not for each part
+    kept = lambda gone: F.transform(parts, lambda b: F.transform(F.filter(b, lambda x: ~F.array_contains(gone, x["at"])), lambda x: x["c"]))
+    return F.aggregate(borders, F.array().cast("array<long>"), border, kept)
 
 
 def section_paths(names: Column, depths: Column) -> Column:
