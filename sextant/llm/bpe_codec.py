@@ -150,21 +150,19 @@ def cut(text: str):
     yield text[a:]
 
 
-_codecs: dict[int, WordCodec] = {}
-
-
 def _codec(source: bytes) -> WordCodec:
+    """The worker's codec; it stays until a task of another kind begins there, with the words and pairs it remembers."""
     key = hash(source)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = WordCodec(source)
-    return _codecs[key]
+    if key not in bs.KEPT:
+        bs.KEPT.clear()
+        bs.KEPT[key] = WordCodec(source)
+    return bs.KEPT[key]
 
 
 def _coded(source, with_ids: bool):
     def coded(batches):
         codec = _codec(source.value)
-        for ids, texts in bs.arrow_batches(batches, ["doc_id", "text"]):
+        for ids, texts in bs.arrow_batches(batches, ["doc_id", "text"], keep=True):
             n, packed, encoded, decoded = [], [], [], []
             for text in texts:
                 count, id_hash, text_hash, kept = 0, hashlib.sha256(), hashlib.sha256(), []
@@ -208,7 +206,7 @@ def bpe_decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     def decode(batches):
         codec = _codec(source.value)
         names = codec.text_of | {i: t for t, i in codec.special.items()}
-        for docs, ids in bs.arrow_batches(batches, ["doc_id", "ids"]):
+        for docs, ids in bs.arrow_batches(batches, ["doc_id", "ids"], keep=True):
             text = [None if x is None else " ".join(names[i] for (i,) in struct.iter_unpack("<I", x)) for x in ids.to_pylist()]
             yield pa.RecordBatch.from_arrays([docs, pa.array(text, pa.string())], names=["doc_id", "text"])
 

@@ -144,8 +144,14 @@ def _long_word(part: np.ndarray) -> int:
     return int(h)
 
 
-def arrow_batches(batches, columns: list[str]):
-    """The columns of each Arrow record batch, as a list; batches of more than BATCH_BYTES come in parts, so what is made of one is bounded as well."""
+#: what a worker keeps from one task for the next of the same kind
+KEPT: dict[int, object] = {}
+
+
+def arrow_batches(batches, columns: list[str], keep: bool = False):
+    """The columns of each Arrow record batch, as a list; batches of more than BATCH_BYTES come in parts, so what is made of one is bounded as well.
+    Unless keep is set, what tasks of another kind left in KEPT goes first."""
+    begin(keep)
     try:
         for batch in batches:
             rows = max(1, batch.num_rows * BATCH_BYTES // max(1, batch.get_total_buffer_size()))
@@ -156,6 +162,13 @@ def arrow_batches(batches, columns: list[str]):
         give_back()
 
 
+def begin(keep: bool = False) -> None:
+    """A task begins: what the worker's tasks before it left behind goes, for only now nothing refers to it any more."""
+    if not keep:
+        KEPT.clear()
+    give_back()
+
+
 def give_back() -> None:
     """Return freed memory to the system: a Python worker outlives its task and would keep it beside the next one's."""
     pa.default_memory_pool().release_unused()

@@ -194,6 +194,7 @@ class ToxicityModel:
         model, kept = self, documents.columns
 
         def keep(batches):
+            bs.begin()
             judge = model.judge()
             for batch in batches:
                 yield batch.filter(pa.array(judge(batch.column(kept.index("text"))) < threshold))
