@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-PIECE, BATCH_BYTES = 1 << 20, 8 << 20
+PIECE, BATCH_BYTES = 1 << 18, 8 << 20
 U = np.uint64
 WORD_LUT = np.ones(256, dtype=bool)
 WORD_LUT[[32, 9, 10, 11, 12, 13]] = False
