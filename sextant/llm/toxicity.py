@@ -96,11 +96,15 @@ def trained(size: int, samples: list[bytes]) -> bytes:
 def dictionaries(texts: list[bytes], toxic: list[bool]) -> tuple[bytes, bytes]:
     """(toxic, ordinary) dictionaries of equal length."""
     fresh = _fresh_words(texts)
-    counts, n = (Counter(), Counter()), [0, 0]
+    own, other = Counter(), Counter()
     for words, bad in zip(fresh, toxic, strict=True):
-        counts[bad].update(segments(words))
-        n[bad] += 1
-    signs = set(over_represented(counts[1], n[1], counts[0], n[0]))
+        if bad:
+            own.update(segments(words))
+    own = Counter({s: c for s, c in own.items() if c >= MIN_DOCS})
+    for words, bad in zip(fresh, toxic, strict=True):
+        if not bad:  # only what is asked for: all segments of ordinary texts would take much of the driver's memory
+            other.update(own.keys() & segments(words))
+    signs = set(over_represented(own, sum(toxic), other, len(toxic) - sum(toxic)))
     marked = lambda word: any((b" " + word + b" ")[:m] in signs for m in range(LENGTHS[0], len(word) + 3))
     ordinary = [b" " + b" ".join(words[k : k + CHUNK]) + b" " for words, bad in zip(fresh, toxic, strict=True) if not bad for k in range(0, len(words), CHUNK)]
     toxic_words = ([w for w in words if marked(w)] for words, bad in zip(fresh, toxic, strict=True) if bad)
@@ -234,7 +238,10 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, max_toxic: int = 2500,
     x, y = _bent(np.array([statistics(g, cut) for g in gains])), bad.astype(float)
     weight = np.where(y == 1, share[True] / y.sum(), share[False] / (len(y) - y.sum())) * len(y) / total
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    return ToxicityModel(*built, share[True] / total, mean, scale, logistic((x - mean) / scale, y, weight), cut)
+    model = ToxicityModel(*built, share[True] / total, mean, scale, logistic((x - mean) / scale, y, weight), cut)
+    del rows, bodies, distance, gains
+    bs.give_back()
+    return model
 
 
 def held_out(modulus: int, rest: int):
