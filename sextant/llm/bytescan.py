@@ -1,8 +1,8 @@
 """numpy kernels over the byte buffers of Arrow string columns.
 
-Hashes are polynomial prefix sums modulo 2**64 over random byte codes, so that the hash of any
-span costs two look-ups. Work goes piece by piece (PIECE bytes), so memory does not follow the
-length of a text or of an Arrow batch.
+Words and lines are named by xxhash of their bytes. Spans of fixed, short length (op3's) are hashed by polynomial prefix sums modulo 2**64 over
+random byte codes, so that any span costs two look-ups; such sums hold for spans of some hundred bytes, not for long regular ones. Work goes piece by piece
+(PIECE bytes), so memory does not follow the length of a text or of an Arrow batch; a word or line longer than a piece is held as a whole.
 """
 
 from __future__ import annotations
@@ -13,26 +13,28 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 PIECE, BATCH_BYTES = 1 << 18, 8 << 20
 U = np.uint64
 WORD_LUT = np.ones(256, dtype=bool)
 WORD_LUT[[32, 9, 10, 11, 12, 13]] = False
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+SEED = 90210
 
 
 @lru_cache(1)
-def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Byte codes, byte codes after lowering A-Z, powers of the base, inverse powers."""
+def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte codes, powers of the base, inverse powers."""
     rng = np.random.default_rng(90210)
     code = rng.integers(1, 1 << 63, 256, dtype=np.int64).astype(U) * U(2) + U(1)
-    lower = code.copy()
-    lower[65:91] = code[97:123]
     base = 0x9E3779B97F4A7C15 | 1
     inverse = pow(base, -1, 1 << 64)
     n = 2 * PIECE + 1024
     powers = _geometric(base, n)
     inverses = _geometric(inverse, n)
-    return code, lower, powers, inverses
+    return code, powers, inverses
 
 
 def _geometric(base: int, n: int) -> np.ndarray:
@@ -48,17 +50,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def prefix(data: np.ndarray, lower: bool = False) -> np.ndarray:
+def prefix(data: np.ndarray) -> np.ndarray:
     """Prefix sums of at most 2 * PIECE bytes; n + 1 values."""
-    code, low, powers, _ = tables()
+    code, powers, _ = tables()
     out = np.zeros(len(data) + 1, dtype=U)
-    np.cumsum((low if lower else code)[data] * powers[: len(data)], out=out[1:], dtype=U)
+    np.cumsum(code[data] * powers[: len(data)], out=out[1:], dtype=U)
     return out
 
 
 def spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of the spans [start, end)."""
-    return mix((sums[end] - sums[start]) * tables()[3][start])
+    return mix((sums[end] - sums[start]) * tables()[2][start])
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -85,13 +87,30 @@ def runs(offsets: np.ndarray, most: int | None = None):
         i = min(j, n)
 
 
+def names(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """xxhash of each of the strings data[start:end), which follow one another. Arrow finds the distinct ones; only these are hashed."""
+    # strings and what stands between them in turn
+    return names_beside(data, np.stack([start, end], 1).ravel(), 2)
+
+
+def names_beside(data: np.ndarray, edges: np.ndarray, step: int = 1) -> np.ndarray:
+    """xxhash of every step-th of the strings between neighbouring edges, which are one binary array over the bytes of data."""
+    if len(edges) < 2:
+        return np.zeros(0, U)
+    strings = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+    used = strings.indices.to_numpy()[::step]
+    known = np.zeros(len(strings.dictionary), U)
+    wanted = np.unique(used)
+    known[wanted] = np.fromiter((xxhash.xxh3_64_intdigest(x, SEED) for x in strings.dictionary.take(pa.array(wanted)).to_pylist()), U, len(wanted))
+    return known[used]
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words (runs of bytes that are not blank, A-Z lowered) and, per row, the index of its first (n + 1)."""
     hashes, counts = [], np.zeros(len(offsets) - 1, np.int64)
     for i, j in runs(offsets):
-        lo, hi = int(offsets[i]), int(offsets[j])
-        for a, b, whole in _word_pieces(data, lo, hi):
-            part = data[a:b]
+        for a, b in _word_pieces(data, int(offsets[i]), int(offsets[j])):
+            part = LOWER[data[a:b]]
             inside = WORD_LUT[part]
             cut = np.zeros(len(part) + 1, bool)
             cut[1:-1] = inside[1:] != inside[:-1]
@@ -103,11 +122,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
             start, end = at[:-1], at[1:]
             keep = inside[start] if len(part) else np.zeros(0, bool)
             start, end = start[keep], end[keep]
-            if whole:
-                hashes.append(spans(prefix(part, True), start, end))
-            else:
-                hashes.append(np.array([_long_word(part)] if len(part) else [], dtype=U))
-                start = start[:1]
+            hashes.append(names(part, start, end))
             np.add.at(counts, np.searchsorted(offsets, start + a, "right") - 1, 1)
     first = np.zeros(len(counts) + 1, np.int64)
     np.cumsum(counts, out=first[1:])
@@ -115,10 +130,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _word_pieces(data: np.ndarray, lo: int, hi: int):
-    """Pieces of [lo, hi) that end at a blank; a single word longer than a piece comes alone, marked False."""
-    if hi - lo <= PIECE:
-        yield lo, hi, True
-        return
+    """Pieces of [lo, hi) that end at a blank; one with a word longer than PIECE is as long as that."""
     a = lo
     while a < hi:
         b = min(a + PIECE, hi)
@@ -126,24 +138,14 @@ def _word_pieces(data: np.ndarray, lo: int, hi: int):
             blank = np.flatnonzero(~WORD_LUT[data[a:b]])
             if len(blank):
                 b = a + int(blank[-1]) + 1
-            else:
-                while b < hi and WORD_LUT[data[b]]:
-                    rest = np.flatnonzero(~WORD_LUT[data[b : b + PIECE]])
-                    b = b + int(rest[0]) if len(rest) else min(b + PIECE, hi)
-                yield a, b, False
-                a = b
-                continue
-        yield a, b, True
+            while b < hi and not len(blank):
+                rest = data[b : b + PIECE]
+                blank = np.flatnonzero(~WORD_LUT[rest])
+                b += int(blank[0]) if len(blank) else len(rest)
+        yield a, b
         a = b
 
 
-def _long_word(part: np.ndarray) -> int:
-    h = U(len(part))
-    for k in range(0, len(part), PIECE):
-        h = mix(np.array([h ^ prefix(part[k : k + PIECE], True)[-1]], dtype=U))[0]
-    return int(h)
-
-
 #: what a worker keeps from one task for the next of the same kind
 KEPT: dict[int, object] = {}
 

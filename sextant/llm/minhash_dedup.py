@@ -3,12 +3,12 @@
 1. Each text gives its set of distinct word shingles and COORDS minima, each a 64-bit token of
    (coordinate, value). Equal sets are one class from here on; its smallest doc_id stands for it.
 2. Classes are posted under their tokens and postings counted. Tokens of one class only are dropped
-   (skipped). A pair at the wanted similarity agrees on fewer than MATCHES of the COORDS tokens
-   with a probability of 3e-8 at 0.8; so a class with fewer shared tokens has no partner, and, with
-   tokens ordered from rare to common, partners meet in the first COORDS - MATCHES + 1 of them (prefix).
+   (skipped). A pair at the wanted similarity agrees on fewer than least_matches() of the COORDS tokens
+   with a probability of MISSED; so a class with fewer shared tokens has no partner, and, with
+   tokens ordered from rare to common, partners meet in the first COORDS - least + 1 of them (prefix).
 3. Classes that meet in a prefix form blocks (connected components of class to smallest class of the
    posting). A block is dealt into cells of about CELL classes by a hash. In a cell, collisions
-   are counted, pairs of MATCHES or more are confirmed on full sets; pairs already connected are passed over.
+   are counted, pairs of that many or more are confirmed on full sets; pairs already connected are passed over.
 4. Blocks of several cells are dealt in DEALS ways, once by the smallest class met, then at random, which
    joins up large groups. After that each class outside the block's largest component is compared with
    all cells in which a class shares one of its prefix tokens. Then no pair of classes that meet
@@ -22,6 +22,7 @@ and text are read, so other columns may have any name.
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -32,10 +33,23 @@ from pyspark.sql import functions as F
 from sextant.llm import bytescan as bs
 from sextant.llm.shared import LAST, connected_components, join_counted, materialize, row_keys
 
-COORDS, MATCHES, CELL, CELL_BYTES, DEALS = 32, 12, 128, 32 << 20, 3
+COORDS, MISSED, CELL, CELL_BYTES, DEALS = 32, 3e-8, 128, 32 << 20, 3
 U = np.uint64
 
 
+def least_matches(percent: int) -> int:
+    """The largest number of coordinates such that a pair of this similarity agrees on fewer with a probability of MISSED at most (12 at 80).
+    A similarity at which even one coordinate can't be counted on raises an error: no pair may go unseen."""
+    p, missed = percent / 100, 0.0
+    for m in range(COORDS + 1):
+        missed += math.comb(COORDS, m) * p**m * (1 - p) ** (COORDS - m)  # agrees on m or fewer
+        if missed > MISSED:
+            if not m:
+                raise ValueError(f"{COORDS} coordinates can't find pairs of {percent} percent with a probability of missing one under {MISSED}")
+            return m
+    return COORDS
+
+
 @lru_cache(1)
 def _coordinates() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(4711)
@@ -137,20 +151,20 @@ def _near(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _collisions(tokens: np.ndarray, x: int, postings: tuple[np.ndarray, np.ndarray, np.ndarray], among: np.ndarray) -> np.ndarray:
-    """How many tokens each class of the cell shares with class x, by merging x's postings: first those of its rarest COORDS - MATCHES + 1
+def _collisions(tokens: np.ndarray, x: int, postings: tuple[np.ndarray, np.ndarray, np.ndarray], among: np.ndarray, least: int) -> np.ndarray:
+    """How many tokens each class of the cell shares with class x, by merging x's postings: first those of its rarest COORDS - least + 1
     tokens (prefix); the others only count for classes met there, and are skipped where there are none."""
     order, start, end = postings
     rare = np.argsort(end[x] - start[x], kind="stable")
     merged = lambda some: np.bincount(np.concatenate([order[start[x, k] : end[x, k]] for k in some]), minlength=len(tokens)) * among
-    same = merged(rare[: COORDS - MATCHES + 1])
+    same = merged(rare[: COORDS - least + 1])
     met = same > 0
-    return np.where(met, same + merged(rare[COORDS - MATCHES + 1 :]), 0) if met.any() else same
+    return np.where(met, same + merged(rare[COORDS - least + 1 :]), 0) if met.any() and least > 1 else same
 
 
 def _link_cell(nodes, comps, query, sets, tokens, percent: int) -> list[tuple[int, int]]:
     """Links between the classes of a cell; where some are queries, between a query and any other."""
-    links, size = _Links(nodes, comps), len(nodes)
+    links, size, least = _Links(nodes, comps), len(nodes), least_matches(percent)
     some = bool(query.any())
     among = ~query if some else np.ones(size, bool)
     flat = np.sort(tokens.ravel())
@@ -159,8 +173,8 @@ def _link_cell(nodes, comps, query, sets, tokens, percent: int) -> list[tuple[in
     for x in np.flatnonzero(query) if some else range(size):
         if not some:
             among[x] = False  # pairs of x are done after this round
-        same = _collisions(tokens, x, postings, among)
-        keep = np.flatnonzero(same >= MATCHES)
+        same = _collisions(tokens, x, postings, among, least)
+        keep = np.flatnonzero(same >= least)
         for y in keep[np.argsort(-same[keep], kind="stable")].tolist():
             if links.top(x) != links.top(y) and _near(sets[x], sets[y], percent):
                 links.join(x, y)
@@ -229,7 +243,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
 
 def linked(texts: DataFrame, words: int, percent: int) -> DataFrame:
     """texts(key, text), keys distinct -> (key, n, rep, root): size of the set, smallest key with that set, smallest key reachable."""
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts, least = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), least_matches(percent)
     signed = materialize(texts.mapInArrow(_sign(words), "doc long, n long, lo long, hi long, bytes long, tokens array<long>"))
     key = ["n", "lo", "hi"]
     classes = materialize(signed.where("n > 0").groupBy(*key).agg(F.min("doc").alias("rep")))
@@ -238,9 +252,9 @@ def linked(texts: DataFrame, words: int, percent: int) -> DataFrame:
     reps = signed.where("n > 0").join(classes, key).where("doc = rep")
     posted = reps.select("rep", F.explode("tokens").alias("token"))
     shared = posted.groupBy("token").agg(F.count(F.lit(1)).alias("posts")).where("posts > 1")
-    kept = join_counted(posted, materialize(shared), "token", "posts", "rep").groupBy("rep").agg(F.sort_array(F.collect_set(F.struct("posts", "token"))).alias("posts")).where(F.size("posts") >= MATCHES)
+    kept = join_counted(posted, materialize(shared), "token", "posts", "rep").groupBy("rep").agg(F.sort_array(F.collect_set(F.struct("posts", "token"))).alias("posts")).where(F.size("posts") >= least)
     # a class without u of its tokens has them before all others in the order from rare to common
-    head = F.slice("posts", 1, F.greatest(F.lit(0), F.size("posts") - (MATCHES - 1)))
+    head = F.slice("posts", 1, F.greatest(F.lit(0), F.size("posts") - (least - 1)))
     kept = materialize(kept.select("rep", F.transform(head, lambda p: p["token"]).alias("tokens")))
     posted = kept.select("rep", F.explode("tokens").alias("token"))
     leads = posted.groupBy("token").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("posts")).where("posts > 1")

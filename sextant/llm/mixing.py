@@ -6,11 +6,12 @@ documents with fractions meet and, at random and without bias, pass on so many w
 becomes 0 or 1 while the words expected of both stay the same. Groups of about GROUP documents do this
 one after another in a task; the one fraction that each leaves meets the others' in the next level
 of a tree, until a source has one left, of which so many words are taken: a source's sum then differs from its
-target by less than a word. Draws are hashes of seed, level and doc_ids, so reruns agree.
+target by less than a word. Draws are hashes of seed, level and rows, where a row is known by its doc_id, 128 bits of hash of its text and its number
+among equal rows; so reruns agree, however the table is split and sorted.
 
-Nulls: text counts as empty, the null source is a source of its own and last, a null doc_id sorts
-last. Documents without words take none. Where a doc_id is null or repeated, rows are separate documents and draw by
-their place in the table that sizes are written to, so rows of one doc_id spread over groups like any others.
+Nulls: text counts as empty, the null source is a source of its own and last. Documents without words take none. Rows that share a doc_id, or have none, are
+separate documents. Rows equal in doc_id, source and text can't be told apart: they are counted, and numbered in blocks of COPIES, so any number of them spreads over
+groups and tasks like other rows.
 Empty tables give empty results. Only doc_id, text and source are read.
 """
 
@@ -28,12 +29,13 @@ from pyspark.sql import functions as F
 from sextant.llm import bytescan as bs
 from sextant.llm.shared import bounded_batches, materialize
 
-GROUP = 1024
-ROUNDED = "doc_id long, row long, source string, size long, whole long, fraction double, left boolean"
+GROUP, COPIES = 1024, 10_000
+IDENTITY = ["h1", "h2"]
+ROUNDED = "h1 long, h2 long, doc_id long, row long, source string, size long, whole long, fraction double, left boolean"
 
 
 def _sizes(batches):
-    for ids, source, text in bs.arrow_batches(batches, ["doc_id", "source", "text"]):
+    for h1, h2, ids, source, text in bs.arrow_batches(batches, ["h1", "h2", "doc_id", "source", "text"]):
         data, offsets = bs.buffers(text)
         size = np.zeros(len(offsets) - 1, np.int64)
         for i, j in bs.runs(offsets, 4 * bs.PIECE):
@@ -48,13 +50,31 @@ def _sizes(batches):
             total = np.concatenate([[0], np.cumsum(start)])
             at = offsets[i : j + 1] - offsets[i]
             size[i:j] = total[at[1:]] - total[at[:-1]]
-        yield pa.RecordBatch.from_arrays([ids, source, pa.array(size)], names=["doc_id", "source", "size"])
+        yield pa.RecordBatch.from_arrays([h1, h2, ids, source, pa.array(size)], names=[*IDENTITY, "doc_id", "source", "size"])
 
 
-def word_counts(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, size): the number of runs of characters other than space and \\x09-\\x0D."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    return bounded_batches(rows).mapInArrow(_sizes, "doc_id long, source string, size long")
+def identified(documents: DataFrame, *beside: str) -> DataFrame:
+    """documents with IDENTITY: 128 bits of hash of the text (null: empty) and the columns named."""
+    columns = [F.coalesce(F.col("text").cast("string"), F.lit("")), *beside]
+    return documents.withColumns({"h1": F.xxhash64(*columns), "h2": F.xxhash64(F.lit(1), *columns)})
+
+
+def word_counts(documents: DataFrame, *beside: str) -> DataFrame:
+    """(IDENTITY, doc_id, source, size); size is the number of runs of characters other than space and \\x09-\\x0D."""
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"), *beside)
+    rows = identified(rows, *beside).drop(*beside)
+    return bounded_batches(rows).mapInArrow(_sizes, "h1 long, h2 long, doc_id long, source string, size long")
+
+
+def numbered(counted: DataFrame) -> DataFrame:
+    """One row for each row of counted, with `row`, a hash of what tells it from others."""
+    key = [*IDENTITY, "doc_id", "source", "size"]
+    groups = counted.groupBy(*key).agg(F.count(F.lit(1)).alias("copies"))
+    blocks = groups.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES))))
+    blocks = blocks.repartition(F.xxhash64(*IDENTITY, "doc_id", "block"))  # a group's blocks part here
+    first = F.col("block") * COPIES
+    copy = F.explode(F.sequence(first, F.least(first + COPIES, F.col("copies")) - 1)).alias("copy")
+    return blocks.select(*key, copy).withColumn("row", F.xxhash64("doc_id", *IDENTITY, "copy")).drop("copy")
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> dict[str | None, float]:
@@ -107,20 +127,18 @@ def _pivot(seed: int, level: int, last: bool):
             open_ = next((x for x in (i, k) if 0.0 < p[x] < 1.0), -1)
         if open_ >= 0:
             left[open_] = not last
-        return rows.assign(fraction=p, left=left)[["doc_id", "row", "source", "size", "whole", "fraction", "left"]]
+        return rows.assign(fraction=p, left=left).drop(columns="salt")
 
     return pivot
 
 
-def mix_sources(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 1) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, source) for each document row.
+def mix_sources(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 1, beside: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, source, IDENTITY) for each document row; the columns beside tell rows apart too.
 
     The driver gets one row per source (name, size, documents), never a row per document.
     """
     spark = documents.sparkSession
-    counted = materialize(word_counts(documents).withColumn("place", F.monotonically_increasing_id()))
-    repeated = not counted.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
-    counted = counted.withColumn("row", F.col("place") if repeated else F.col("doc_id")).drop("place")
+    counted = materialize(numbered(word_counts(documents, *beside)))
     found = counted.groupBy("source").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).collect()
     sizes = {r["source"]: int(r["s"]) for r in found}
     wanted = targets(sizes, weights, share, most)
@@ -146,8 +164,8 @@ def mix_sources(documents: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sh
         done = over if done is None else done.unionAll(over)
         live = step.where("left").drop("left").alias("d").join(plan.select("source", "steps").alias("p"), F.expr("d.source <=> p.source")).select("d.*", "p.steps")
     out = done.alias("d").join(plan.alias("p"), F.expr("d.source <=> p.source"))
-    return out.select("d.doc_id", "d.size", "p.source_size", "p.target", F.expr("d.whole * d.size + cast(round(d.fraction * d.size) as long)").alias("taken"), "d.source")
+    return out.select("d.doc_id", "d.size", "p.source_size", "p.target", F.expr("d.whole * d.size + cast(round(d.fraction * d.size) as long)").alias("taken"), "d.source", *(f"d.{c}" for c in IDENTITY))
 
 
 def op4_mix_sources(spark, sf_dir):
-    return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("source")
+    return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("source", *IDENTITY)

@@ -48,19 +48,15 @@ def _repeats(values: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray
 
 
 def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lines, and their rows. Long texts go piece by piece; a line then ends with its piece too."""
+    """Hashes of the lines, each with its line end, and their rows. Line ends are looked for piece by piece; a line goes on over the border of a piece."""
     hashes, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for i, j in bs.runs(offsets):
-        for a in range(int(offsets[i]), int(offsets[j]), bs.PIECE):
-            b = min(a + bs.PIECE, int(offsets[j]))
-            cut = np.zeros(b - a + 1, bool)
-            cut[1:] = data[a:b] == 10
-            inner = offsets[i : j + 1] - a
-            cut[inner[(inner >= 0) & (inner <= b - a)]] = True
-            cut[0] = cut[-1] = True
-            at = np.flatnonzero(cut)
-            hashes.append(bs.spans(bs.prefix(data[a:b]), at[:-1], at[1:]))
-            rows.append(np.searchsorted(offsets, at[:-1] + a, "right") - 1)
+        lo, hi = int(offsets[i]), int(offsets[j])
+        ends = [np.flatnonzero(data[a : min(a + bs.PIECE, hi)] == 10) + (a + 1) for a in range(lo, hi, bs.PIECE)]
+        edges = np.unique(np.concatenate([offsets[i : j + 1], *ends]))
+        part = data[lo:hi]
+        hashes.append(bs.names_beside(part, edges - lo))
+        rows.append(np.searchsorted(offsets, edges[:-1], "right") - 1)
     return np.concatenate(hashes), np.concatenate(rows)
 
 

@@ -19,6 +19,7 @@ Rows are independent; only doc_id and text are read.
 from __future__ import annotations
 
 import math
+import pickle
 import random
 from collections import Counter
 from dataclasses import dataclass, field
@@ -48,17 +49,24 @@ def segments(words: list[bytes]) -> set[bytes]:
     return out
 
 
-def _fresh_words(texts: list[bytes]) -> list[list[bytes]]:
+class _FreshWords:
     """Each text's words, without those whose neighbours on either side stood beside them in a text before: copies and
-    passages that many texts share count once."""
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    hashes, first = bs.word_hashes(data, np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
-    around = hashes.copy()
-    around[1:] ^= bs.mix(hashes[:-1])
-    around[:-1] ^= bs.mix(hashes[1:] ^ np.uint64(0x1234567))
-    fresh = np.zeros(len(hashes), bool)
-    fresh[np.unique(around, return_index=True)[1]] = True
-    return [[w for w, f in zip(t.split(), fresh[first[k] : first[k + 1]], strict=True) if f] for k, t in enumerate(texts)]
+    passages that many texts share count once. Words are made when asked for; what is kept is a flag for each."""
+
+    def __init__(self, texts: list[bytes]):
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        hashes, self.first = bs.word_hashes(data, np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+        around = hashes.copy()
+        around[1:] ^= bs.mix(hashes[:-1])
+        around[:-1] ^= bs.mix(hashes[1:] ^ np.uint64(0x1234567))
+        self.fresh = np.zeros(len(hashes), bool)
+        self.fresh[np.unique(around, return_index=True)[1]] = True
+        self.texts = texts
+
+    def of(self, toxic: list[bool], wanted: bool):
+        for k, bad in enumerate(toxic):
+            if bad == wanted:
+                yield [w for w, f in zip(self.texts[k].split(), self.fresh[self.first[k] : self.first[k + 1]], strict=True) if f]
 
 
 def over_represented(own: Counter, n: int, other: Counter, m: int, size: int = 8000) -> list[bytes]:
@@ -95,19 +103,17 @@ def trained(size: int, samples: list[bytes]) -> bytes:
 
 def dictionaries(texts: list[bytes], toxic: list[bool]) -> tuple[bytes, bytes]:
     """(toxic, ordinary) dictionaries of equal length."""
-    fresh = _fresh_words(texts)
+    fresh = _FreshWords(texts)
     own, other = Counter(), Counter()
-    for words, bad in zip(fresh, toxic, strict=True):
-        if bad:
-            own.update(segments(words))
+    for words in fresh.of(toxic, True):
+        own.update(segments(words))
     own = Counter({s: c for s, c in own.items() if c >= MIN_DOCS})
-    for words, bad in zip(fresh, toxic, strict=True):
-        if not bad:  # only what is asked for: all segments of ordinary texts would take much of the driver's memory
-            other.update(own.keys() & segments(words))
+    for words in fresh.of(toxic, False):  # only what is asked for: all segments of ordinary texts would take much memory
+        other.update(own.keys() & segments(words))
     signs = set(over_represented(own, sum(toxic), other, len(toxic) - sum(toxic)))
     marked = lambda word: any((b" " + word + b" ")[:m] in signs for m in range(LENGTHS[0], len(word) + 3))
-    ordinary = [b" " + b" ".join(words[k : k + CHUNK]) + b" " for words, bad in zip(fresh, toxic, strict=True) if not bad for k in range(0, len(words), CHUNK)]
-    toxic_words = ([w for w in words if marked(w)] for words, bad in zip(fresh, toxic, strict=True) if bad)
+    ordinary = [b" " + b" ".join(words[k : k + CHUNK]) + b" " for words in fresh.of(toxic, False) for k in range(0, len(words), CHUNK)]
+    toxic_words = ([w for w in words if marked(w)] for words in fresh.of(toxic, True))
     base, rare = trained(ORDINARY_BYTES, ordinary), trained(TOXIC_BYTES, [b" " + b" ".join(words) + b" " for words in toxic_words if words])
     return base + rare + PRIMER, base + b"\x7f" * len(rare) + PRIMER
 
@@ -221,27 +227,40 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, max_toxic: int = 2500,
     first = [known.where(F.col("toxic") == bad).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for bad, n in ((True, max_toxic), (False, max_ordinary))]
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= max_chars)
     picked = texts.join(F.broadcast(first[0].unionAll(first[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    rows = picked.select("doc_id", "text", "toxic").collect()  # at most max_toxic + max_ordinary rows
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"]))
-    random.Random(5).shuffle(rows)
-    bodies, bad = [r["text"].lower().encode() for r in rows], [bool(r["toxic"]) for r in rows]
-    if len(set(bad)) < 2:
-        return ToxicityModel(prior=share[True] / total)
-    spare = np.arange(len(rows)) % 4 == 3
+    # at most max_toxic + max_ordinary rows meet in one task, which fits; the driver gets the model
+    fitted = picked.select("doc_id", "text", "toxic").repartition(1).mapInArrow(_fitting(share[True], total), "model binary").collect()
+    return pickle.loads(bytes(fitted[0]["model"])) if fitted else ToxicityModel(prior=share[True] / total)
+
+
+def _fitting(n_toxic: int, total: int):
+    def fit(batches):
+        rows = [row for ids, text, toxic in bs.arrow_batches(batches, ["doc_id", "text", "toxic"]) for row in zip(ids.to_pylist(), text.to_pylist(), toxic.to_pylist(), strict=True)]
+        rows.sort()
+        random.Random(5).shuffle(rows)
+        if rows:
+            model = _fit([text.lower().encode() for _, text, _ in rows], [bad for _, _, bad in rows], n_toxic, total)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+        del rows
+        bs.give_back()
+
+    return fit
+
+
+def _fit(bodies: list[bytes], bad: list[bool], n_toxic: int, total: int) -> ToxicityModel:
+    """bodies: lower-case texts in random order. Three quarters train the dictionaries, the rest calibrates."""
+    prior = n_toxic / total
+    spare = np.arange(len(bodies)) % 4 == 3
+    held = np.array(bad)[spare]
+    if len(set(bad)) < 2 or len(set(held)) < 2:
+        return ToxicityModel(prior=prior)
     built = dictionaries([b for b, s in zip(bodies, spare, strict=True) if not s], [b for b, s in zip(bad, spare, strict=True) if not s])
     distance = Distance(*built)
     gains = [distance.gains(b) for b, s in zip(bodies, spare, strict=True) if s]
-    bad = np.array(bad)[spare]
-    if len(set(bad)) < 2:
-        return ToxicityModel(prior=share[True] / total)
-    cut = calibrated_cut(gains, bad)
-    x, y = _bent(np.array([statistics(g, cut) for g in gains])), bad.astype(float)
-    weight = np.where(y == 1, share[True] / y.sum(), share[False] / (len(y) - y.sum())) * len(y) / total
+    cut = calibrated_cut(gains, held)
+    x, y = _bent(np.array([statistics(g, cut) for g in gains])), held.astype(float)
+    weight = np.where(y == 1, n_toxic / y.sum(), (total - n_toxic) / (len(y) - y.sum())) * len(y) / total
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    model = ToxicityModel(*built, share[True] / total, mean, scale, logistic((x - mean) / scale, y, weight), cut)
-    del rows, bodies, distance, gains
-    bs.give_back()
-    return model
+    return ToxicityModel(*built, prior, mean, scale, logistic((x - mean) / scale, y, weight), cut)
 
 
 def held_out(modulus: int, rest: int):
