@@ -6,12 +6,15 @@ return the columns of documents.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.llm.bpe_codec import bpe_encode
 from sextant.llm.minhash_dedup import linked
-from sextant.llm.mixing import mix_sources
+from sextant.llm.mixing import IDENTITY, identified, mix_sources
 from sextant.llm.shared import materialize, row_keys
 from sextant.llm.suffix_dedup import suffix_dedup
 from sextant.llm.toxicity import fit_toxicity, held_out
@@ -56,16 +59,21 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it (not at all, once or twice); the one document of a source of which the mix takes a part
-    comes with that many of its words. Documents without words stay once."""
-    rows = docs.withColumn("row", F.col("doc_id").cast("long"))
-    if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():  # rows are told apart by their place
-        rows = materialize(docs.withColumn("row", F.monotonically_increasing_id()))
-    taken = mix_sources(rows.select(F.col("row").alias("doc_id"), "text", "source")).select(F.col("doc_id").alias("row"), "size", "taken")
-    plan = taken.select("row", F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size"))).cast("int").alias("copies"), F.when(F.col("size") == 0, 0).otherwise(F.col("taken") % F.col("size")).alias("rest"))
-    rows = rows.join(plan.where("copies > 0 or rest > 0"), "row")
+    comes with that many of its words. Documents without words stay once. Rows equal in all columns can't be told apart: what the mix takes of them is added up."""
+    key, beside = [*IDENTITY, "doc_id", "source"], ("lang", "n_chars")
+    taken = mix_sources(docs, beside=beside).where("size > 0")
+    plan = taken.groupBy(*key).agg(F.sum(F.floor(F.col("taken") / F.col("size"))).cast("int").alias("copies"), F.sum(F.col("taken") % F.col("size")).alias("rest"), F.count(F.lit(1)).alias("rows"))
+    plan = materialize(plan)
+    rows = identified(docs, *beside)
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    once = rows.where(worded)
+    if not plan.where("rows > 1").isEmpty():
+        once = once.dropDuplicates(key)
+    mixed = once.alias("d").join(plan.where("copies > 0 or rest > 0").alias("p"), reduce(and_, (F.col(f"d.{c}").eqNullSafe(F.col(f"p.{c}")) for c in key))).select("d.*", "copies", "rest")
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("rest").cast("int")), " ")
     texts = F.concat(F.array_repeat("text", F.col("copies")), F.when(F.col("rest") > 0, F.array(part)).otherwise(F.array().cast("array<string>")))
-    return rows.withColumn("text", F.explode(texts)).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+    mixed = mixed.withColumn("text", F.explode(texts)).withColumn("n_chars", F.char_length("text").cast("long"))
+    return mixed.select(*COLUMNS).unionByName(rows.where(~worded).select(*COLUMNS))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
