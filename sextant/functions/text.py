@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -289,14 +290,43 @@ def formulas(text: Column) -> Column:
     return F.transform(reduce(F.concat, (F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in forms)), F.trim)
 
 
+# What a gap may consist of without being content, and which files that a source includes hold no body text.
+BRACED, COMMANDS, OPTIONS, SKIPPED, FIGURE = r"\{[^{}]*\}", r"\\[a-zA-Z@]+\*?", r"\[[^\]]*\]", r"\iffalse", r"(?i)^\[(?:figure|table)[\s:\]]"
+NESTED, LEAST_LETTERS = 6, 3
+ASSET_SUFFIXES = "bbl out aux toc lof lot fls fdb_latexmk log nav snm vrb pgf tikz tikzstyles settings title author abs pacs body pdf_tex pdf svg eps ps png jpg jpeg gif".split()
+ASSET_FOLDERS = "figures figure figs fig tables table plots plot graphics graphic diagrams diagram tikz pgf images image img imgs pics pic".split()
+ASSET_NAMES = (
+    r"^figure[-_]", r"^fig[-_]\d", r"^figs?\b", r"^plot[-_]", r"^chart[-_]", r"^diagram", r"^table[-_]", r"^tab[-_]\d", r"tabletest", r"^test[-_]?table", r"^tikz", r"^styles?tikz", r"tikz(?:graph|fig|plot|style)",
+    r"^macros?[-_]", r"^preamble", r"^header$", r"^commands", r"^author$", r"^title$", r"^abstract$", r"^keywords$", r"_summary$", r"_results?$", r"_cor(?:_|$)", r"_range$", r"evalres", r"^results?_[a-z]",
+)
+# end of fixed values
+
+
 def droppable(gap: Column) -> Column:
-    """No word of three letters is left once commands go."""
-    return ~without_latex(gap).rlike(r"[A-Za-z]{3,}")
+    """A gap that is no loss: blank, skipped source, a figure's or table's mark, or markup in which no word of LEAST_LETTERS letters is left once braced arguments, commands and options are gone."""
+    whole = F.regexp_replace(gap, r"^\s+|\s+$", "")
+    bare = reduce(lambda t, p: F.regexp_replace(t, p, " "), [BRACED] * NESTED + [COMMANDS, OPTIONS], whole)
+    return (whole == "") | F.startswith(whole, F.lit(SKIPPED)) | whole.rlike(FIGURE) | ~bare.rlike(f"[A-Za-z]{{{LEAST_LETTERS},}}")
+
+
+def droppable_text(gap: str) -> bool:
+    """droppable() for helpers that hold one text."""
+    whole = gap.strip()
+    if not whole or whole.startswith(SKIPPED) or re.search(FIGURE, whole):
+        return True
+    bare = reduce(lambda t, p: re.sub(p, " ", t), [BRACED] * NESTED + [COMMANDS, OPTIONS], whole)
+    return re.search(f"[A-Za-z]{{{LEAST_LETTERS},}}", bare) is None
 
 
 def body_include(path: Column) -> Column:
+    """Whether an included file may hold body text: no macro in its path, no folder, suffix or name of figures, tables, styles and results."""
     low = F.lower(path)
-    return ~(low.rlike(r"\.(sty|cls|bib|bst|bbl|pdf|png|jpe?g|eps|svg|tikz|pgf)$") | low.rlike(r"(^|/)(figures?|figs?|images?|img|tables?|tikz|plots?)/") | low.rlike(r"(^|/)(preamble|macros?|packages?|commands?|defs?|definitions|header|settings|style|notation|symbols?)[^/]*$"))
+    base = F.substring_index(low, "/", -1)
+    suffix = F.when(base.contains("."), F.substring_index(base, ".", -1)).otherwise("")
+    name = F.when(suffix != "", F.regexp_replace(base, r"\.[^.]*$", "")).otherwise(base)
+    folders = F.filter(F.split(low, "/"), lambda x: x != "")
+    inside = F.exists(F.slice(folders, 1, F.greatest(F.size(folders) - 1, F.lit(0))), lambda x: x.isin(ASSET_FOLDERS))
+    return ~(path.contains("\\") | inside | suffix.isin(ASSET_SUFFIXES) | reduce(lambda a, b: a | b, (name.rlike(p) for p in ASSET_NAMES)))
 
 
 def parse_failure(chunks: Column, chars: Column, first: Column) -> Column:

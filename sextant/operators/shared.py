@@ -40,15 +40,21 @@ def materialize(df: DataFrame, files: int = 0) -> DataFrame:
 def cleanup(spark: SparkSession | None = None) -> None:
     """Delete the tables of materialize(). Results that read them must have been used by then."""
     while _written:
-        owner, path = _written.pop()
-        try:
-            jvm, jsc = owner._jvm, owner.sparkContext._jsc
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session may be gone at exit
+        if not remove(*_written.pop()):
             return
 
 
+def remove(owner: SparkSession, path: str) -> bool:
+    """Delete a folder through Spark's file system; False if the session is gone."""
+    try:
+        jvm, jsc = owner._jvm, owner.sparkContext._jsc
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session may be gone at exit
+        return False
+    return True
+
+
 atexit.register(cleanup)
 
 

@@ -6,19 +6,31 @@ from pyspark.sql import functions as F
 
 from sextant.functions import vector as V
 from sextant.operators import aggregates as A
+from sextant.operators import fulltext
 from sextant.operators import relations as R
 from sextant.operators import search as S
 from sextant.plans.tables import table
 
-WORDS = "the and thnd"
+WORDS = "the tions eding"  # a stop word, and words whose stems are tion and ed
+SCANNED = "the and thnd"
 
 
 def _vector(s, d, vec_id):
     return table(s, d, "embeddings").where(F.col("vec_id").isin(vec_id)).select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
 
 
+def _keyword_page(s, d, limit):
+    """The best `limit` by the index of documents, scores divided by the page's best."""
+    return S.page_normalised(fulltext.index_of(table(s, d, "documents")).top(WORDS, limit), "bm25", limit, "doc_id")
+
+
 def keyword_search(s, d):
-    hits = S.keyword_search(table(s, d, "documents"), WORDS)
+    return _keyword_page(s, d, 30).select("doc_id", F.round("bm25", 6).alias("bm25"))
+
+
+def keyword_scan(s, d):
+    """Unstemmed words without an index: one pass over the texts."""
+    hits = S.keyword_search(table(s, d, "documents"), SCANNED)
     return S.page_normalised(hits, "bm25", 30, "doc_id").select("doc_id", F.round("bm25", 6).alias("bm25"))
 
 
@@ -29,7 +41,7 @@ def semantic_search(s, d):
 def hybrid_search(s, d):
     """Keyword and vector pools merged, languages softly filtered, at most two of a source, best ten."""
     docs = table(s, d, "documents")
-    words = S.page_normalised(S.keyword_search(docs, WORDS), "bm25", 50, "doc_id")
+    words = _keyword_page(s, d, 50)
     near = S.nearest(table(s, d, "embeddings"), _vector(s, d, [7]), 50).select(F.col("vec_id").alias("doc_id"), F.round("similarity", 6).alias("similarity"))
     pool = S.merged(near, words.withColumn("bm25", F.round("bm25", 6)), "doc_id").join(docs.select("doc_id", "lang", "source"), "doc_id")
     pool = S.soft_filtered(pool, lang=(F.col("lang"), ["en", "fr"])).withColumn("score", F.round("score", 4))
@@ -38,12 +50,12 @@ def hybrid_search(s, d):
 
 
 def search_facets(s, d):
-    pool = S.page_normalised(S.keyword_search(table(s, d, "documents"), WORDS), "bm25", 50, "doc_id").join(table(s, d, "documents").select("doc_id", "lang", "source"), "doc_id")
+    pool = _keyword_page(s, d, 50).join(table(s, d, "documents").select("doc_id", "lang", "source"), "doc_id")
     return S.facets(pool.withColumn("entities", F.array("source")), "lang", "entities", "doc_id", 5)
 
 
 def paginate(s, d):
-    pool = S.page_normalised(S.keyword_search(table(s, d, "documents"), WORDS), "bm25", 50, "doc_id").withColumn("bm25", F.round("bm25", 6))
+    pool = _keyword_page(s, d, 50).withColumn("bm25", F.round("bm25", 6))
     return S.page(pool, [F.desc("bm25"), F.asc("doc_id")], 10, 10)
 
 
@@ -124,18 +136,25 @@ def source_overlap(s, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    keyword_search, semantic_search, hybrid_search, search_facets, paginate, find_related, knn_join, evidence_groups, topic_clusters, methodology_funnel, benchmark_leaderboard, best_scores_by_year, code_assets,
+    keyword_search, keyword_scan, semantic_search, hybrid_search, search_facets, paginate, find_related, knn_join, evidence_groups, topic_clusters, methodology_funnel, benchmark_leaderboard, best_scores_by_year, code_assets,
     chunk_listing, compare_papers, novelty, source_overlap,
 )}
 
-BM25 = """t AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM documents),
+SCAN_BM25 = """t AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM documents),
     c AS (SELECT doc_id, len(t) AS n, len(list_filter(t, lambda x: x = 'and')) AS a, len(list_filter(t, lambda x: x = 'the')) AS b, len(list_filter(t, lambda x: x = 'thnd')) AS c FROM t),
     s AS (SELECT count(*) AS docs, avg(n) AS mean, sum((a > 0)::INT) AS da, sum((b > 0)::INT) AS db, sum((c > 0)::INT) AS dc FROM c),
     h AS (SELECT doc_id, ln(1 + (docs - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / mean)) + ln(1 + (docs - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / mean))
         + ln(1 + (docs - dc + 0.5) / (dc + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * n / mean)) AS bm25 FROM c, s WHERE a > 0 AND b > 0 AND c > 0),
     page AS (SELECT doc_id, bm25 / max(bm25) OVER () AS bm25 FROM (SELECT * FROM h ORDER BY bm25 DESC, doc_id LIMIT {n}))"""
+STOPPED = "', '".join(fulltext.STOP_WORDS)
+BM25 = f"""w AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '' AND x NOT IN ('{STOPPED}'))) AS word FROM documents),
+    n AS (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id), k AS (SELECT count(DISTINCT doc_id) AS docs, (SELECT count(*) FROM w) / count(DISTINCT doc_id) AS mean FROM documents),
+    st AS ({fulltext.stem_sql("SELECT DISTINCT word FROM w")}), f AS (SELECT doc_id, stem, count(*) AS tf FROM w JOIN st USING (word) WHERE stem IN ('tion', 'ed') GROUP BY doc_id, stem),
+    g AS (SELECT stem, count(*) AS df FROM f GROUP BY stem), h AS (SELECT doc_id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))) AS bm25 FROM f JOIN g USING (stem) JOIN n USING (doc_id), k GROUP BY doc_id HAVING count(*) = 2),
+    page AS (SELECT doc_id, bm25 / max(bm25) OVER () AS bm25 FROM (SELECT * FROM h ORDER BY bm25 DESC, doc_id LIMIT {{n}}))"""
 NEAR = "near AS (SELECT vec_id, label, list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = {q})) AS s FROM embeddings ORDER BY s DESC, vec_id LIMIT {k})"
 ORACLE_SQL = {
+    "keyword_scan": f"WITH {SCAN_BM25.format(n=30)} SELECT doc_id, round(bm25, 6) AS bm25 FROM page",
     "keyword_search": f"WITH {BM25.format(n=30)} SELECT doc_id, round(bm25, 6) AS bm25 FROM page",
     "semantic_search": f"WITH {NEAR.format(q=7, k=20)} SELECT vec_id, round(s, 4) AS similarity FROM near",
     "hybrid_search": f"""WITH {BM25.format(n=50)}, {NEAR.format(q=7, k=50)}, m AS (SELECT coalesce(p.doc_id, n.vec_id) AS doc_id, 0.6 * coalesce(round(s, 6), 0) + 0.4 * coalesce(round(bm25, 6), 0) AS score FROM page p FULL JOIN near n ON p.doc_id = n.vec_id),

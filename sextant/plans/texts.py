@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sextant.functions import identity as I
 from sextant.functions import text as T
+from sextant.operators import alignment as L
 from sextant.operators import curation as C
 from sextant.operators import relations as R
 from sextant.operators.search import chunks
@@ -115,6 +116,31 @@ def align_recover(s, d):
     return C.recovered(pieces, docs.select("doc_id", "text"))
 
 
+def anchor_recover(s, d):
+    """Lines known by their first and last four words, found again in their documents."""
+    docs = table(s, d, "documents")
+    words = F.split(L.normal(F.col("content")), " ")
+    ends = [F.array_join(F.slice(words, 1, 4), " ").alias("first"), F.array_join(F.slice(words, -F.least(F.size(words), F.lit(4)), 4), " ").alias("last")]
+    markers = L.numbered_lines(docs).select("doc_id", "position", *ends)
+    return L.anchored(markers, docs.select("doc_id", "text")).select("doc_id", "position", "status", "method", "start", "end", F.length("text").alias("chars"))
+
+
+def section_boundaries(s, d):
+    """Four lines are a section, six a chunk that says it belongs to the section of its first line; chunks that run into the next one are cut there."""
+    lines = L.numbered_lines(table(s, d, "documents"))
+    sections = L.windows_of_lines(lines, 4, 4).select("doc_id", F.col("k").alias("section"), "content")
+    chunks = L.windows_of_lines(lines, 6, 3).select("doc_id", F.col("k").alias("chunk"), F.floor(F.col("k") * 3 / 4).cast("int").alias("section"), "content")
+    found = L.bounded_by_sections(chunks, sections)
+    return found.select("doc_id", "chunk", "part", "section", "split", F.length("content").alias("chars"), F.md5(L.normal(F.col("content"))).alias("digest"))
+
+
+def body_files(s, d):
+    """Included files by name: those of a page's links that may hold body text."""
+    links = F.explode(F.regexp_extract_all("html", F.lit('(?:href|src)="/?([^"]*)"'), F.lit(1))).alias("path")
+    rows = table(s, d, "pages").select("page_id", links).where("path <> ''")
+    return rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("links"), F.count_if(T.body_include(F.col("path"))).alias("body"))
+
+
 def section_batches(s, d):
     rows = table(s, d, "documents").select("doc_id", T.section_batches(F.split("text", "\n+")).alias("b"))
     return rows.select("doc_id", F.size("b").alias("batches"), F.coalesce(F.array_max(F.transform("b", lambda x: F.length(F.array_join(x, "\n")))), F.lit(0)).alias("largest"))
@@ -146,12 +172,35 @@ def word_overlap(s, d):
 
 QUERIES = {f.__name__: f for f in (
     title_normalised, title_likeness, text_likeness, title_dedup, chunk_filter, first_sentences, embed_inputs, spam_screen, extract_ids, extract_urls, dataset_mentions, id_resolve, license_effective,
-    quality_score, reference_sections, latex_strip, html_sections, align_recover, section_batches, border_repeats, file_types, canonical_records, word_overlap,
+    quality_score, reference_sections, latex_strip, html_sections, align_recover, anchor_recover, section_boundaries, body_files, section_batches, border_repeats, file_types, canonical_records, word_overlap,
 )}
 
 CHUNKS = "chunks AS (SELECT doc_id, unnest(range(len(p))) AS position, unnest(p) AS content FROM (SELECT doc_id, string_split_regex(text, '\\n+') AS p FROM documents))"
 NORMAL = "trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g'))"
+def _asset_sql(path: str) -> str:
+    """SQL for the paths that body_include turns down."""
+    quoted = lambda items: ", ".join(f"'{x}'" for x in items)
+    base, names = f"list_extract(string_split({path}, '/'), -1)", " OR ".join(f"regexp_matches(name, '{p}')" for p in T.ASSET_NAMES)
+    return f"""SELECT *, contains(path, chr(92)) OR suffix IN ({quoted(T.ASSET_SUFFIXES)}) OR {names} OR len(list_intersect(folders[1:len(folders) - 1], [{quoted(T.ASSET_FOLDERS)}])) > 0 AS asset FROM (
+        SELECT *, CASE WHEN contains(base, '.') THEN list_extract(string_split(base, '.'), -1) ELSE '' END AS suffix, CASE WHEN contains(base, '.') AND NOT ends_with(base, '.') THEN regexp_replace(base, '\\.[^.]*$', '') ELSE base END AS name,
+            list_filter(string_split({path}, '/'), lambda x: x <> '') AS folders FROM (SELECT *, {base} AS base FROM paths))"""
+
+
+BOUNDARIES = r"""WITH l AS (SELECT doc_id, content, row_number() OVER (PARTITION BY doc_id ORDER BY position) - 1 AS place FROM (SELECT doc_id, unnest(p) AS content, unnest(range(len(p))) AS position FROM (SELECT doc_id, string_split_regex(text, '\n+') AS p FROM documents)) WHERE trim(regexp_replace(content, '\s+', ' ', 'g')) <> ''),
+    flat AS (SELECT *, trim(regexp_replace(content, '\s+', ' ', 'g')) AS f FROM l),
+    sec AS (SELECT doc_id, place // 4 AS section, trim(string_agg(f, ' ' ORDER BY place)) AS own FROM flat GROUP BY ALL),
+    w AS (SELECT doc_id, content, f, place, unnest(range(greatest(0, CAST(ceil((place - 5) / 3) AS BIGINT)), place // 3 + 1)) AS chunk FROM flat),
+    ch AS (SELECT doc_id, chunk, chunk * 3 // 4 AS section, string_agg(content, chr(10) ORDER BY place) AS content, trim(string_agg(f, ' ' ORDER BY place)) AS flat FROM w GROUP BY doc_id, chunk),
+    several AS (SELECT ch.doc_id, chunk FROM ch JOIN sec ON sec.doc_id = ch.doc_id AND contains(own, left(flat, 80)) WHERE length(flat) >= 8 GROUP BY ALL HAVING count(*) > 1),
+    cut AS (SELECT ch.*, (SELECT max(k) FROM (SELECT unnest(range(0, length(flat) + 1)) AS k) WHERE contains(own, left(flat, k))) AS held FROM ch JOIN several USING (doc_id, chunk) JOIN sec ON sec.doc_id = ch.doc_id AND sec.section = ch.section),
+    done AS (SELECT doc_id, chunk, section, trim(left(flat, held)) AS a, trim(substr(flat, held + 1)) AS b FROM cut WHERE held > 0 AND held < length(flat) - 50),
+    parts AS (SELECT doc_id, chunk, 0 AS part, section, a AS content FROM done UNION ALL
+        SELECT doc_id, chunk, 1, coalesce((SELECT min(s.section) FROM sec s WHERE s.doc_id = done.doc_id AND s.section <> done.section AND contains(s.own, left(b, 60))), section), b FROM done)
+    SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, CAST(part AS INTEGER) AS part, CAST(section AS INTEGER) AS section, split, length(content) AS chars, md5(trim(regexp_replace(content, '\s+', ' ', 'g'))) AS digest FROM (
+        SELECT *, true AS split FROM parts WHERE length(content) >= 50 UNION ALL SELECT doc_id, chunk, 0, section, content, false FROM ch WHERE (doc_id, chunk) NOT IN (SELECT (doc_id, chunk) FROM done))"""
 ORACLE_SQL = {
+    "body_files": f"WITH paths AS (SELECT page_id, lower(path) AS path FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?:href|src)=\"/?([^\"]*)\"', 1)) AS path FROM pages) WHERE path <> ''), a AS ({_asset_sql('path')}) SELECT page_id, count(*) AS links, count(*) FILTER (WHERE NOT asset) AS body FROM a GROUP BY page_id",
+    "section_boundaries": BOUNDARIES,
     "title_normalised": f"SELECT item_id, {NORMAL.format('left(text, 120)')} AS title FROM benchmark",
     "title_likeness": f"WITH p AS (SELECT p_partkey, {NORMAL.format('p_name')} AS t FROM part) SELECT a.p_partkey, round(CASE WHEN greatest(length(a.t), length(b.t)) = 0 THEN 1.0 ELSE 1.0 - levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t)) END, 6) AS similarity FROM p a JOIN p b ON a.p_partkey = b.p_partkey + 1",
     "title_dedup": f"""WITH t AS (SELECT doc_id, {NORMAL.format('left(text, 60)')} AS t FROM documents), c AS (SELECT t, min(doc_id) AS k FROM t GROUP BY t),

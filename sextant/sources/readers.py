@@ -85,6 +85,15 @@ def latex_resolved(files: DataFrame, key: str = "doc_id", depth: int = 5) -> Dat
     return rows
 
 
+def missing_includes(files: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, include): files that a source includes, may hold body text and are not among its files. Escaped signs in names are read as the signs."""
+    bare = lambda c: F.regexp_replace(F.regexp_replace(c, r"^.*/", ""), r"\.tex$", "")
+    found = F.regexp_extract_all(F.regexp_replace("text", r"(?<!\\)%[^\n]*", ""), F.lit(r"\\(?:input|include)\s*\{([^}]*)\}"), F.lit(1))
+    asked = files.select(key, F.explode(found).alias("include")).select(key, F.regexp_replace(F.trim("include"), r"\\([_#&])", "$1").alias("include"))
+    asked = asked.where(T.body_include(F.col("include"))).distinct().withColumn("name", bare(F.col("include")))
+    return asked.join(files.select(key, bare(F.col("path")).alias("name")).distinct(), [key, "name"], "left_anti").select(key, "include")
+
+
 def latex_sections(texts: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, position, level, heading, content) of the body; 'Content' where it has no sections; the bibliography goes."""
     body = T.latex_body(F.col("text"))
