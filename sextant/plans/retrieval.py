@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sextant.functions import vector as V
 from sextant.operators import aggregates as A
 from sextant.operators import fulltext
+from sextant.operators import neighbours as N
 from sextant.operators import relations as R
 from sextant.operators import search as S
 from sextant.plans.tables import table
@@ -68,7 +69,7 @@ def knn_join(s, d):
     """Stated queries against all rows, those of the query's own label aside."""
     e = table(s, d, "embeddings")
     queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"), "label")
-    return S.nearest(e, queries, 5, not_same="label").select("query", "vec_id", F.round("similarity", 4).alias("similarity"), "rank")
+    return N.nearest_of_all(e, queries, 5, not_same="label").select("query", "vec_id", F.round("similarity", 4).alias("similarity"), "rank")
 
 
 def evidence_groups(s, d):
@@ -119,20 +120,16 @@ def compare_papers(s, d):
 def novelty(s, d):
     """Samples of a label's vectors against the other labels' vectors; those with an even id count as cited."""
     e = table(s, d, "embeddings")
-    asked = R.stride_sample(e.select("vec_id", "label", "embedding"), "label", "vec_id", 10)
+    asked = R.stride_sample(e.select("vec_id", "label", "embedding"), "label", "vec_id", 100)
     queries = asked.select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"), "label")
-    near = S.nearest(e, queries, 5, not_same="label").join(asked.select(F.col("vec_id").alias("query"), F.col("label").alias("doc")), "query")
+    near = N.nearest_of_all(e, queries, 5, not_same="label").join(asked.select(F.col("vec_id").alias("query"), F.col("label").alias("doc")), "query")
     rows = near.select("doc", F.col("query").alias("sample"), F.col("vec_id").alias("other"), F.round("similarity", 4).alias("similarity"), (F.col("vec_id") % 2 == 0).alias("cited"))
     return A.novelty(rows, "cited")
 
 
 def source_overlap(s, d):
-    """Benchmark items that stand in a document as a whole: joined on their first words, then checked."""
-    head = lambda c: F.left(c, F.lit(40))
-    items = table(s, d, "benchmark").select("item_id", F.col("text").alias("item")).where(F.length("item") >= 40).withColumn("head", head(F.col("item")))
-    lines = S.chunks(table(s, d, "documents")).withColumn("at", F.explode(F.sequence(F.lit(1), F.greatest(F.length("content") - 39, F.lit(1)))))
-    lines = lines.select("doc_id", "content", F.expr("substring(content, at, 40)").alias("head"))
-    return lines.join(F.broadcast(items), "head").where(F.col("content").contains(F.col("item"))).select("item_id", "doc_id").distinct()
+    """Benchmark items that stand in a document as they are, over line ends too."""
+    return N.contained(table(s, d, "benchmark"), table(s, d, "documents"), "item_id", "doc_id")
 
 
 QUERIES = {f.__name__: f for f in (
@@ -166,6 +163,12 @@ ORACLE_SQL = {
     "find_related": f"WITH {NEAR.format(q=3, k=11)} SELECT label, max(round(s, 4)) AS best, count(*) AS n FROM near WHERE vec_id <> 3 GROUP BY label",
     "knn_join": """WITH p AS (SELECT a.vec_id AS query, b.vec_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.label <> b.label)
         SELECT query, vec_id, round(s, 4) AS similarity, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, vec_id) AS r FROM p) WHERE r <= 5""",
+    "novelty": """WITH s AS (SELECT vec_id, label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, CAST(ceil(count(*) OVER (PARTITION BY label) / 100) AS BIGINT) AS step FROM embeddings),
+        p AS (SELECT a.label AS doc, a.vec_id AS sample, b.vec_id AS other, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM s a JOIN embeddings b ON a.i % a.step = 0 AND a.label <> b.label),
+        k AS (SELECT doc, sample, other, round(s, 4) AS similarity, other % 2 = 0 AS cited FROM (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY s DESC, other) AS r FROM p) WHERE r <= 5),
+        o AS (SELECT doc, sample, coalesce(1 - max(similarity) FILTER (WHERE NOT cited), 1) AS own FROM k GROUP BY doc, sample), n AS (SELECT doc, round(median(own), 6) AS novelty, count(*) AS samples FROM o GROUP BY doc),
+        t AS (SELECT doc, other, max(similarity) AS s, max(CAST(cited AS INTEGER)) AS c FROM k GROUP BY doc, other), g AS (SELECT doc, round(avg(c), 6) AS grounding, CAST(sum(CAST(s > 0.9 AS INTEGER)) AS BIGINT) AS copies FROM t GROUP BY doc)
+        SELECT n.doc, novelty, samples, grounding, copies FROM n LEFT JOIN g ON n.doc = g.doc""",
     "topic_clusters": f"WITH {NEAR.format(q=11, k=100)}, g AS (SELECT label, max(round(s, 4)) AS top, count(*) AS members FROM near GROUP BY label) SELECT label, top, members, round(top * log2(members + 1), 4) AS score FROM g ORDER BY score DESC, label LIMIT 8",
     "methodology_funnel": "SELECT count(*) AS n, min(doc_id) AS first, count(DISTINCT source) AS sources FROM documents WHERE lang = 'en' AND source IN ('src1', 'src2', 'src3')",
     "benchmark_leaderboard": "SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS score FROM events WHERE event_type = 'click' ORDER BY score DESC NULLS LAST, ts DESC, event_id LIMIT 20",
@@ -173,5 +176,5 @@ ORACLE_SQL = {
     "chunk_listing": "WITH c AS (SELECT unnest(range(len(p))) AS position, unnest(p) AS content FROM (SELECT string_split_regex(text, '\\n+') AS p FROM documents WHERE doc_id = 5)) SELECT CAST(position AS INTEGER) AS position, length(content) AS n, contains(content, 'the') AS hit FROM c",
     "compare_papers": """WITH w AS (SELECT DISTINCT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS word FROM documents WHERE doc_id IN (1, 2, 6)), h AS (SELECT word, count(*) AS n FROM w GROUP BY word)
         SELECT CASE WHEN n = 3 THEN 'shared' WHEN n = 1 THEN 'unique' ELSE 'some' END AS kind, count(*) AS n FROM h GROUP BY 1""",
-    "source_overlap": "WITH c AS (SELECT doc_id, unnest(string_split_regex(text, '\\n+')) AS content FROM documents) SELECT DISTINCT item_id, doc_id FROM benchmark b JOIN c ON contains(c.content, b.text) WHERE length(b.text) >= 40",
+    "source_overlap": "SELECT DISTINCT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE length(b.text) > 0",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sextant.operators import aggregates as A
 from sextant.operators import relations as R
+from sextant.operators.neighbours import nearest_of_all
 from sextant.plans.tables import table
 
 
@@ -100,13 +101,11 @@ def failure_breaker(s, d):
 
 
 def similarity_bands(s, d):
+    """Bands of the likeness between stated queries and their ten nearest."""
     e = table(s, d, "embeddings")
-    from sextant.functions.vector import cosine
-
-    first = e.where("vec_id < 20").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"))
-    sim = F.round(cosine(F.col("embedding"), F.col("v")), 4)
-    rows = e.join(F.broadcast(first), F.col("vec_id") != F.col("q")).select(sim.alias("s"))  # a stated set of 20 queries against all
-    return rows.groupBy(F.when(F.col("s") >= 0.3, "0.3").when(F.col("s") >= 0.2, "0.2").when(F.col("s") >= 0.1, "0.1").otherwise("below").alias("band")).agg(F.count(F.lit(1)).alias("n"))
+    queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    rows = nearest_of_all(e, queries, 11).where("vec_id <> query").select(F.round("similarity", 4).alias("s"))
+    return rows.groupBy(F.when(F.col("s") >= 0.5, "0.5").when(F.col("s") >= 0.4, "0.4").when(F.col("s") >= 0.3, "0.3").otherwise("below").alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def monthly_first(s, d):
@@ -157,8 +156,9 @@ ORACLE_SQL = {
         SELECT dim, bucket, count(*) AS n, count(*) FILTER (WHERE c_acctbal > 0) AS positive FROM (SELECT 'c_mktsegment' AS dim, c_mktsegment AS bucket, c_acctbal FROM r UNION ALL SELECT 'n_name', n_name, c_acctbal FROM r UNION ALL SELECT 'n_regionkey', CAST(n_regionkey AS VARCHAR), c_acctbal FROM r) GROUP BY dim, bucket""",
     "failure_breaker": """WITH w AS (SELECT user_id AS run, event_id, avg(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER x AS share, count(*) OVER x AS n FROM events WINDOW x AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING))
         SELECT run, CAST(max(CASE WHEN n >= 5 AND share > 0.3 THEN 1 ELSE 0 END) AS INTEGER) AS opened, round(arg_max(share, event_id), 4) AS final_share FROM w GROUP BY run""",
-    "similarity_bands": """WITH p AS (SELECT round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) AS s FROM embeddings a JOIN embeddings b ON b.vec_id < 20 AND a.vec_id <> b.vec_id)
-        SELECT CASE WHEN s >= 0.3 THEN '0.3' WHEN s >= 0.2 THEN '0.2' WHEN s >= 0.1 THEN '0.1' ELSE 'below' END AS band, count(*) AS n FROM p GROUP BY 1""",
+    "similarity_bands": """WITH p AS (SELECT a.vec_id AS q, b.vec_id AS o, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0),
+        k AS (SELECT round(s, 4) AS s FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, o) AS r FROM p) WHERE r <= 11 AND q <> o)
+        SELECT CASE WHEN s >= 0.5 THEN '0.5' WHEN s >= 0.4 THEN '0.4' WHEN s >= 0.3 THEN '0.3' ELSE 'below' END AS band, count(*) AS n FROM k GROUP BY 1""",
     "monthly_first": "WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders GROUP BY 1) SELECT min(month) AS first_month, count(*) AS months FROM m WHERE n >= 5",
     "enrichment_candidates": "SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') AND o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING sum(l_quantity) > 150)",
     "store_drift": """WITH l AS (SELECT source, count(*) AS l FROM documents GROUP BY source), r AS (SELECT source, count(*) AS r FROM documents JOIN labels USING (doc_id) GROUP BY source), x AS (SELECT source, coalesce(l, 0) - coalesce(r, 0) AS difference FROM l FULL JOIN r USING (source))
