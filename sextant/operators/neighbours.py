@@ -168,8 +168,9 @@ def contained(items: DataFrame, texts: DataFrame, item_key: str, text_key: str,
     brief = item.where(F.length("item") < wide).withColumns({"size": F.length("item")})
     sizes = sorted(r["size"] for r in brief.select("size").distinct().collect())  # fewer than gram + reach - 1
     for size in sizes:
-        runs = body.where(F.length("body") >= size).select(text_key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("body") - (size - 1)), lambda i, n=size: F.substring("body", i, F.lit(n))))).alias("item"))
-        met = met.unionByName(brief.where(F.col("size") == size).select(item_key, "item").join(runs, "item").select(item_key, text_key))
+        runs = F.transform(F.sequence(F.lit(1), F.length("body") - (size - 1)), lambda i: F.substring("body", i, F.lit(size)))  # noqa: B023
+        told_runs = body.where(F.length("body") >= size).select(text_key, F.explode(F.array_distinct(runs)).alias("item"))
+        met = met.unionByName(brief.where(F.col("size") == size).select(item_key, "item").join(told_runs, "item").select(item_key, text_key))
     sure = met.distinct().join(item, item_key).join(body, text_key).where(F.contains("body", F.col("item")))
     return sure.select(item_key, text_key).distinct()
 
