@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.operators.relations import insert_ignored, upserted
@@ -10,9 +10,33 @@ from sextant.operators.shared import materialize
 
 
 def write_upsert(path: str, incoming: DataFrame, key: list[str]) -> None:
-    """Incoming rows take the place of those with their key. The new state is written beside the old one before it replaces it."""
+    """Incoming rows take the place of those with their key, in a plain folder. The new state is complete beside the old one before both are moved; a writer that died
+    between the two moves is finished by the next (see `settled`). Readers that must never meet a missing folder use `snapshots`."""
     spark = incoming.sparkSession
-    materialize(upserted(spark.read.parquet(path), incoming, key)).write.mode("overwrite").parquet(path)
+    settled(spark, path)
+    upserted(spark.read.parquet(path), incoming, key).write.mode("overwrite").parquet(f"{path}.new")
+    _moved(spark, path)
+
+
+def settled(spark: SparkSession, path: str) -> None:
+    """Finish or undo what an upsert that died left beside a folder."""
+    fs, at = _files(spark, path)
+    if not fs.exists(at(path)) and fs.exists(at(f"{path}.old")):  # died between the moves: the new state is complete
+        fs.rename(at(f"{path}.new"), at(path))
+    for rest in (f"{path}.new", f"{path}.old"):
+        fs.delete(at(rest), True)
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _moved(spark: SparkSession, path: str) -> None:
+    fs, at = _files(spark, path)
+    if not (fs.rename(at(path), at(f"{path}.old")) and fs.rename(at(f"{path}.new"), at(path))):
+        raise OSError(f"{path} could not be moved")
+    fs.delete(at(f"{path}.old"), True)
 
 
 def append_new(path: str, incoming: DataFrame, keys: list[list[str]], order: str) -> int:
