@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from sextant.operators.graph import in_reach
+
 Condition = tuple[list[str], str, str]  # (fields, field, value)
 
 
@@ -61,15 +63,12 @@ def resolved_names(records: DataFrame) -> DataFrame:
     return records.groupBy("bundle").applyInPandas(resolve, "bundle string, local string, id string, problem string")
 
 
-def supersede_guards(asked: DataFrame, links: DataFrame, hops: int = 8) -> DataFrame:
-    """asked(old, new, owner, old_owner, type, old_type), links(frm, to) -> asked with the sorted names of the guards it breaks."""
+def supersede_guards(asked: DataFrame, links: DataFrame) -> DataFrame:
+    """asked(old, new, owner, old_owner, type, old_type), links(frm, to) -> asked with the sorted names of the guards it breaks. A cycle may have any length."""
     taken = links.select(F.col("to").alias("old")).distinct().withColumn("taken", F.lit(True))
-    walk = asked.select("old", "new", F.col("old").alias("at")).distinct()
-    loops = walk.where("old = new").select("old", "new")
-    for _ in range(hops):
-        walk = walk.join(links, walk["at"] == links["frm"]).select("old", "new", F.col("to").alias("at")).distinct()
-        loops = loops.unionAll(walk.where("at = new").select("old", "new"))
-    loops = loops.distinct().withColumn("loop", F.lit(True))
+    pairs = asked.select(F.col("old").alias("a"), F.col("new").alias("b")).distinct()
+    loops = pairs.where("a = b").unionAll(in_reach(pairs, links.select(F.col("frm").alias("node"), "to")))
+    loops = loops.select(F.col("a").alias("old"), F.col("b").alias("new")).distinct().withColumn("loop", F.lit(True))
     rows = asked.join(taken, "old", "left").join(loops, ["old", "new"], "left")
     broken = {"cycle": F.col("loop"), "ownership": ~F.col("owner").eqNullSafe(F.col("old_owner")), "set-once": F.col("taken"), "type": ~F.col("type").eqNullSafe(F.col("old_type"))}
     return rows.withColumn("violated", F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in broken.items())))).drop("taken", "loop")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import base64
+import datetime
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -138,6 +142,37 @@ def after_cursor(rows: DataFrame, columns: list[str], cursor: tuple | None, limi
     return rows.orderBy(*(F.desc(c) for c in columns)).limit(limit + 1)
 
 
+def cursor_column(when: Column, key: Column) -> Column:
+    """An opaque cursor of a row: time and key, base64url without padding, made in the plan."""
+    plain = F.concat(F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit("|"), key.cast("string"))
+    return F.regexp_replace(F.translate(F.base64(F.encode(plain, "utf-8")), "+/", "-_"), "[=\\s]", "")
+
+
+def opened_cursor(text: str | None, key_pattern: str = r"\S+") -> tuple[str, str] | None:
+    """(time, key) of a cursor; None, which means a start from the beginning, where it is none."""
+    try:
+        plain = base64.b64decode((text or "").translate(str.maketrans("-_", "+/")) + "=" * (-len(text or "") % 4), validate=True).decode()
+        when, bar, key = plain.rpartition("|")
+        datetime.datetime.fromisoformat(when.replace("Z", "+00:00"))
+    except ValueError:
+        return None
+    return (when, key) if bar and re.fullmatch(key_pattern, key) else None
+
+
+def cursor_page(rows: DataFrame, when: str, key: str, cursor: str | None, limit: int, key_pattern: str = r"\S+") -> DataFrame:
+    """The newest `limit` rows before an opaque cursor, with `cursor` of each row, and `more`: whether rows follow the page. Times count to the millisecond, as the cursor holds them; rows
+    without time or key are on no page. A cursor that can't be read starts from the beginning."""
+    told = opened_cursor(cursor, key_pattern)
+    kept = rows.where(F.col(when).isNotNull() & F.col(key).isNotNull()).withColumn("_at", F.date_trunc("millisecond", F.col(when).cast("timestamp")))
+    if told:
+        at, last = F.lit(told[0]).cast("timestamp"), F.lit(told[1]).cast(rows.schema[key].dataType)
+        kept = kept.where((F.col("_at") < at) | ((F.col("_at") == at) & (F.col(key) < last)))
+    best = kept.orderBy(F.desc("_at"), F.desc(key)).limit(limit + 1)
+    place = F.row_number().over(Window.partitionBy().orderBy(F.desc("_at"), F.desc(key)))  # limit + 1 rows
+    best = best.withColumns({"_place": place, "more": F.count(F.lit(1)).over(Window.partitionBy()) > limit, "cursor": cursor_column(F.col("_at"), F.col(key))})
+    return best.where(F.col("_place") <= limit).drop("_place", "_at")
+
+
 def evidence_groups(claim: DataFrame, support: DataFrame, contradict: DataFrame, key: str, most: int) -> DataFrame:
     """Three pools of (key, similarity), outer-merged, classed, and the best `most` of each relation."""
     tagged = [p.select(key, F.lit(t).alias("pool"), "similarity") for t, p in (("claim", claim), ("support", support), ("contradict", contradict))]
