@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import datetime
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -128,6 +129,48 @@ def facets(rows: DataFrame, kind: str, entities: str, rank: str, top: int = 10)
     return kinds.select(F.lit("kind").alias("facet"), "value", "n").unionAll(best.select(F.lit("entity").alias("facet"), "value", "n"))
 
 
+def searched(
+    near: DataFrame, words: DataFrame, documents: DataFrame, key: str, limit: int, soft: dict[str, list[str]] | None = None, hard: Column | None = None, rerank: Callable[[Column], Column] | None = None,
+    content: str = "text", reranked: int = 15, diversify: str | None = None, most: int = 3, share: float = 0.6,
+) -> tuple[DataFrame, DataFrame]:
+    """(page, pool) of a search as a whole. near(key, similarity) and words(key, bm25) are the pools of both kinds, as wide as `maintenance.pool_size` says.
+
+    They are merged, and soft filters over columns of documents (what matches first, what is unknown after it, mismatches gone) come before the rerank, which scores the best `reranked` by `rerank` of their
+    content and leaves out the rest. hard, a condition over documents, comes after it, then at most `most` rows of each `diversify`, and the first `limit`. pool is what was there before diversifying: pages
+    after the first are made of it. Only rows of the pool meet their documents.
+    """
+    columns = [key, *dict.fromkeys([*(soft or {}), content, *([diversify] if diversify else [])])]
+    rows = merged(near, words, key, share).withColumn("score", F.round("score", 6))
+    met = documents.where(hard) if hard is not None and not rerank else documents
+    rows = rows.join(met.select(*columns), key)
+    rows = soft_filtered(rows, **{c: (F.col(c), w) for c, w in soft.items()}) if soft else rows.withColumn("tier", F.lit(2))
+    order = [F.desc("tier"), F.desc("score"), F.asc(key)]
+    if rerank:
+        best = rows.orderBy(*order).limit(reranked)
+        rows = best.withColumns({"score": rerank(F.col(content)), "tier": F.lit(2)})
+        if hard is not None:
+            rows = rows.join(documents.where(hard).select(key), key, "left_semi")
+    pool = rows.select(key, "score", "tier", "vector_score", "keyword_score", *([diversify] if diversify else []))
+    few = diversified(pool, diversify, most, order) if diversify else pool
+    place = F.row_number().over(Window.partitionBy().orderBy(*order))  # limit rows
+    return few.orderBy(*order).limit(limit).withColumn("place", place), pool
+
+
+def mentioning(chunks: DataFrame, documents: DataFrame, key: str, test: Column, newest: str, limit: int) -> DataFrame:
+    """(key, chunks): the documents with the most chunks that pass the test, of equals the newest first, then by key."""
+    found = chunks.where(test).groupBy(key).agg(F.count(F.lit(1)).alias("chunks"))
+    return found.join(documents.select(key, newest), key).orderBy(F.desc("chunks"), F.desc(newest), key).limit(limit).select(key, "chunks")
+
+
+def names_entity(entities: str, entity: str) -> Column:
+    """One of a chunk's entities is this one, whatever the case; a chunk without entities names none."""
+    return F.coalesce(F.exists(entities, lambda e: F.lower(e) == entity.lower()), F.lit(False))
+
+
+def holds_concept(concept_column: str, concept: str) -> Column:
+    return F.coalesce(F.contains(F.lower(concept_column), F.lit(concept.lower())), F.lit(False))
+
+
 def page(rows: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
     return rows.orderBy(*order).offset(offset).limit(limit)
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sextant.plans import graphs, record_queries, retrieval, selection, statistics, texts, upkeep
+from sextant.plans import graphs, reads, record_queries, retrieval, selection, statistics, texts, upkeep
 
-MODULES = (statistics, selection, texts, retrieval, graphs, record_queries, upkeep)
+MODULES = (statistics, selection, texts, retrieval, graphs, record_queries, upkeep, reads)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
 FLAGSHIP = "hybrid_search"
