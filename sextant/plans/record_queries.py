@@ -59,6 +59,8 @@ def boundary_fixes(s, d):
 
 QUERIES = {f.__name__: f for f in (cost_keys, table_scores, supersede_guards, stage_gates, language_gates, hash_scopes, local_names, boundary_fixes)}
 ORACLE_SQL = {
+    "local_names": """WITH RECURSIVE w AS (SELECT conv_id, turn, sha256(role) AS id FROM conversations WHERE turn = 0 UNION ALL SELECT c.conv_id, c.turn, sha256(c.role || chr(31) || w.id) FROM w JOIN conversations c ON c.conv_id = w.conv_id AND c.turn = w.turn + 1)
+        SELECT CAST(c.conv_id AS VARCHAR) AS bundle, CAST(c.turn AS VARCHAR) AS local, w.id, CASE WHEN w.id IS NULL THEN 'unresolved' END AS problem FROM conversations c LEFT JOIN w USING (conv_id, turn)""",
     "cost_keys": """SELECT CASE event_type WHEN 'click' THEN CASE WHEN event_id % 2 = 0 THEN 'search:rerank' ELSE 'search:fast' END WHEN 'view' THEN CASE WHEN event_id % 2 = 0 THEN 'compare_papers:full' ELSE 'compare_papers' END
         WHEN 'signup' THEN CASE WHEN event_id % 2 = 0 THEN 'submit_document:dry_run' ELSE 'submit_document:latex' END ELSE 'paginate' END AS key, count(*) AS n FROM events GROUP BY 1""",
     "table_scores": "SELECT p_partkey AS table_id, '' AS task, p_brand AS dataset, 'F1 score' AS metric, p_retailprice AS score FROM part UNION ALL SELECT p_partkey, '', 'Parts', 'F1 score', 95.5 FROM part",

@@ -169,6 +169,14 @@ ORACLE_SQL = {
         o AS (SELECT doc, sample, coalesce(1 - max(similarity) FILTER (WHERE NOT cited), 1) AS own FROM k GROUP BY doc, sample), n AS (SELECT doc, round(median(own), 6) AS novelty, count(*) AS samples FROM o GROUP BY doc),
         t AS (SELECT doc, other, max(similarity) AS s, max(CAST(cited AS INTEGER)) AS c FROM k GROUP BY doc, other), g AS (SELECT doc, round(avg(c), 6) AS grounding, CAST(sum(CAST(s > 0.9 AS INTEGER)) AS BIGINT) AS copies FROM t GROUP BY doc)
         SELECT n.doc, novelty, samples, grounding, copies FROM n LEFT JOIN g ON n.doc = g.doc""",
+    "evidence_groups": """WITH p1 AS (SELECT vec_id, round(s, 4) AS s FROM (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 1)) AS s FROM embeddings ORDER BY s DESC, vec_id LIMIT 20)),
+        p2 AS (SELECT vec_id, round(s, 4) AS s FROM (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 2)) AS s FROM embeddings ORDER BY s DESC, vec_id LIMIT 20)),
+        p3 AS (SELECT vec_id, round(s, 4) AS s FROM (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 3)) AS s FROM embeddings ORDER BY s DESC, vec_id LIMIT 20)),
+        a AS (SELECT vec_id, max(CASE WHEN k = 1 THEN s END) AS claim, coalesce(max(CASE WHEN k = 2 THEN s END), 0) AS sup, coalesce(max(CASE WHEN k = 3 THEN s END), 0) AS con FROM (SELECT 1 AS k, * FROM p1 UNION ALL SELECT 2, * FROM p2 UNION ALL SELECT 3, * FROM p3) GROUP BY vec_id),
+        e AS (SELECT vec_id, CASE WHEN abs(sup - con) < 0.03 THEN 'neutral' WHEN sup > con THEN 'supports' ELSE 'contradicts' END AS relation, CASE WHEN abs(sup - con) < 0.03 THEN 0.5 ELSE least(0.95, 0.5 + 4 * abs(sup - con)) END AS confidence, greatest(coalesce(claim, 0), sup, con) AS score FROM a)
+        SELECT vec_id, relation, round(confidence, 4) AS confidence, score FROM (SELECT *, row_number() OVER (PARTITION BY relation ORDER BY confidence * score DESC, vec_id) AS p FROM e) WHERE p <= 5""",
+    "code_assets": """WITH l AS (SELECT page_id, list_transform(list_filter(regexp_extract_all(html, 'href="/([^"]*)"', 1), lambda x: length(x) > 3), lambda x: lower(x)) AS links FROM pages)
+        SELECT page_id, CAST(len(links) AS INTEGER) AS n, array_to_string(list_sort(list_distinct(links))[1:3], ' ') AS top FROM l""",
     "topic_clusters": f"WITH {NEAR.format(q=11, k=100)}, g AS (SELECT label, max(round(s, 4)) AS top, count(*) AS members FROM near GROUP BY label) SELECT label, top, members, round(top * log2(members + 1), 4) AS score FROM g ORDER BY score DESC, label LIMIT 8",
     "methodology_funnel": "SELECT count(*) AS n, min(doc_id) AS first, count(DISTINCT source) AS sources FROM documents WHERE lang = 'en' AND source IN ('src1', 'src2', 'src3')",
     "benchmark_leaderboard": "SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS score FROM events WHERE event_type = 'click' ORDER BY score DESC NULLS LAST, ts DESC, event_id LIMIT 20",

@@ -199,6 +199,7 @@ BOUNDARIES = r"""WITH l AS (SELECT doc_id, content, row_number() OVER (PARTITION
     SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, CAST(part AS INTEGER) AS part, CAST(section AS INTEGER) AS section, split, length(content) AS chars, md5(trim(regexp_replace(content, '\s+', ' ', 'g'))) AS digest FROM (
         SELECT *, true AS split FROM parts WHERE length(content) >= 50 UNION ALL SELECT doc_id, chunk, 0, section, content, false FROM ch WHERE (doc_id, chunk) NOT IN (SELECT (doc_id, chunk) FROM done))"""
 ORACLE_SQL = {
+    "first_sentences": r"WITH f AS (SELECT doc_id, text, regexp_extract(text, '(?s)^(.*?[.?!])(?:\s|$)', 1) AS s FROM documents), g AS (SELECT doc_id, CASE WHEN s <> '' THEN s ELSE text END AS s FROM f) SELECT doc_id, sha256(CASE WHEN length(s) > 120 THEN left(s, 120) || '...' ELSE s END) AS sentence FROM g",
     "body_files": f"WITH paths AS (SELECT page_id, lower(path) AS path FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?:href|src)=\"/?([^\"]*)\"', 1)) AS path FROM pages) WHERE path <> ''), a AS ({_asset_sql('path')}) SELECT page_id, count(*) AS links, count(*) FILTER (WHERE NOT asset) AS body FROM a GROUP BY page_id",
     "section_boundaries": BOUNDARIES,
     "title_normalised": f"SELECT item_id, {NORMAL.format('left(text, 120)')} AS title FROM benchmark",
