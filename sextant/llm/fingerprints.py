@@ -6,9 +6,9 @@ documents travel on, and are compared byte by byte as a set (merged in each task
 as rows). Where a bucket holds different forms the fingerprint gets the form's SHA-256 as well. Texts are exchanged once, by
 doc_id, for both the edited text and the comparison.
 
-Null text counts as empty, a null doc_id as the smallest. The next document is the one with the next smaller
-doc_id, after the last the first; of several rows with that doc_id the one with the smallest text
-beginning. A single document is its own next. Only doc_id and text are read.
+Null text counts as empty, a null doc_id as the smallest (so does the smallest long, which comes back as null). The next document is the one with the next smaller
+doc_id, after the last the first; of several rows with that doc_id the one with the smallest hash of its form, for both the edited text and the likeness. A doc_id, or null, that
+many rows share is dealt over tasks by text. A single document is its own next. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -53,15 +53,18 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     forms = base.select("key", F.char_length("text").alias("n"), canonical(F.col("text")).alias("form"))
     known = materialize(forms.select("key", "n", wide_hash(F.col("form")).alias("h"), F.sha2("form", 256).alias("s")))
     several = materialize(known.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").withColumn("several", F.lit(True)))
-    marks = known.groupBy("key").agg(F.max("n").alias("n"), F.min(F.struct("h", "s")).alias("of"))
-    chain = following(marks.select("key", "n"))
-    asked = chain.select(F.col("next").alias("key"), F.col("key").alias("asker"), F.floor(F.col("n") / 3).cast("int").alias("share"))
-    asked = asked.join(marks.select("key", "of"), "key")
-    given = base.join(asked.hint("shuffle_hash"), "key").select(F.col("asker").alias("key"), F.struct(F.left("text", F.col("share")).alias("head"), "of").alias("given"))
+    marks = materialize(known.groupBy("key").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("c"), F.min(F.struct("h", "s")).alias("of")))
+    chain = materialize(following(marks.select("key", "n")))
+    asked = chain.select(F.col("next").alias("key"), F.col("key").alias("asker"), F.floor(F.col("n") / 3).cast("int").alias("share")).join(marks.select("key", "c", "of"), "key")
+    # of several rows of the next doc_id the one with the smallest hash; one row has no need of it
+    form = canonical(F.col("text"))
+    order = F.when(F.col("c") > 1, F.struct(wide_hash(form).alias("h"), F.sha2(form, 256).alias("s")))
+    given = join_counted(base, asked, "key", "c", "text", marks).select(F.col("asker").alias("key"), F.struct(order.alias("order"), F.left("text", F.col("share")).alias("head"), "of").alias("given"))
     given = given.groupBy("key").agg(F.min("given").alias("given"))
     flagged = join_counted(known.select("key", "h"), several, "h", "c", "key").select("key", "several").distinct()
+    given = given.join(marks.select("key", "c"), "key").join(flagged, "key", "left")
     n, share = F.char_length("text"), F.floor(F.char_length("text") / 3).cast("int")
-    edited = base.join(given, "key").join(flagged.hint("shuffle_hash"), "key", "left")
+    edited = join_counted(base, given, "key", "c", "text", marks)
     edited = edited.select("key", "text", n.alias("n_chars"), "given", "several", F.concat(F.left("text", n - share), F.left("given.head", share)).alias("edited"))
     forms = edited.select("key", "n_chars", "given", "several", F.sha2("edited", 256).alias("edited_sha256"), canonical(F.col("text")).alias("form"), canonical(F.col("edited")).alias("edited_form"))
     digest = lambda c: (wide_hash(F.col(c)), F.sha2(c, 256))

@@ -42,12 +42,13 @@ def row_keys(documents: DataFrame, *columns) -> tuple[DataFrame, DataFrame | Non
     return keyed, names.select("key", F.when(F.col("id") != LAST, F.col("id")).alias("doc_id"), "copies")
 
 
-def join_counted(rows: DataFrame, counted: DataFrame, key: str, count: str, spread: str) -> DataFrame:
-    """rows joined with counted, a written table with one row per key and the number of the key's rows. A key with more than one in HOT_KEYS of all
+def join_counted(rows: DataFrame, counted: DataFrame, key: str, count: str, spread: str, counts: DataFrame | None = None) -> DataFrame:
+    """rows joined with counted, a table with one row per key and the number of the key's rows; it is read three times, or once where counts, a small written table of keys and numbers, is given. A key with more than one in HOT_KEYS of all
     rows (there are fewer than HOT_KEYS of these, so they can be broadcast) is dealt into SALTS parts by a hash of column spread: no task gets all rows of one."""
-    total = counted.agg(F.sum(count)).collect()[0][0] or 0
+    known = counted if counts is None else counts
+    total = known.agg(F.sum(count)).collect()[0][0] or 0
     many = F.col(count) > max(2, total / HOT_KEYS)
-    hot = F.broadcast(counted.where(many).select(key, F.lit(True).alias("is_hot")))  # fewer than HOT_KEYS rows
+    hot = F.broadcast(known.where(many).select(key, F.lit(True).alias("is_hot")))  # fewer than HOT_KEYS rows
     dealt = rows.join(hot, key, "left").withColumn("salt", F.when(F.col("is_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(0).cast("int")).drop("is_hot")
     parts = F.when(many, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     return dealt.join(counted.withColumn("salt", F.explode(parts)), [key, "salt"]).drop("salt")
