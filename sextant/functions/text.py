@@ -72,6 +72,34 @@ def latex_parts(text: Column, most: int = 5000) -> Column:
     return F.flatten(F.transform(long(F.split(text, LATEX_PARTS)), smaller))
 
 
+GIANT = 130_000  # fixed value: longer sections are split by paragraphs
+
+
+def giants_split(sections: Column, most: int = GIANT) -> Column:
+    """array<struct<name, path, content>>: a section of more than `most` characters becomes parts of whole paragraphs, as many as fit, numbered in name and path; a paragraph longer than
+    that is a part by itself, and a section that stays in one part keeps its name. Null contents are empty."""
+    kind = "array<struct<name: string, path: string, content: string>>"
+    start = F.struct(no_strings().alias("done"), F.lit("").alias("held"))
+
+    def add(state: Column, para: Column) -> Column:
+        full = (F.length(state["held"]) + F.length(para) > most) & (state["held"] != "")
+        grown = F.when(full | (state["held"] == ""), para).otherwise(F.concat(state["held"], F.lit("\n\n"), para))
+        return F.struct(F.when(full, F.array_append(state["done"], state["held"])).otherwise(state["done"]).alias("done"), grown.alias("held"))
+
+    blank = lambda t: F.regexp_replace(t, r"^\s+|\s+$", "")
+    cut = lambda text: F.aggregate(F.split(text, "\n\n+"), start, add, lambda s: F.filter(F.transform(F.array_append(s["done"], s["held"]), blank), lambda p: p != ""))
+
+    def parts(section: Column) -> Column:
+        held = cut(section["content"])
+        mark = lambda k: F.concat(F.lit(" [part "), (k + 1).cast("string"), F.lit("]"))
+        named = F.transform(held, lambda p, k: F.struct(F.concat(section["name"], mark(k)).alias("name"), F.concat(section["path"], mark(k)).alias("path"), p.alias("content")))
+        only = F.transform(held, lambda p: F.struct(section["name"].alias("name"), section["path"].alias("path"), p.alias("content")))
+        own = F.struct(section["name"].alias("name"), section["path"].alias("path"), F.coalesce(section["content"], F.lit("")).alias("content"))
+        return F.when(F.coalesce(F.length(section["content"]), F.lit(0)) <= most, F.array(own)).when(F.size(held) > 1, named).otherwise(only)
+
+    return F.flatten(F.transform(sections, lambda x: parts(x).cast(kind)))
+
+
 def section_batches(sections: Column, most: int = 3500, least: int = 30, carried: int = 500) -> Column:
     """array<array<string>>: sections of `least` or more characters in batches of up to `most`; a batch begins with the last section of the one before, if that has `carried` characters or fewer."""
     kept = F.filter(sections, lambda s: F.length(F.trim(s)) >= least)

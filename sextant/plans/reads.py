@@ -6,10 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from sextant.functions import text as T
 from sextant.functions import vector as V
 from sextant.operators import fulltext
 from sextant.operators import graph as G
 from sextant.operators import maintenance as M
+from sextant.operators import runs as RUNS
 from sextant.operators import search as S
 from sextant.operators.alignment import numbered_lines
 from sextant.operators.shared import materialize, shared_dir
@@ -118,8 +120,59 @@ def supersede_all_heads(s, d):
     return G.heads(supersedes(s, d), None)
 
 
+def run_doses(s, d):
+    """What events call for, by cycle and stage written in several ways."""
+    cells = table(s, d, "nation").select(F.col("n_regionkey").alias("cycle"), (F.col("n_nationkey") % 5).alias("stage"), F.array("n_name").alias("operations"), F.when(F.col("n_nationkey") % 2 == 0, F.array(F.lit("b"))).alias("beacons"), *(F.lit(None).cast("array<string>").alias(c) for c in ("counters", "expected_artifacts")))
+    asked = table(s, d, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(" "), F.col("event_id") % 7)).when(F.col("event_id") % 3 == 1, F.lit("1.5")).otherwise((F.col("event_id") % 5).cast("string")).alias("cycle"), (F.col("user_id") % 6).alias("stage"))
+    found = RUNS.doses(asked, cells)
+    return found.select("event_id", "found", "dose_stage", F.array_join("operations", ",").alias("operations"), F.size("beacons").alias("beacons"), F.size("counters").alias("counters"))
+
+
+def run_routes(s, d):
+    """Turns as intents: the state names a run for some, the payload signals publication by a digest or a word."""
+    t, n = table(s, d, "conversations"), F.col("turn")
+    state = F.when(n % 4 == 0, F.lit("{}")).when(n % 4 == 1, F.concat(F.lit('{"run_id": "r'), F.col("conv_id"), F.lit('"}'))).when(n % 4 == 2, F.lit('{"error": "none", "status": "x"}')).otherwise(F.lit('{"stage": null}'))
+    payload = F.to_json(F.struct(F.struct(F.when(F.col("role") == "user", F.lit("  ")).otherwise(F.left("text", F.lit(3))).alias("hash")).alias("handin"), F.when(F.length("text") % 2 == 0, "publish").otherwise("draft").alias("action"), F.lit(False).alias("sure")))
+    where = RUNS.route(state, payload, [("handin.hash", None), ("action", "publish"), ("sure", None)])
+    return t.select("conv_id", "turn", where.alias("route"))
+
+
+def escalation_log(s, d):
+    """Errors as escalations of their users, twice raised, on top of a log of the even ones."""
+    e = table(s, d, "events").where("event_type in ('error', 'click')").select(F.concat(F.lit("u"), "user_id").alias("credential_id"), F.when(F.col("event_id") % 3 == 0, F.col("event_id").cast("string")).alias("review_run_id"), F.col("event_type").alias("issue"), F.lit("k").alias("class"), F.col("ts").cast("timestamp").alias("at"))
+    old = e.where("review_run_id is not null").withColumns({"ticket": RUNS.ticket(F.col("credential_id"), F.col("review_run_id"), F.col("issue"), F.col("class")), "status": F.lit("resolved")})
+    return RUNS.escalated(old, e.unionAll(e)).select("ticket", "credential_id", "status", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+def checkpoint_answers(s, d):
+    """Orders as hand-ins: the ones of each hundredth customer were stored before; a hand-in seen again gets the first answer."""
+    o = table(s, d, "orders").select(F.md5(F.concat_ws("|", F.col("o_custkey") % 50, "o_orderstatus")).alias("handin_hash"), F.col("o_orderdate").cast("timestamp").alias("at"), F.col("o_orderkey").alias("response"), (F.col("o_orderstatus") == "F").alias("go"))
+    stored = o.where("response % 100 = 0").groupBy("handin_hash").agg(F.min_by(F.struct("at", "response", "go"), F.struct("at", "response")).alias("r")).select("handin_hash", "r.*")
+    _, answers = RUNS.recorded(stored, o.where("response % 100 <> 0"))
+    return answers.groupBy("handin_hash").agg(F.count(F.lit(1)).alias("asked"), F.min("response").alias("response"), F.max("response").alias("same"), F.count_if("created").alias("created"))
+
+
+def ids_by_precedence(s, d):
+    """Labels ask for documents by one or two ids; of two kinds the first that finds a visible document counts."""
+    docs, n = table(s, d, "documents"), F.col("doc_id")
+    forms = [("short", F.concat(F.lit("d"), n)), ("arxiv", F.concat(F.lit("2401."), n)), ("doi", F.concat(F.lit("10.1/"), n)), ("dblp", F.concat(F.lit("db/"), n % 50))]
+    rows = table(s, d, "labels").select(F.col("doc_id").alias("ask"))
+    a = F.col("ask")
+    doi = F.when(a % 4 == 0, F.concat(F.lit("10.48550/arXiv.2401."), a + 1)).when(a % 4 == 1, F.concat(F.lit("10.1/"), a))
+    asked = RUNS.asked_ids(rows, short=F.when(a % 5 == 0, F.concat(F.lit("d"), a)), doi=doi, dblp=F.when(a % 3 == 0, F.concat(F.lit("db/"), a % 50)))
+    return RUNS.by_precedence(asked, docs, forms, n % 7 != 3)
+
+
+def giant_sections(s, d):
+    """Documents as sections of paragraphs, split beyond 800 characters."""
+    one = F.array(F.struct(F.col("source").alias("name"), F.concat(F.lit("Top > "), "source").alias("path"), F.regexp_replace("text", "\n", "\n\n").alias("content")))
+    rows = table(s, d, "documents").select("doc_id", F.posexplode(T.giants_split(one, 800)).alias("part", "x"))
+    return rows.select("doc_id", "part", F.col("x.path").alias("path"), F.md5("x.content").alias("digest"))
+
+
 QUERIES = {f.__name__: f for f in (
     search_fast, search_reranked, related_by_entity, related_by_concept, class_walk, class_walk_engineering, class_walk_back, related_relations, cursor_pages, packed_vectors, rollup_by_changes, supersede_all_heads,
+    run_doses, run_routes, escalation_log, checkpoint_answers, ids_by_precedence, giant_sections,
 )}
 
 LIST = "', '".join
@@ -154,4 +207,17 @@ ORACLE_SQL = {
     "rollup_by_changes": "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity FROM lineitem WHERE NOT (l_returnflag = 'R' AND CAST(l_quantity AS BIGINT) > 25) GROUP BY 1, 2",
     "supersede_all_heads": """WITH RECURSIVE t AS (SELECT conv_id || '-' || turn AS id, CASE WHEN EXISTS (SELECT 1 FROM conversations b WHERE b.conv_id = a.conv_id AND b.turn = a.turn - 1) THEN conv_id || '-' || (turn - 1) END AS supersedes FROM conversations a),
         w AS (SELECT id, id AS head, 0 AS hops FROM t UNION ALL SELECT w.id, t.id, hops + 1 FROM w JOIN t ON t.supersedes = w.head) SELECT id, head, hops FROM w WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.supersedes = w.head)""",
+    "run_doses": """WITH c AS (SELECT n_regionkey AS cycle, n_nationkey % 5 AS stage, min((n_name, CASE WHEN n_nationkey % 2 = 0 THEN 1 ELSE 0 END)) AS m FROM nation GROUP BY 1, 2),
+        e AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_id % 7 WHEN 1 THEN NULL ELSE event_id % 5 END AS cycle, user_id % 6 AS stage FROM events)
+        SELECT event_id, c.cycle IS NOT NULL AS found, CAST(c.stage AS BIGINT) AS dose_stage, m[1] AS operations, CAST(m[2] AS INTEGER) AS beacons, CASE WHEN c.cycle IS NOT NULL THEN 0 END AS counters FROM e LEFT JOIN c USING (cycle, stage)""",
+    "run_routes": r"""SELECT conv_id, turn, CASE WHEN turn % 4 IN (0, 2) THEN 'diagnose' WHEN length(text) % 2 = 0 OR (role IS DISTINCT FROM 'user' AND regexp_matches(left(text, 3), '[^\s]')) THEN 'checkpoint' ELSE 'ask' END AS route FROM conversations""",
+    "escalation_log": """WITH e AS (SELECT 'u' || user_id AS credential_id, CASE WHEN event_id % 3 = 0 THEN CAST(event_id AS VARCHAR) END AS review, event_type AS issue, ts FROM events WHERE event_type IN ('error', 'click')),
+        t AS (SELECT *, 'esc_' || left(sha256(credential_id || '|' || coalesce(review, '') || '|' || issue || '|k'), 20) AS ticket FROM e)
+        SELECT ticket, credential_id, CASE WHEN review IS NULL THEN 'open' ELSE 'resolved' END AS status, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS at FROM t GROUP BY 1, 2, 3""",
+    "checkpoint_answers": """WITH o AS (SELECT md5((o_custkey % 50) || '|' || o_orderstatus) AS h, o_orderdate AS d, o_orderkey AS r FROM orders), s AS (SELECT h, arg_min(r, (d, r)) AS r FROM o WHERE r % 100 = 0 GROUP BY h), n AS (SELECT h, count(*) AS asked, arg_min(r, (d, r)) AS first FROM o WHERE r % 100 <> 0 GROUP BY h)
+        SELECT h AS handin_hash, asked, coalesce(s.r, first) AS response, coalesce(s.r, first) AS same, CASE WHEN s.r IS NULL THEN 1 ELSE 0 END AS created FROM n LEFT JOIN s USING (h)""",
+    "ids_by_precedence": """WITH v AS (SELECT doc_id FROM documents WHERE doc_id % 7 <> 3), a AS (SELECT doc_id AS ask FROM labels),
+        m AS (SELECT ask, doc_id, 0 AS p, 'short' AS kind FROM a JOIN v ON ask % 5 = 0 AND doc_id = ask UNION ALL SELECT ask, doc_id, 1, 'arxiv' FROM a JOIN v ON ask % 4 = 0 AND doc_id = ask + 1
+            UNION ALL SELECT ask, doc_id, 2, 'doi' FROM a JOIN v ON ask % 4 = 1 AND doc_id = ask UNION ALL SELECT ask, doc_id, 3, 'dblp' FROM a JOIN v ON ask % 3 = 0 AND doc_id % 50 = ask % 50)
+        SELECT ask, doc_id, kind FROM m QUALIFY row_number() OVER (PARTITION BY ask ORDER BY p, doc_id) = 1""",
 }
