@@ -50,11 +50,11 @@ SHORT = f"^{CONSONANTS}[aeiouy][^aeiouwxy]$"
 DOUBLED = "(?:bb|cc|dd|ff|gg|hh|jj|kk|mm|nn|pp|qq|rr|tt|vv|ww|xx)$"
 
 
-def _steps(match: str) -> list[str]:
-    """Expressions over the word w, one after the other. match: the engine's name for a regular expression test."""
+def _steps(match: str, ending: str) -> list[str]:
+    """Expressions over the word w, one after the other. match, ending: the engine's names for a test by a regular expression, and of a word's end."""
     base = lambda n: f"left(w, length(w) - {n})"
     test = lambda value, pattern: f"{match}({value}, '{pattern}')"
-    ends = lambda s: f"right(w, {len(s)}) = '{s}'"
+    ends = lambda s: f"{ending}(w, '{s}')"
 
     def table(suffixes: dict[str, str], condition: str) -> str:
         cases = [f"WHEN {ends(s)} THEN CASE WHEN {test(base(len(s)), condition)} THEN concat({base(len(s))}, '{r}') ELSE w END" for s, r in sorted(suffixes.items(), key=lambda x: -len(x[0]))]
@@ -66,7 +66,7 @@ def _steps(match: str) -> list[str]:
         f"CASE WHEN {ends('sses')} OR {ends('ies')} THEN {base(2)} WHEN {ends('ss')} THEN w WHEN {ends('s')} THEN {base(1)} ELSE w END",
         # what lost its -ed or -ing is marked by a final dot until the next step
         f"CASE WHEN {ends('eed')} THEN CASE WHEN {test(base(3), ONE)} THEN {base(1)} ELSE w END WHEN {ends('ed')} AND {test(base(2), HAS_VOWEL)} THEN concat({base(2)}, '.') WHEN {ends('ing')} AND {test(base(3), HAS_VOWEL)} THEN concat({base(3)}, '.') ELSE w END",
-        f"CASE WHEN right(w, 1) <> '.' THEN w WHEN {ends('at.')} OR {ends('bl.')} OR {ends('iz.')} OR {test(base(1), SHORT)} THEN concat({base(1)}, 'e') WHEN {test(base(1), DOUBLED)} THEN {base(2)} ELSE {base(1)} END",
+        f"CASE WHEN NOT {ends('.')} THEN w WHEN {ends('at.')} OR {ends('bl.')} OR {ends('iz.')} OR {test(base(1), SHORT)} THEN concat({base(1)}, 'e') WHEN {test(base(1), DOUBLED)} THEN {base(2)} ELSE {base(1)} END",
         f"CASE WHEN {ends('y')} AND {test(base(1), HAS_VOWEL)} THEN concat({base(1)}, 'i') ELSE w END",
         table(STEP_2, ONE),
         table(STEP_3, ONE),
@@ -79,7 +79,7 @@ def _steps(match: str) -> list[str]:
 def with_stem(rows: DataFrame, word: str, into: str) -> DataFrame:
     """rows with the stem of a lower-case word; words of one or two characters stay."""
     out = rows.withColumn("_w", F.col(word))
-    for step in _steps("regexp_like"):
+    for step in _steps("regexp_like", "endswith"):
         out = out.withColumn("_w", F.expr(step.replace("(w,", "(_w,").replace(" w ", " _w ").replace("length(w)", "length(_w)")))
     return out.withColumn(into, F.when(F.length(word) > 2, F.col("_w")).otherwise(F.col(word))).drop("_w")
 
@@ -87,7 +87,7 @@ def with_stem(rows: DataFrame, word: str, into: str) -> DataFrame:
 def stem_sql(words: str) -> str:
     """SQL for engines with regexp_matches: (word, stem) of the rows of a query that gives `word`."""
     query = f"SELECT word, word AS w FROM ({words})"
-    for step in _steps("regexp_matches"):
+    for step in _steps("regexp_matches", "ends_with"):
         query = f"SELECT word, {step} AS w FROM ({query})"
     return f"SELECT word, CASE WHEN length(word) > 2 THEN w ELSE word END AS stem FROM ({query})"
 
@@ -166,17 +166,18 @@ def _bucket(term, buckets: int):
 
 
 def write_index(documents: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> TextIndex:
-    """Two exchanges: words to (document, term), and these to (term, cell). Groups hold CELL documents on average, whatever the term."""
+    """Words are counted by (document, word), so each is stemmed once a document, stems by (document, term), and postings meet by (term, cell). Groups hold CELL documents on average, whatever the term."""
     spark = documents.sparkSession
     path = path or f"{shared_dir(spark)}/sextant/{uuid.uuid4().hex}"
     rows = documents.select(F.col(key), _words(F.coalesce(F.col(text), F.lit(""))).alias("words"))
-    sizes = rows.groupBy(key).agg(F.sum(F.size("words")).cast("long").alias("n"))
-    total = sizes.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean")).collect()[0]  # one row
+    sizes = rows.groupBy(key).agg(F.sum(F.size("words")).cast("long").alias("n"), F.count(F.lit(1)).alias("rows"))
+    total = sizes.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"), F.max("rows").alias("rows")).collect()[0]  # one row
     docs, mean = total["docs"], float(total["mean"] or 0) or 1.0
     cells, buckets = max(1, math.ceil(docs / CELL)), min(MOST_BUCKETS, max(4, math.ceil(docs / BUCKET_DOCS)))
-    words = rows.select(key, F.explode("words").alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("tf"))
-    posts = with_stem(words, "word", "term").groupBy(key, "term").agg(F.sum("tf").cast("int").alias("tf"))
-    both = posts.alias("p").join(sizes.alias("s"), F.col(f"p.{key}").eqNullSafe(F.col(f"s.{key}"))).select("p.*", "n")
+    words = rows.select(key, F.size("words").cast("long").alias("n"), F.explode("words").alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("tf"), F.max("n").alias("n"))
+    both = with_stem(words, "word", "term").groupBy(key, "term").agg(F.sum("tf").cast("int").alias("tf"), F.max("n").alias("n"))
+    if (total["rows"] or 0) > 1:  # a document of several rows: its length is known only from all of them
+        both = both.drop("n").alias("p").join(sizes.alias("s"), F.col(f"p.{key}").eqNullSafe(F.col(f"s.{key}"))).select("p.*", "n")
     share = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.lit(mean)))
     placed = both.withColumns({"cell": F.pmod(F.xxhash64(key), F.lit(cells)).cast("int"), "share": share})
     blocks = placed.groupBy("term", "cell").agg(F.max("share").alias("most"), F.count(F.lit(1)).alias("df"), F.collect_list(F.struct(key, "tf", "n")).alias("posts"))
