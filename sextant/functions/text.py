@@ -190,6 +190,8 @@ def section_label(name: Column) -> Column:
 
 
 #: First path parts of a code host that are no account names.
+# Repository addresses, and first path parts that are no account.
+REPOSITORY = r"(https?://github\.com/[\w.-]+/[\w.-]+)"
 NOT_ACCOUNTS = ["topics", "orgs", "settings", "issues", "pulls", "marketplace", "explore", "notifications", "sponsors", "features", "pricing", "login", "signup", "join"]
 
 
@@ -199,7 +201,7 @@ def distinct_ignoring_case(values: Column) -> Column:
 
 
 def repository_urls(text: Column) -> Column:
-    found = F.regexp_extract_all(text, F.lit(r"(https?://github\.com/[\w.-]+/[\w.-]+)"), F.lit(1))
+    found = F.regexp_extract_all(text, F.lit(REPOSITORY), F.lit(1))
     part = lambda u, n: F.element_at(F.split(u, "/"), n)
     kept = F.filter(found, lambda u: ~F.lower(part(u, 4)).isin(NOT_ACCOUNTS))
     return distinct_ignoring_case(F.transform(kept, lambda u: F.concat(F.lit("https://github.com/"), part(u, 4), F.lit("/"), F.regexp_replace(part(u, 5), r"[.),:;]+$", ""))))

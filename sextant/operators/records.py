@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -102,7 +105,11 @@ def cost_key(tool: Column, args: Column) -> Column:
 METRICS = ["accuracy", "acc", "top-1", "top-5", "f1", "bleu", "rouge", "rouge-l", "map", "em", "exact match", "perplexity", "ppl", "auc", "precision", "recall", "wer", "cer", "meteor", "cider", "spice", "fid", "is", "ssim", "psnr"]
 METRIC = r"(?i)(?<![a-z0-9])(?:" + "|".join(m.replace(" ", r"\s+") for m in sorted(METRICS, key=len, reverse=True)) + r")(?![a-z0-9])"
 #: Fixed value: what stands for no dataset name.
-STUB = r"(?i)^(?:table\s*\d*\s*[:.]?|not\s*specified|n\.?/?a\.?|unknown|none|[-–—]+|)$"
+STUB = r"(?i)^(?:table\s*\d*\s*[:.]?|not\s*specified|n\.?/?a\.?|unknown|none|[-–—]+)$"
+
+
+def names_nothing(dataset: Column) -> Column:
+    return (dataset == "") | dataset.rlike(STUB)
 
 
 def score(cell: Column) -> Column:
@@ -121,35 +128,38 @@ def table_scores(tables: DataFrame, key: str = "table_id") -> DataFrame:
     cols = cols.where((F.size(cells) > 0) & (F.size(F.filter(cells, lambda c: score(c).isNotNull())) >= 0.5 * F.size(cells)))
     out = cols.select(key, "i", F.trim("metric").alias("metric"), "d", "t", "said", F.posexplode("rows").alias("r", "row"))
     own = F.trim(F.coalesce(F.get("row", F.col("d") - 1), F.lit("")))
-    dataset = F.when((F.col("d") > 0) & ~own.rlike(STUB), own).otherwise(F.col("said"))
+    dataset = F.when((F.col("d") > 0) & ~names_nothing(own), own).otherwise(F.col("said"))
     task = F.trim(F.coalesce(F.when(F.col("t") > 0, F.get("row", F.col("t") - 1)), F.lit("")))
-    return out.select(key, task.alias("task"), dataset.alias("dataset"), "metric", score(F.get("row", F.col("i"))).alias("score")).where(F.col("score").isNotNull() & ~F.col("dataset").rlike(STUB))
+    return out.select(key, task.alias("task"), dataset.alias("dataset"), "metric", score(F.get("row", F.col("i"))).alias("score")).where(F.col("score").isNotNull() & ~names_nothing(F.col("dataset")))
 
 
-#: Fixed value: abbreviations after which a full stop ends no sentence.
+# What ends a sentence or a chunk, abbreviations that do not, how far back an end is looked for and how much must stay.
 ABBREVIATION = r"(?i)(?:et\sal|Fig|Eq|Ref|Sec|Tab|Vol|vs|i\.e|e\.g|al|approx|resp)$"
+SENTENCE_END, CHUNK_END, CLOSINGS = r"[.!?](?:\s|$)", r"[.!?:;)]\s*$", r"(\s*\\end\{[^}]+\}\s*)*$"
+LOOK_BACK, LEAST_KEPT, ABBREVIATION_REACH = 300, 80, 8
+# end of fixed values
+
+
+def whole_part(text: str) -> str:
+    """A text up to its last sentence end, where that leaves enough. Formula signs are placed once; how many stand before an end tells whether a formula is open there."""
+    if re.search(CHUNK_END, re.sub(CLOSINGS, "", text).rstrip()):
+        return text
+    signs = {sign: [m.start() for m in re.finditer(sign, text)] for sign in (r"(?<!\\)\$", r"\\\[", r"\\\]")}
+    dollars, opened, closed = signs.values()
+    first = max(0, len(text) - LOOK_BACK)
+    for end in reversed([first + m.start() + 1 for m in re.finditer(SENTENCE_END, text[first:])]):
+        inside = bisect_left(dollars, end) % 2 or bisect_left(opened, end - 1) > bisect_left(closed, end - 1)
+        if not inside and not re.search(ABBREVIATION, text[max(0, end - ABBREVIATION_REACH) : end - 1]):
+            kept = text[:end].rstrip()
+            return kept if len(kept) >= LEAST_KEPT else text
+    return text
 
 
 @F.pandas_udf(StringType())
 def whole_sentences(content: pd.Series) -> pd.Series:
-    """A chunk that ends within a sentence is cut after the last one that ends in its final 300 characters, if 80 stay; sentence ends after abbreviations
-    and within formulas don't count. The state of a formula needs all the text before, hence Python."""
-    import re
-
-    def cut(text: str | None) -> str | None:
-        if not text or re.search(r"[.!?:;)]\s*$", re.sub(r"(\s*\\end\{[^}]+\}\s*)*$", "", text).rstrip()):
-            return text
-        best = -1
-        for m in re.finditer(r"[.!?](?:\s|$)", text[max(0, len(text) - 300) :]):
-            at = max(0, len(text) - 300) + m.start() + 1
-            before = text[:at]
-            formula = len(re.findall(r"(?<!\\)\$", before)) % 2 or before.count("\\[") > before.count("\\]")
-            if not formula and not re.search(ABBREVIATION, text[max(0, at - 8) : at - 1]):
-                best = at
-        short = text[:best].rstrip() if best > 0 else ""
-        return short if len(short) >= 80 else text
-
-    return content.map(cut)
+    """A chunk that ends within a sentence is cut after the last one that ends near its end, if enough stays; ends after abbreviations and within formulas don't count.
+    Whether a formula is open depends on all the text before, hence Python."""
+    return content.map(lambda text: whole_part(text) if text else text)
 
 
 @F.pandas_udf(StringType())

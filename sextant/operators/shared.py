@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -14,9 +15,12 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one is set only where the session has none (tests)."""
+    """The folder in spark.checkpoint.dir. Where the session has none a temporary one is set if all tasks run in this process (tests); on a cluster, whose
+    executors would each write to a disk of their own, that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="sextant-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
