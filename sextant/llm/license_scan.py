@@ -26,8 +26,9 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.shared import materialize
+from sextant.llm.shared import join_counted, materialize
 
+# Fixed values from here to LOOKED_UP: wording that the licences themselves prescribe.
 #: Licence -> header.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -159,10 +160,15 @@ def scan_licences(files: DataFrame, key: str = "file_id", templates: dict[str, s
     own = materialize(found)  # read twice below
     named = rows.select(key, "path", "gives").join(own, key, "left")
     given = named.where("gives and licence is not null").groupBy(ancestors(F.col("path"))[0].alias("dir")).agg(F.max(F.struct("similarity", "licence")).alias("given"))
-    asking = named.where("licence is null").select(F.col("path").alias("p"), F.posexplode(ancestors(F.col("path"))).alias("up", "dir")).distinct()
-    got = asking.join(given, "dir").groupBy("p").agg(F.min(F.struct("up", "dir", "given")).alias("x")).select("p", F.col("x.dir").alias("from_dir"), F.col("x.given").alias("given"))
-    out = named.join(got, F.expr("path <=> p and licence is null"), "left")
-    return out.select(key, "path", F.coalesce("licence", "given.licence").alias("licence"), F.when(F.col("licence").isNotNull(), "own").when(F.col("given").isNotNull(), "inherited").alias("origin"), F.coalesce("similarity", "given.similarity").alias("similarity"), "from_dir")
+    # directories are looked up once each, however many files they hold; a directory above many others, the root above all, is dealt over tasks
+    asking = named.where("licence is null").withColumn("own_dir", ancestors(F.col("path"))[0])
+    dirs = materialize(asking.groupBy("own_dir").agg(F.count(F.lit(1)).alias("files"), F.min("path").alias("path")))
+    climb = dirs.select("own_dir", F.posexplode(ancestors(F.col("path"))).alias("up", "dir"))
+    above = materialize(climb.groupBy("dir").agg(F.count(F.lit(1)).alias("below")).join(given, "dir"))
+    got = join_counted(climb, above, "dir", "below", "own_dir").groupBy("own_dir").agg(F.min(F.struct("up", "dir", "given")).alias("x"))
+    got = materialize(dirs.select("own_dir", "files").join(got, "own_dir", "left"))
+    inherited = join_counted(asking.drop("licence", "similarity"), got, "own_dir", "files", key).select(key, "path", F.col("x.given.licence").alias("licence"), F.when(F.col("x").isNotNull(), "inherited").alias("origin"), F.col("x.given.similarity").alias("similarity"), F.col("x.dir").alias("from_dir"))
+    return named.where("licence is not null").select(key, "path", "licence", F.lit("own").alias("origin"), "similarity", F.lit(None).cast("string").alias("from_dir")).unionByName(inherited)
 
 
 def op5_license_scan(spark, sf_dir):
