@@ -195,6 +195,7 @@ def _link(words: int, percent: int):
             for a, b in zip(np.concatenate([[0], cut])[:-1], cut, strict=False):
                 yield table.slice(a, b - a)
             rest = table.slice(int(cut[-1]) if len(cut) else 0)
+            bs.give_back()
         if rest is not None:
             yield rest
 
