@@ -160,7 +160,6 @@ def arrow_batches(batches, columns: list[str], keep: bool = False):
             for k in range(0, batch.num_rows, rows):
                 part = batch.slice(k, rows)
                 yield [part.column(part.schema.get_field_index(c)) for c in columns]
-                give_back()
     finally:
         give_back()
 

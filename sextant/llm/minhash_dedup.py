@@ -120,6 +120,7 @@ def _sign(words: int):
                 count = np.where(some, COORDS, 0)
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(count)]).astype(np.int32), pa.array(tokens.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(docs[i:j]), pa.array(n.astype(np.int64)), pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64)), pa.array(np.diff(offsets[i : j + 1])), lists], names=["doc", "n", "lo", "hi", "bytes", "tokens"])
+            bs.give_back()
 
     return sign
 
