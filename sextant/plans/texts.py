@@ -11,6 +11,7 @@ from sextant.operators import curation as C
 from sextant.operators import relations as R
 from sextant.operators.search import chunks
 from sextant.plans.tables import table
+from sextant.sources.readers import file_kind
 
 
 def title_normalised(s, d):
@@ -78,7 +79,8 @@ def id_resolve(s, d):
 
 
 def license_effective(s, d):
-    raw = F.when(F.col("doc_id") % 5 == 0, "http://creativecommons.org/licenses/by-nc/4.0/").when(F.col("doc_id") % 5 == 1, "CC BY SA").when(F.col("doc_id") % 5 == 2, "mit").when(F.col("doc_id") % 5 == 3, "all rights")
+    """The licence that a text names first, against a second source's."""
+    raw = F.nullif(F.regexp_extract("text", r"(CC BY-NC 4\.0|CC BY 4\.0|MIT|Apache)", 1), F.lit(""))
     docs = table(s, d, "documents").select("doc_id", I.licence(raw).alias("spdx"))
     best = I.effective_licence(F.create_map(F.lit("crossref"), F.col("spdx"), F.lit("pmc"), F.lit("CC-BY-4.0")))
     return docs.select("doc_id", "spdx", I.is_open(F.col("spdx")).alias("open"), best.alias("effective"), I.tier(F.col("spdx"), F.col("doc_id") % 2 == 0).alias("tier"))
@@ -152,15 +154,17 @@ def border_repeats(s, d):
 
 
 def file_types(s, d):
-    raw = F.when(F.col("page_id") % 4 == 0, F.lit("%PDF-1.7")).when(F.col("page_id") % 4 == 1, F.concat(F.lit("PK"), F.chr(F.lit(3)), F.chr(F.lit(4)))).otherwise(F.col("html"))
-    head = F.hex(F.encode(F.left(raw, F.lit(4)), "UTF-8"))
-    return table(s, d, "pages").select("page_id", F.when(head.startswith("25504446"), "pdf").when(head == "504B0304", "zip").when(head.startswith("1F8B"), "gzip").when(head.startswith("3C"), "markup").otherwise("text").alias("kind"))
+    """Pages as files of several kinds, by their first bytes."""
+    magic = F.when(F.col("page_id") % 5 == 0, F.unhex(F.lit("255044462D312E37"))).when(F.col("page_id") % 5 == 1, F.unhex(F.lit("504B0304"))).when(F.col("page_id") % 5 == 2, F.unhex(F.lit("1F8B08"))).when(F.col("page_id") % 5 == 3, F.unhex(F.lit("89504E470D0A1A0A"))).otherwise(F.unhex(F.lit("")))
+    return table(s, d, "pages").select("page_id", file_kind(F.concat(magic, F.encode("html", "utf-8"))).alias("kind"))
 
 
 def canonical_records(s, d):
-    raw = F.concat(F.lit('{"b": 1.0, "a": [1e21, 0.1, "é"], "id": '), F.col("event_id"), F.lit("}"))
+    """Turns as records, texts and all, after numbers and letters that are easily written in two ways."""
+    turns = table(s, d, "conversations")
+    raw = F.concat(F.lit('{"z": 1.0, "a": [1e21, 0.1, "é"], "turn": '), F.to_json(F.struct("turn", "text", "role", "conv_id")), F.lit("}"))
     text = I.canonical_json(raw)
-    return table(s, d, "events").select("event_id", text.alias("json"), F.sha2(text, 256).alias("hash"))
+    return turns.select("conv_id", "turn", F.length(text).alias("chars"), F.sha2(text, 256).alias("hash"))
 
 
 def word_overlap(s, d):
@@ -222,7 +226,7 @@ ORACLE_SQL = {
         f AS (SELECT page_id, min(i) AS i, arg_min(url, i) AS url FROM k GROUP BY page_id, lower(url)) SELECT page_id, string_agg(url, ' ' ORDER BY i) AS urls FROM f GROUP BY page_id""",
     "dataset_mentions": "WITH t AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'We use ImageNet and cifar 10' ELSE 'MNIST, not mnist; SQuAD 2.0' END || chr(10) || coalesce(html, '') AS x FROM pages) SELECT page_id, concat_ws('|', " + ", ".join(f"CASE WHEN regexp_matches(x, '{p}') THEN '{n}' END" for n, p in T.DATASETS.items()) + ") AS names FROM t",
     "id_resolve": "WITH h AS (SELECT doc_id, sha256(source || ':' || doc_id) AS a, sha256(CAST(doc_id AS VARCHAR)) AS b FROM documents) SELECT doc_id, 'doc-' || left(a, 16) AS short, substring(b, 1, 8) || '-' || substring(b, 9, 4) || '-' || substring(b, 13, 4) || '-' || substring(b, 17, 4) || '-' || substring(b, 21, 12) AS point FROM h",
-    "license_effective": """WITH l AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'CC-BY-NC-4.0' WHEN 1 THEN 'CC-BY-SA-4.0' WHEN 2 THEN 'MIT' ELSE 'NOASSERTION' END AS spdx FROM documents)
+    "license_effective": r"""WITH l AS (SELECT doc_id, CASE regexp_extract(text, '(CC BY-NC 4\.0|CC BY 4\.0|MIT|Apache)', 1) WHEN 'CC BY-NC 4.0' THEN 'CC-BY-NC-4.0' WHEN 'CC BY 4.0' THEN 'CC-BY-4.0' WHEN 'MIT' THEN 'MIT' ELSE 'NOASSERTION' END AS spdx FROM documents)
         SELECT doc_id, spdx, spdx <> 'CC-BY-NC-4.0' AS open, CASE WHEN spdx = 'CC-BY-NC-4.0' THEN 'CC-BY-4.0' ELSE spdx END AS effective, CASE WHEN doc_id % 2 <> 0 THEN 'listed' WHEN spdx <> 'CC-BY-NC-4.0' THEN 'full' ELSE 'abstract' END AS tier FROM l""",
     "quality_score": f"""WITH {CHUNKS}, c AS (SELECT doc_id, count(*) AS chunks, sum(length(content)) AS chars, sum(CASE WHEN length(content) < 50 THEN 1 ELSE 0 END) AS short, sum(CASE WHEN NOT regexp_matches(regexp_replace(content, '\\s+$', ''), '[.!?:;)]\\s*$') THEN 1 ELSE 0 END) AS open FROM chunks GROUP BY doc_id),
         q AS (SELECT doc_id, chunks, chars / length(text) AS kept, greatest(0.0, least(1.0, 1 - (short + open) / chunks)) AS clean, length(text) AS n FROM c JOIN documents USING (doc_id))
@@ -230,8 +234,9 @@ ORACLE_SQL = {
     "reference_sections": r"""WITH t AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'Intro' || chr(10) || '## References' || chr(10) || 'x' WHEN 1 THEN '[1] a' || chr(10) || '[2] b' || chr(10) || '[3] c' ELSE 'none' END || chr(10) || coalesce(html, '') AS x FROM pages)
         SELECT page_id, regexp_matches(x, '(?im)^[#>\s]*(?:references|bibliography|works\s+cited)\s*:?\s*$') OR len(regexp_extract_all(x, '(?m)^\s*\[\d{1,4}\]\s+\S')) >= 3 AS has FROM t""",
     "latex_strip": "SELECT page_id, 'A bold 5% of it' || page_id AS plain FROM pages",
-    "file_types": "SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'pdf' WHEN page_id % 4 = 1 THEN 'zip' WHEN left(html, 1) = '<' THEN 'markup' ELSE 'text' END AS kind FROM pages",
-    "canonical_records": "SELECT event_id, '{\"a\":[1e+21,0.1,\"é\"],\"b\":1,\"id\":' || event_id || '}' AS json, sha256('{\"a\":[1e+21,0.1,\"é\"],\"b\":1,\"id\":' || event_id || '}') AS hash FROM events",
+    "file_types": "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'zip' WHEN 2 THEN 'gzip' WHEN 3 THEN 'png' ELSE 'unknown' END AS kind FROM pages",
+    "canonical_records": """WITH j AS (SELECT conv_id, turn, '{"a":[1e+21,0.1,"é"],"turn":{"conv_id":' || conv_id || ',"role":"' || role || '","text":' || CAST(to_json(text) AS VARCHAR) || ',"turn":' || turn || '},"z":1}' AS j FROM conversations)
+        SELECT conv_id, turn, CAST(length(j) AS INTEGER) AS chars, sha256(j) AS hash FROM j""",
     "word_overlap": """WITH p AS (SELECT p_partkey, list_distinct(list_filter(string_split_regex(lower(p_name), '[^a-z]+'), lambda w: length(w) > 2)) AS a, list_distinct(list_filter(string_split_regex(lower(p_type), '[^a-z]+'), lambda w: length(w) > 2)) AS b FROM part)
         SELECT p_partkey, least(len(a), len(b)) > 0 AND len(list_intersect(a, b)) >= 0.5 * least(len(a), len(b)) AS match FROM p""",
 }

@@ -60,13 +60,17 @@ def search_levels(s, d):
 
 
 def scientific_records(s, d):
-    raw = F.concat(F.lit('{"id":"claim:'), F.col("event_id"), F.lit('","run_id":"x","own_run_id":1,"track_note":"n","by":"run:7","refs":["run:1","claim:2",{"stage_id":3,"kind":"'), F.col("event_type"), F.lit('"}],"n":null}'))
-    return table(s, d, "events").select("event_id", P.scientific(raw).alias("record"))
+    """Turns as claims, with their texts; what names a process goes."""
+    ident = lambda kind: F.concat(F.lit(f"{kind}:"), F.col("conv_id"), F.lit("-"), F.col("turn"))
+    refs = F.array(F.struct(ident("run").alias("own_run_id"), F.col("role").alias("kind")), F.struct(F.lit(None).cast("string").alias("own_run_id"), F.lit("x").alias("kind")))
+    record = F.struct(ident("claim").alias("id"), ident("intent").alias("run_id"), F.col("text").alias("body"), F.lit("n").alias("track_note"), ident("run").alias("by"), F.array(ident("run"), ident("claim")).alias("seen"), refs.alias("refs"), F.col("turn").alias("n"))
+    return table(s, d, "conversations").select("conv_id", "turn", P.scientific(F.to_json(record)).alias("record"))
 
 
 def redacted_records(s, d):
-    raw = F.concat(F.lit('{"id":'), F.col("event_id"), F.lit(',"note":"'), F.col("event_type"), F.lit('","items":[{"text":"abc","n":1},{"n":2}],"meta":{"a":"xy","b":[1,2],"c":{"d":1},"e":5},"absent":[1]}'))
-    return table(s, d, "events").select("event_id", P.redacted(raw, "note", "items[].text", "meta", "no.such", "note[].x").alias("record"))
+    """Turns whose texts, in a field, in a list and in an object, become markers of their size."""
+    record = F.struct("conv_id", F.col("text").alias("note"), F.array(F.struct(F.left("text", F.lit(40)).alias("text"), F.col("turn").alias("n"))).alias("items"), F.struct(F.col("role").alias("a"), F.array("turn", "conv_id").alias("b"), F.struct("turn").alias("c"), F.col("turn").alias("e")).alias("meta"))
+    return table(s, d, "conversations").select("conv_id", "turn", P.redacted(F.to_json(record), "note", "items[].text", "meta", "no.such", "note[].x").alias("record"))
 
 
 def anchored_range(s, d):
@@ -201,13 +205,16 @@ def dossiers(s, d):
 
 
 def lenient_records(s, d):
-    raw = F.when(F.col("event_id") % 4 == 0, F.lit("{oops")).when(F.col("event_id") % 4 == 1, F.lit("[1]")).when(F.col("event_id") % 4 == 2, F.concat(F.lit('{"id": "'), F.col("event_id"), F.lit('"}'))).otherwise(F.concat(F.lit('{"id": '), F.col("event_id"), F.lit(', "name": "n"}')))
-    return table(s, d, "events").select("event_id", F.array_join(P.lenient_json(raw, {"id": "BIGINT", "name": "STRING"}), ",").alias("codes"))
+    """Properties of events as they are, cut short, within a list, and with texts for numbers."""
+    n, props = F.col("event_id") % 4, F.col("props")
+    raw = F.when(n == 0, F.left(props, F.length(props) - 1)).when(n == 1, F.concat(F.lit("["), props, F.lit("]"))).when(n == 2, F.regexp_replace(props, r"(\d+)", '"$1"')).otherwise(F.regexp_replace(props, "\\}$", F.concat(F.lit(', "name": "'), F.col("event_type"), F.lit('"}'))))
+    return table(s, d, "events").select("event_id", F.array_join(P.lenient_json(raw, {"k": "BIGINT", "name": "STRING"}), ",").alias("codes"))
 
 
 def pdf_page_counts(s, d):
-    raw = F.concat(F.lit("%PDF-1.7 /Type /Pages "), F.repeat(F.lit("<< /Type /Page >> "), (F.col("page_id") % 5).cast("int")), F.lit("<</Type/Page/X 1>>"))
-    return table(s, d, "pages").select("page_id", M.pdf_pages(F.encode(raw, "ISO-8859-1")).alias("pages"))
+    """Pages as PDF files, each link a page."""
+    raw = F.concat(F.lit("%PDF-1.7 /Type /Pages "), F.regexp_replace("html", "<a ", "<< /Type /Page >> "), F.lit("<</Type/Page/X 1>>"))
+    return table(s, d, "pages").select("page_id", M.pdf_pages(F.encode(raw, "utf-8")).alias("pages"))
 
 
 def value_percentiles(s, d):
@@ -234,8 +241,8 @@ ORACLE_SQL = {
         SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY rank ASC NULLS LAST, turn) AS place, CASE WHEN conv_id IN (SELECT conv_id FROM p) THEN '-' ELSE 'not_in_pool' END AS reason FROM t WHERE role ILIKE 'use%'""",
     "search_levels": """WITH s AS (SELECT doc_id, least(length(text), 300) AS a, CASE WHEN length(text) > 800 THEN 803 ELSE length(text) END AS b FROM documents)
         SELECT doc_id, 'minimal' AS level, 3 AS fields, a AS chars FROM s UNION ALL SELECT doc_id, 'standard', 4, b FROM s UNION ALL SELECT doc_id, 'full', 5, b FROM s""",
-    "scientific_records": """SELECT event_id, '{"id":"claim:' || event_id || '","refs":["claim:2",{"kind":"' || event_type || '"}],"n":null}' AS record FROM events""",
-    "redacted_records": """SELECT event_id, '{"id":' || event_id || ',"note":"[prose omitted: ' || length(event_type) || ' chars]","items":[{"text":"[prose omitted: 3 chars]","n":1},{"n":2}],"meta":{"a":"[prose omitted: 2 chars]","b":"[omitted: 2 items]","c":"[object omitted]","e":5},"absent":[1]}' AS record FROM events""",
+    "scientific_records": """SELECT conv_id, turn, '{"id":"claim:' || conv_id || '-' || turn || '","body":' || CAST(to_json(text) AS VARCHAR) || ',"seen":["claim:' || conv_id || '-' || turn || '"],"refs":[{"kind":"' || role || '"},{"kind":"x"}],"n":' || turn || '}' AS record FROM conversations""",
+    "redacted_records": """SELECT conv_id, turn, '{"conv_id":' || conv_id || ',"note":"[prose omitted: ' || length(text) || ' chars]","items":[{"text":"[prose omitted: ' || least(length(text), 40) || ' chars]","n":' || turn || '}],"meta":{"a":"[prose omitted: ' || length(role) || ' chars]","b":"[omitted: 2 items]","c":"[object omitted]","e":' || turn || '}}' AS record FROM conversations""",
     "anchored_range": """WITH o AS (SELECT CAST(o_orderdate AS DATE) AS day FROM orders) SELECT 'forward' AS walk, count(*) AS n FROM o WHERE day >= '1996-01-01' UNION ALL SELECT 'backward', count(*) FROM o WHERE day <= '1996-01-01'
         UNION ALL SELECT 'range', count(*) FROM o WHERE day BETWEEN '1995-01-01' AND '1995-12-31' UNION ALL SELECT 'open', count(*) FROM o""",
     "serialized_search": "SELECT c_custkey FROM customer WHERE lower(c_custkey || ' ' || c_name || ' ' || c_mktsegment) LIKE '%build%'",
@@ -260,8 +267,8 @@ ORACLE_SQL = {
     "work_order": "SELECT o_orderpriority, turn, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS turn FROM orders WHERE o_orderstatus = 'O') WHERE turn <= 10",
     "store_reconciliation": "(SELECT doc_id, 'left' AS side FROM documents WHERE doc_id % 9 <> 0 AND doc_id % 7 = 0 ORDER BY doc_id LIMIT 200) UNION ALL (SELECT doc_id, 'right' FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 9 = 0 ORDER BY doc_id LIMIT 200)",
     "dossiers": "SELECT doc_id, coalesce(quality, -1) AS quality, coalesce(toxic, 0) AS toxic, NOT EXISTS (SELECT 1 FROM labels x WHERE x.doc_id = d.doc_id) AS created FROM documents d LEFT JOIN labels l USING (doc_id)",
-    "lenient_records": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'not_json' WHEN 1 THEN 'not_object' WHEN 2 THEN 'id:not_bigint,name:missing' ELSE '' END AS codes FROM events",
-    "pdf_page_counts": "SELECT page_id, page_id % 5 + 1 AS pages FROM pages",
+    "lenient_records": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'not_json' WHEN 1 THEN 'not_object' WHEN 2 THEN 'k:not_bigint,name:missing' ELSE '' END AS codes FROM events",
+    "pdf_page_counts": "SELECT page_id, CAST((length(html) - length(replace(html, '<a ', ''))) // 3 + 1 AS INTEGER) AS pages FROM pages",
     "value_percentiles": "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type",
     "excluded_claims": "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 5000)",
 }
