@@ -157,8 +157,7 @@ def scan_licences(files: DataFrame, key: str = "file_id", templates: dict[str, s
         found = found.unionAll(own_licences(rows, key, HEADERS, threshold, blocks)).unionAll(own_licences(giving, key, TITLES, threshold)).unionAll(own_licences(giving, key, FULL, threshold, lines_and_whole))
         best = found.groupBy(key).agg(F.max(F.struct("similarity", F.element_at(F.split("licence", "/"), 1).alias("licence"), (-F.col("line")).alias("line"))).alias("b"))
         found = best.select(key, "b.licence", "b.similarity", (-F.col("b.line")).alias("line"))
-    own = materialize(found)  # read twice below
-    named = rows.select(key, "path", "gives").join(own, key, "left")
+    named = materialize(rows.select(key, "path", "gives").join(found, key, "left"))  # read for what is given, for directories and for the rows
     given = named.where("gives and licence is not null").groupBy(ancestors(F.col("path"))[0].alias("dir")).agg(F.max(F.struct("similarity", "licence")).alias("given"))
     # directories are looked up once each, however many files they hold; a directory above many others, the root above all, is dealt over tasks
     asking = named.where("licence is null").withColumn("own_dir", ancestors(F.col("path"))[0])
