@@ -128,7 +128,7 @@ def own_licences(files: DataFrame, key: str, templates: dict[str, str], threshol
     spark = files.sparkSession
     idf = {x: math.log(1 + len(templates) / sum(x in c for c in vectors.values())) for c in vectors.values() for x in c}
     known = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
-    terms = terms.join(known, "term", "left").select(key, "line", "term", (F.col("tf") * F.coalesce("idf", F.lit(unknown))).alias("w"))
+    terms = materialize(terms.join(known, "term", "left").select(key, "line", "term", (F.col("tf") * F.coalesce("idf", F.lit(unknown))).alias("w")))  # exchanged once for both sums
     theirs = [(x, k, float(w), math.sqrt(sum(v * v for v in c.values()))) for k, c in vectors.items() for x, w in c.items()]
     theirs = F.broadcast(spark.createDataFrame(theirs, "term string, licence string, weight double, size double"))
     norms = terms.groupBy(key, "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
