@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.operators.shared import materialize
@@ -143,13 +143,17 @@ GRAM, REACH = 12, 12
 
 def winnowed(rows: DataFrame, key: str, text: str, gram: int = GRAM, reach: int = REACH) -> DataFrame:
     """(key, h): the smallest hash of each `reach` neighbouring runs of `gram` characters. Texts that share gram + reach - 1 characters in a row share one."""
-    n = F.length(text)
-    hashes = F.transform(F.sequence(F.lit(1), F.greatest(n - (gram - 1), F.lit(1))), lambda i: F.xxhash64(F.substring(text, i, F.lit(gram))))
-    held = rows.where(n >= gram + reach - 1).select(key, hashes.alias("h"))
+    held = rows.where(F.length(text) >= gram + reach - 1).select(key, signs(text).alias("c"))
+    held = held.select(key, F.transform(F.sequence(F.lit(1), F.size("c") - (gram - 1)), lambda i: F.xxhash64(F.slice("c", i, gram))).alias("h"))
     least = F.transform(F.sequence(F.lit(1), F.size("h") - (reach - 1)), lambda i: F.array_min(F.slice("h", i, reach)))
     return held.select(key, F.explode(F.array_distinct(least)).alias("h"))
 
 
+def signs(text: str) -> Column:
+    """The characters of a text as an array, of which any place is found at once; within a text it is found by counting from the start."""
+    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+
+
 def contained(items: DataFrame, texts: DataFrame, item_key: str, text_key: str, text: str = "text") -> DataFrame:
     """items(item_key, text), texts(text_key, text) -> (item_key, text_key) where the item stands in the text as it is, over line ends too.
 
@@ -167,9 +171,10 @@ def contained(items: DataFrame, texts: DataFrame, item_key: str, text_key: str,
     met = rare.join(told, "h").select(item_key, text_key)
     brief = item.where(F.length("item") < wide).withColumns({"size": F.length("item")})
     sizes = sorted(r["size"] for r in brief.select("size").distinct().collect())  # fewer than gram + reach - 1
+    told_signs = body.select(text_key, signs("body").alias("c"))
     for size in sizes:
-        runs = F.transform(F.sequence(F.lit(1), F.length("body") - (size - 1)), lambda i: F.substring("body", i, F.lit(size)))  # noqa: B023
-        told_runs = body.where(F.length("body") >= size).select(text_key, F.explode(F.array_distinct(runs)).alias("item"))
+        runs = F.transform(F.sequence(F.lit(1), F.size("c") - (size - 1)), lambda i: F.array_join(F.slice("c", i, size), ""))  # noqa: B023
+        told_runs = told_signs.where(F.size("c") >= size).select(text_key, F.explode(F.array_distinct(runs)).alias("item"))
         met = met.unionByName(brief.where(F.col("size") == size).select(item_key, "item").join(told_runs, "item").select(item_key, text_key))
     sure = met.distinct().join(item, item_key).join(body, text_key).where(F.contains("body", F.col("item")))
     return sure.select(item_key, text_key).distinct()
