@@ -9,10 +9,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def matching_ids(rows: DataFrame, key: str, forms: dict[str, Column], wanted: DataFrame) -> DataFrame:
-    """Keys of rows of which one form of id is wanted(kind, id): all forms meet in one join, whatever their number."""
+def matching_ids(rows: DataFrame, key: str, forms: dict[str, Column], wanted: DataFrame, whole: Column | None = None) -> DataFrame:
+    """Keys of rows of which one form of id is wanted(kind, id): all forms meet in one join, whatever their number.
+
+    A form may be the beginning of a longer id, and in large tables several rows share one. With `whole`, the longer id of rows, and wanted(kind, id, whole) only the row meant is found;
+    a null wanted.whole means all that share the form."""
     pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), c.cast("string").alias("id")) for k, c in forms.items())))
-    return rows.select(key, pairs.alias("p")).select(key, "p.*").where("id is not null").join(wanted.select("kind", "id").distinct(), ["kind", "id"], "left_semi").select(key).distinct()
+    rows = rows.select(key, (F.lit(None) if whole is None else whole).cast("string").alias("own"), pairs.alias("p")).select(key, "own", "p.*").where("id is not null")
+    asked = wanted.select("kind", "id", (F.lit(None).cast("string") if whole is None else F.col("whole")).alias("meant")).distinct()
+    met = rows.join(asked, ["kind", "id"]) if whole is not None else rows.join(asked, ["kind", "id"], "left_semi")
+    return (met.where("meant is null or meant = own") if whole is not None else met).select(key).distinct()
 
 
 def not_seen(rows: DataFrame, seen: DataFrame, key: str) -> DataFrame:
