@@ -96,6 +96,7 @@ def by_precedence(asked: DataFrame, documents: DataFrame, forms: list[tuple[str,
     order = F.create_map(*(F.lit(x) for k, (kind, _) in enumerate(forms) for x in (kind, k)))
     ids = F.array(*(F.struct(F.lit(kind).alias("kind"), c.cast("string").alias("id")) for kind, c in forms))
     known = documents.where(F.coalesce(visible, F.lit(False))).select("doc_id", F.inline(ids)).where("id is not null")
+    known = known.groupBy("kind", "id").agg(F.min("doc_id").alias("doc_id"))  # an id that many documents share meets each ask once
     met = asked.where(F.col("id").isNotNull()).join(known, ["kind", "id"]).groupBy("ask").agg(F.min(F.struct(order[F.col("kind")].alias("place"), "doc_id", "kind")).alias("r"))
     return met.select("ask", "r.doc_id", "r.kind")
 

@@ -21,3 +21,14 @@ def test_shortened_ids_without_the_whole_one_find_all(spark):
     forms = {"short": F.left("whole", F.lit(2))}
     assert sorted(r["k"] for r in matching_ids(rows, "k", forms, wanted, F.col("whole")).collect()) == [1, 2]
     assert sorted(r["k"] for r in matching_ids(rows, "k", forms, wanted).collect()) == [1, 2, 3]
+
+
+def test_an_id_that_many_documents_share_meets_an_ask_once(spark):
+    from sextant.operators.runs import by_precedence
+
+    docs = spark.range(400).withColumnRenamed("id", "doc_id")
+    asked = spark.createDataFrame([(k, "dblp", "db/1") for k in range(50)], "ask long, kind string, id string")
+    found = by_precedence(asked, docs, [("dblp", F.lit("db/1"))], F.col("doc_id") >= 7)
+    assert {(r["ask"], r["doc_id"]) for r in found.collect()} == {(k, 7) for k in range(50)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.rindex("Aggregate [kind"), "documents are grouped by id before they meet the asks"
