@@ -32,3 +32,18 @@ def test_an_id_that_many_documents_share_meets_an_ask_once(spark):
     assert {(r["ask"], r["doc_id"]) for r in found.collect()} == {(k, 7) for k in range(50)}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.rindex("Aggregate [kind"), "documents are grouped by id before they meet the asks"
+
+
+def test_distances_against_the_table_cell_by_cell(spark):
+    import random
+
+    from sextant.functions.edits import distances, edit_distance
+    from tests.test_values import edits
+
+    draw = random.Random(5)
+    sizes = [0, 1, 5, 63, 64, 65, 127, 128, 129, 200]
+    text = lambda signs: "".join(draw.choices(signs, k=draw.choice(sizes)))
+    a, b = [text("abcé𝄞") for _ in range(160)], [text("abcdé") for _ in range(160)]
+    assert distances(a, b).tolist() == [edits(x, y) for x, y in zip(a, b, strict=True)]
+    rows = spark.createDataFrame([(0, "kitten", "sitting"), (1, None, "a"), (2, "a", None), (3, "", "ab")], "k long, a string, b string")
+    assert [r["d"] for r in rows.select("k", edit_distance("a", "b").alias("d")).orderBy("k").collect()] == [3, None, None, 2]
