@@ -47,3 +47,33 @@ def test_distances_against_the_table_cell_by_cell(spark):
     assert distances(a, b).tolist() == [edits(x, y) for x, y in zip(a, b, strict=True)]
     rows = spark.createDataFrame([(0, "kitten", "sitting"), (1, None, "a"), (2, "a", None), (3, "", "ab")], "k long, a string, b string")
     assert [r["d"] for r in rows.select("k", edit_distance("a", "b").alias("d")).orderBy("k").collect()] == [3, None, None, 2]
+
+
+def test_title_pairs_send_no_side_whole_and_find_all(spark):
+    import random
+
+    from sextant.operators.curation import title_pairs
+    from tests.test_values import edits
+
+    draw = random.Random(3)
+    texts = ["".join(draw.choices("abc ", k=draw.choice([1, 9, 10, 11, 20, 29, 30, 60]))) for _ in range(40)]
+    for t in texts[:40]:
+        out = list(t)
+        for _ in range(draw.choice([0, 1, 2, 4])):
+            k = draw.randrange(len(out) + 1)
+            out[k : k + draw.choice([0, 1])] = draw.choice(["", "a", "b"])
+        texts.append("".join(out))
+    found = title_pairs(spark.createDataFrame(list(enumerate(texts)), "k long, t string"), "k", "t", 0.9)
+    plain = {k: " ".join(t.split()) for k, t in enumerate(texts)}
+    first = {}
+    for k, t in plain.items():
+        first.setdefault(t, k)
+    wanted = {(first[t], k) for k, t in plain.items() if first[t] != k}
+    kept = sorted(first.values())
+    for a in kept:
+        for b in kept:
+            size = max(len(plain[a]), len(plain[b]))
+            if a < b and plain[a] and plain[b] and 1 - edits(plain[a], plain[b]) / size >= 0.9 - 1e-12:
+                wanted.add((a, b))
+    assert sorted((r["a"], r["b"]) for r in found.collect()) == sorted(wanted)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
