@@ -315,9 +315,9 @@ def near_places(probes: DataFrame, sections: DataFrame, edits: int = 8) -> DataF
 
     A place with that many edits leaves one of edits + 1 neighbouring pieces of the section as it is. So sections are posted under pieces of `size` characters at
     every size-th place, probes under all their pieces; where they meet, the distance of the probe to the text there decides, computed within a band.
-    Probes shorter than (edits + 1) * size are held to be found where they stand exactly.
+    Probes shorter than (edits + 1) * size are held to be found where they stand exactly; without edits those of 2 * size - 1 characters or more are found, and no shorter one is of a chunk that can be cut.
     """
-    size = max(4, PROBE // (edits + 2))
+    size = max(4, min(PROBE // (edits + 2), LEAST_CHARS // 2))  # a probe of LEAST_CHARS characters holds a whole piece
     posted = sections.select("doc_id", "section", "content", F.explode(F.sequence(F.lit(0), F.greatest(F.length("content") - size, F.lit(0)), F.lit(size))).alias("p")).select("doc_id", "section", "p", F.substring("content", F.col("p") + 1, F.lit(size)).alias("piece"))
     asked = probes.where(F.length("probe") >= size).select("doc_id", "chunk", "probe", F.explode(F.sequence(F.lit(0), F.length("probe") - size)).alias("q"))
     asked = asked.select("doc_id", "chunk", "probe", "q", F.substring("probe", F.col("q") + 1, F.lit(size)).alias("piece"))

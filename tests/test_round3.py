@@ -77,3 +77,23 @@ def test_title_pairs_send_no_side_whole_and_find_all(spark):
                 wanted.add((a, b))
     assert sorted((r["a"], r["b"]) for r in found.collect()) == sorted(wanted)
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_chunk_whose_beginning_stands_elsewhere_with_other_signs_is_not_cut(spark, tmp_path):
+    import duckdb
+
+    from sextant.plans.texts import ORACLE_SQL, section_boundaries
+
+    line = "the first line of a section is long enough to be a probe of eighty characters and more"
+    lines = [f"{line} {k} and it ends with words of its own, number {k * 37}" for k in range(9)]
+    other = [f"{x} once" for x in lines[:3]] + [x.replace("first", "fjrst") for x in lines[3:6]] + [f"quite another text in place {k}, nothing like the rest of them at all" for k in range(6)]
+    words = [[f"w{k}x{j}" for j in range(30)] for k in range(20)]
+    plain = [" ".join(w) for w in words]
+    near = plain[:]
+    near[8] = plain[0].replace("w0x3", "w0y3")  # a section that holds the first chunk's probe but for one sign
+    texts = ["\n".join(lines), "\n".join(other), "\n".join(near), "\n".join([*plain[:8], plain[0], *plain[9:]])]
+    pq.write_table(pa.table({"doc_id": list(range(4)), "text": texts}), tmp_path / "documents.parquet")
+    base = duckdb.connect()
+    base.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    wanted = sorted(base.execute(ORACLE_SQL["section_boundaries"]).fetchall())
+    assert sorted(tuple(r) for r in section_boundaries(spark, str(tmp_path)).collect()) == wanted
