@@ -97,3 +97,18 @@ def test_a_chunk_whose_beginning_stands_elsewhere_with_other_signs_is_not_cut(sp
     base.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
     wanted = sorted(base.execute(ORACLE_SQL["section_boundaries"]).fetchall())
     assert sorted(tuple(r) for r in section_boundaries(spark, str(tmp_path)).collect()) == wanted
+
+
+def test_likeness_within_a_band_decides_like_the_whole_distance(spark):
+    import random
+
+    from sextant.functions import text as T
+
+    draw = random.Random(9)
+    rows = [(0, None, "a"), (1, "", ""), (2, "a" * 2100, "a" * 1700), (3, "a" * 2100, "a" * 1699)]
+    for k in range(4, 60):
+        a = "".join(draw.choices("ab c", k=draw.choice([1, 7, 20, 100])))
+        rows.append((k, a, "".join(draw.choice("xy") if draw.random() < 0.16 else c for c in a)))
+    a, b = F.col("a"), F.col("b")
+    found = spark.createDataFrame(rows, "k long, a string, b string").select("k", T.text_like(a, b, 0.85).alias("band"), (T.text_similarity(a, b) >= 0.85).alias("whole")).collect()
+    assert [r["band"] for r in found] == [r["whole"] for r in found] and {r["whole"] for r in found} == {None, True, False}
