@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from sextant.operators.shared import materialize
 
@@ -139,14 +140,36 @@ def _met(reach: DataFrame, held: DataFrame, k: int, parts: int) -> DataFrame:
 # texts inside texts
 
 GRAM, REACH = 12, 12
+HASH_STEP, HASH_MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _least_hashes(gram: int, reach: int):
+    """The distinct smallest hashes of a text; each step is a few operations on arrays as long as the text."""
+    def of(text: str | None) -> np.ndarray:
+        c = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        n = len(c) - gram + 1
+        if n < reach:
+            return np.zeros(0, np.int64)
+        h = np.zeros(n, np.uint64)
+        for i in range(gram):
+            h = h * HASH_STEP + c[i : n + i]
+        h ^= h >> np.uint64(31)
+        h *= HASH_MIX
+        h ^= h >> np.uint64(29)
+        width = 1
+        while width * 2 <= reach:
+            h, width = np.minimum(h[:-width], h[width:]), width * 2
+        if width < reach:
+            h = np.minimum(h[: width - reach], h[reach - width :])
+        return np.unique(h).view(np.int64)
+
+    return F.pandas_udf(lambda texts: pd.Series([of(t) for t in texts], dtype=object), ArrayType(LongType()))
 
 
 def winnowed(rows: DataFrame, key: str, text: str, gram: int = GRAM, reach: int = REACH) -> DataFrame:
     """(key, h): the smallest hash of each `reach` neighbouring runs of `gram` characters. Texts that share gram + reach - 1 characters in a row share one."""
-    held = rows.where(F.length(text) >= gram + reach - 1).select(key, signs(text).alias("c"))
-    held = held.select(key, F.transform(F.sequence(F.lit(1), F.size("c") - (gram - 1)), lambda i: F.xxhash64(F.slice("c", i, gram))).alias("h"))
-    least = F.transform(F.sequence(F.lit(1), F.size("h") - (reach - 1)), lambda i: F.array_min(F.slice("h", i, reach)))
-    return held.select(key, F.explode(F.array_distinct(least)).alias("h"))
+    held = rows.where(F.length(text) >= gram + reach - 1).select(key, text)
+    return held.select(key, F.explode(_least_hashes(gram, reach)(text)).alias("h"))
 
 
 def signs(text: str) -> Column:

@@ -112,3 +112,13 @@ def test_likeness_within_a_band_decides_like_the_whole_distance(spark):
     a, b = F.col("a"), F.col("b")
     found = spark.createDataFrame(rows, "k long, a string, b string").select("k", T.text_like(a, b, 0.85).alias("band"), (T.text_similarity(a, b) >= 0.85).alias("whole")).collect()
     assert [r["band"] for r in found] == [r["whole"] for r in found] and {r["whole"] for r in found} == {None, True, False}
+
+
+def test_winnowing_shares_what_texts_share_whatever_the_place(spark):
+    from sextant.operators.neighbours import _least_hashes
+
+    of = _least_hashes(12, 12).func.__closure__[0].cell_contents
+    piece = "é𝄞 shared run of 23 ch."
+    assert len(piece) == 23
+    assert set(of(piece).tolist()) <= set(of("x" * 77 + piece + "tail of another text").tolist()) and len(of(piece)) == 1
+    assert len(of(piece[:-1])) == 0 and len(of(None)) == 0 and len(of("a" * 5000)) == 1
