@@ -19,6 +19,9 @@ import math
 import uuid
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -26,6 +29,7 @@ from pyspark.sql.types import StructType
 from sextant.operators.shared import remove, shared_dir
 
 BUCKET_DOCS, MOST_BUCKETS, CELL, FIRST = 20_000, 1024, 4096, 8
+LANES, PARTS, SLICE = 64, 8, 1 << 14  # lanes of cells, files of a bucket, rows of a batch that leaves a task
 K1, B = 1.2, 0.75
 
 # The English stop words of the Snowball list, and the suffixes of Porter's steps.
@@ -77,11 +81,11 @@ def _steps(match: str, ending: str) -> list[str]:
 
 
 def with_stem(rows: DataFrame, word: str, into: str) -> DataFrame:
-    """rows with the stem of a lower-case word; words of one or two characters stay."""
-    out = rows.withColumn("_w", F.col(word))
+    """rows with the stem of a lower-case word; words of one or two characters stay. The steps are lambdas over an array of one word: as plain columns they make one method too long for the JVM to compile."""
+    held = f"array(`{word}`)"
     for step in _steps("regexp_like", "endswith"):
-        out = out.withColumn("_w", F.expr(step.replace("(w,", "(_w,").replace(" w ", " _w ").replace("length(w)", "length(_w)")))
-    return out.withColumn(into, F.when(F.length(word) > 2, F.col("_w")).otherwise(F.col(word))).drop("_w")
+        held = f"transform({held}, w -> {step})"
+    return rows.withColumn(into, F.when(F.length(word) > 2, F.expr(held)[0]).otherwise(F.col(word)))
 
 
 def stem_sql(words: str) -> str:
@@ -165,8 +169,81 @@ def _bucket(term, buckets: int):
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def _starts(*columns) -> np.ndarray:
+    """Where a run of equal rows begins in sorted columns."""
+    return np.flatnonzero(np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in columns])])
+
+
+def _lists(starts, n: int, values) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[starts, n].astype(np.int32)), values)
+
+
+def _posted(key: str):
+    """Rows (key, cell, n, words) -> (word, blocks): a batch's documents that hold a word, by lane. Words are counted within their row."""
+
+    def post(batches):
+        for batch in batches:
+            names = batch.column("words").flatten().dictionary_encode()
+            if not len(names):
+                continue
+            row = np.repeat(np.arange(len(batch)), pc.list_value_length(batch.column("words")).to_numpy())
+            held, tf = np.unique(names.indices.to_numpy().astype(np.int64) * len(batch) + row, return_counts=True)  # by word, then row
+            word, row = np.divmod(held, len(batch))
+            lane = batch.column("cell").to_numpy()[row] % LANES
+            order = np.lexsort((lane, word))
+            word, lane, row, tf = word[order], lane[order], row[order], tf[order]
+            at = pa.array(row)
+            posts = pa.StructArray.from_arrays([batch.column(key).take(at), batch.column("cell").take(at), pa.array(tf.astype(np.int32)), batch.column("n").take(at)], names=[key, "cell", "tf", "n"])
+            one = _starts(word, lane)
+            blocks = pa.StructArray.from_arrays([pa.array(lane[one].astype(np.int32)), _lists(one, len(row), posts)], names=["lane", "posts"])
+            own = _starts(word[one])
+            out = pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(word[one][own])), _lists(own, len(one), blocks)], names=["word", "blocks"])
+            yield from (out.slice(k, SLICE) for k in range(0, len(out), SLICE))
+
+    return post
+
+
+def _merged(key: str, mean: float):
+    """Rows (bucket, term, lane, posts), equal terms and lanes together -> the rows of an index: a document's words of one stem are added up, and posts go by cell."""
+
+    def blocks(rows):
+        names = rows.column("term").dictionary_encode()
+        posts = rows.column("posts").flatten().flatten()
+        term = np.repeat(names.indices.to_numpy(), pc.list_value_length(rows.column("posts")).to_numpy())
+        keys, cell, tf, n = posts[0], *(p.to_numpy() for p in posts[1:])
+        name = pc.dictionary_encode(keys, null_encoding="encode").indices.to_numpy()
+        order = np.lexsort((name, cell, term))
+        term, cell, name = term[order], cell[order], name[order]
+        one = _starts(term, cell, name)
+        tf, n = np.add.reduceat(tf[order], one).astype(np.int32), np.maximum.reduceat(n[order], one)
+        share = tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / mean))
+        term, cell = term[one], cell[one]
+        own = _starts(term, cell)
+        held = pa.StructArray.from_arrays([keys.take(pa.array(order[one])), pa.array(tf), pa.array(n)], names=[key, "tf", "n"])
+        first = pa.array(_starts(names.indices.to_numpy())[term[own]])
+        columns = [names.dictionary.take(pa.array(term[own])), pa.array(cell[own]), pa.array(np.maximum.reduceat(share, own)), pa.array(np.diff(np.r_[own, len(one)])), _lists(own, len(one), held), rows.column("bucket").take(first)]
+        return pa.RecordBatch.from_arrays(columns, names=["term", "cell", "most", "df", "posts", "bucket"])
+
+    def merge(batches):
+        kept = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = batch if kept is None else pa.Table.from_batches([kept, batch]).combine_chunks().to_batches()[0]
+            last = pc.and_(pc.equal(rows.column("term"), rows.column("term")[-1]), pc.equal(rows.column("lane"), rows.column("lane")[-1]))
+            cut = len(rows) - pc.sum(last).as_py()
+            kept = rows.slice(cut)
+            if cut:
+                yield blocks(rows.slice(0, cut))
+        if kept is not None:
+            yield blocks(kept)
+
+    return merge
+
+
 def write_index(documents: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> TextIndex:
-    """Words are counted by (document, word), so each is stemmed once a document, stems by (document, term), and postings meet by (term, cell). Groups hold CELL documents on average, whatever the term."""
+    """Words are counted within their row and stemmed once a batch of rows; a word's postings leave the batch as one row a lane (a few cells), are exchanged once, by bucket and part (a few lanes), and
+    merged lane by lane in the order of terms. Tasks grow with the documents; cells hold CELL documents on average, whatever the term."""
     spark = documents.sparkSession
     path = path or f"{shared_dir(spark)}/sextant/{uuid.uuid4().hex}"
     rows = documents.select(F.col(key), _words(F.coalesce(F.col(text), F.lit(""))).alias("words"))
@@ -174,20 +251,20 @@ def write_index(documents: DataFrame, key: str = "doc_id", text: str = "text", p
     total = sizes.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"), F.max("rows").alias("rows")).collect()[0]  # one row
     docs, mean = total["docs"], float(total["mean"] or 0) or 1.0
     cells, buckets = max(1, math.ceil(docs / CELL)), min(MOST_BUCKETS, max(4, math.ceil(docs / BUCKET_DOCS)))
-    words = rows.select(key, F.size("words").cast("long").alias("n"), F.explode("words").alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("tf"), F.max("n").alias("n"))
-    both = with_stem(words, "word", "term").groupBy(key, "term").agg(F.sum("tf").cast("int").alias("tf"), F.max("n").alias("n"))
+    sized = rows.withColumn("n", F.size("words").cast("long"))
     if (total["rows"] or 0) > 1:  # a document of several rows: its length is known only from all of them
-        both = both.drop("n").alias("p").join(sizes.alias("s"), F.col(f"p.{key}").eqNullSafe(F.col(f"s.{key}"))).select("p.*", "n")
-    share = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.lit(mean)))
-    placed = both.withColumns({"cell": F.pmod(F.xxhash64(key), F.lit(cells)).cast("int"), "share": share})
-    blocks = placed.groupBy("term", "cell").agg(F.max("share").alias("most"), F.count(F.lit(1)).alias("df"), F.collect_list(F.struct(key, "tf", "n")).alias("posts"))
-    blocks = blocks.withColumn("bucket", _bucket(F.col("term"), buckets))
+        sized = rows.alias("p").join(sizes.alias("s"), F.col(f"p.{key}").eqNullSafe(F.col(f"s.{key}"))).select("p.*", "n")
+    own = f"`{key}`: {documents.schema[key].dataType.simpleString()}"
+    sized = sized.select(key, F.pmod(F.xxhash64(key), F.lit(cells)).cast("int").alias("cell"), "n", "words")
+    held = sized.mapInArrow(_posted(key), f"word string, blocks array<struct<lane: int, posts: array<struct<{own}, cell: int, tf: int, n: bigint>>>>")
+    stemmed = with_stem(held, "word", "term").withColumn("bucket", _bucket(F.col("term"), buckets)).select("bucket", "term", F.inline("blocks"))
     # a bucket's rows are dealt by cell too: a folder has several files, sorted by term, whose statistics prune further
-    dealt = blocks.repartition("bucket", F.expr("cell % 8")).sortWithinPartitions("bucket", "term", "cell")
-    dealt.write.partitionBy("bucket").parquet(f"{path}/postings")
-    terms = spark.read.schema(dealt.schema).parquet(f"{path}/postings").groupBy("bucket", "term").agg(F.sum("df").alias("df"))
+    dealt = stemmed.repartition(buckets * PARTS, "bucket", F.expr(f"lane % {PARTS}")).sortWithinPartitions("term", "lane")
+    blocks = dealt.mapInArrow(_merged(key, mean), f"term string, cell int, most double, df bigint, posts array<struct<{own}, tf: int, n: bigint>>, bucket int")
+    blocks.sortWithinPartitions("bucket", "term", "cell").write.partitionBy("bucket").parquet(f"{path}/postings")
+    terms = spark.read.schema(blocks.schema).parquet(f"{path}/postings").groupBy("bucket", "term").agg(F.sum("df").alias("df"))
     terms.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
-    return TextIndex(spark, path, key, docs, mean, buckets, {"postings": dealt.schema, "terms": terms.schema})
+    return TextIndex(spark, path, key, docs, mean, buckets, {"postings": blocks.schema, "terms": terms.schema})
 
 
 _kept: dict[tuple, TextIndex] = {}

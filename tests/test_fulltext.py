@@ -108,3 +108,46 @@ def test_index_follows_its_files(spark, tmp_path):
     assert T.index_of(spark.read.parquet(path)) is first
     spark.createDataFrame([(2, "cat")], "doc_id long, text string").write.mode("append").parquet(path)
     assert T.index_of(spark.read.parquet(path)).matches("cat").count() == 2
+
+
+def exchanged(spark):
+    """Records that this session's stages wrote for exchanges so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_postings_are_exchanged_once_as_blocks(spark):
+    texts = spark.createDataFrame(corpus(), "doc_id long, text string").coalesce(1)
+    before = exchanged(spark)
+    index = T.write_index(texts)
+    posts = index.read("postings").agg(F.sum("df")).collect()[0][0]
+    assert exchanged(spark) - before < posts / 2  # once word by word, then term by term, before
+
+
+@pytest.mark.parametrize("lanes", [1, 3, 64])
+def test_index_of_text_keys_in_several_rows(spark, monkeypatch, lanes):
+    for name, value in (("CELL", 4), ("LANES", lanes), ("SLICE", 2)):
+        monkeypatch.setattr(T, name, value)
+    rows = [(None if k % 50 == 7 else f"d{k % 90}", None if k % 31 == 3 else t) for k, t in corpus(200)]
+    merged = {}
+    for k, t in rows:
+        merged[k] = f"{merged.get(k, '')} {t or ''}"
+    index = T.write_index(spark.createDataFrame(rows, "name string, body string").repartition(3), "name", "body")
+    for query, terms in (("running cats", ["run", "cat"]), ("zebra", ["zebra"])):
+        found = index.matches(query).collect()
+        assert {r["name"]: r["bm25"] for r in found} == pytest.approx(plain(list(merged.items()), terms)) and len(found) == len({r["name"] for r in found})
+    whole = index.read("postings").groupBy("term", "cell").count().where("count > 1").count()
+    assert whole == 0  # a term's postings of a cell are one row
+
+
+def test_search_exchanges_no_texts(spark):
+    docs = spark.createDataFrame([(k, "en", f"s{k % 3}", f"text {k}") for k in range(50)], "doc_id long, lang string, source string, text string")
+    near = docs.select("doc_id", (F.col("doc_id") / 50).alias("similarity")).where("doc_id < 9")
+    words = docs.select("doc_id", (F.col("doc_id") / 60).alias("bm25")).where("doc_id < 12")
+    from sextant.operators import search as S
+
+    page, _ = S.searched(near, words, docs, "doc_id", 5, soft={"lang": ["en"]}, diversify="source", most=2)
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    assert [r["doc_id"] for r in page.orderBy("place").collect()] == [8, 7, 6, 5, 4]
