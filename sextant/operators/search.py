@@ -137,12 +137,12 @@ def searched(
 
     They are merged, and soft filters over columns of documents (what matches first, what is unknown after it, mismatches gone) come before the rerank, which scores the best `reranked` by `rerank` of their
     content and leaves out the rest. hard, a condition over documents, comes after it, then at most `most` rows of each `diversify`, and the first `limit`. pool is what was there before diversifying: pages
-    after the first are made of it. Only rows of the pool meet their documents.
+    after the first are made of it. Only rows of the pool meet their documents: the pool is as wide as its page asks, so it goes to the tasks that read documents, and no text is exchanged.
     """
     columns = [key, *dict.fromkeys([*(soft or {}), content, *([diversify] if diversify else [])])]
     rows = merged(near, words, key, share).withColumn("score", F.round("score", 6))
     met = documents.where(hard) if hard is not None and not rerank else documents
-    rows = rows.join(met.select(*columns), key)
+    rows = met.select(*columns).join(F.broadcast(rows), key)  # the pool's rows
     rows = soft_filtered(rows, **{c: (F.col(c), w) for c, w in soft.items()}) if soft else rows.withColumn("tier", F.lit(2))
     order = [F.desc("tier"), F.desc("score"), F.asc(key)]
     if rerank:
