@@ -44,14 +44,14 @@ def hybrid_search(s, d):
     docs = table(s, d, "documents")
     words = _keyword_page(s, d, 50)
     near = S.nearest(table(s, d, "embeddings"), _vector(s, d, [7]), 50).select(F.col("vec_id").alias("doc_id"), F.round("similarity", 6).alias("similarity"))
-    pool = S.merged(near, words.withColumn("bm25", F.round("bm25", 6)), "doc_id").join(docs.select("doc_id", "lang", "source"), "doc_id")
+    pool = docs.select("doc_id", "lang", "source").join(F.broadcast(S.merged(near, words.withColumn("bm25", F.round("bm25", 6)), "doc_id")), "doc_id")  # 100 rows at most
     pool = S.soft_filtered(pool, lang=(F.col("lang"), ["en", "fr"])).withColumn("score", F.round("score", 4))
     order = [F.desc("score"), F.asc("doc_id")]
     return S.diversified(pool, "source", 2, order).orderBy(*order).limit(10).select("doc_id", "source", "score")
 
 
 def search_facets(s, d):
-    pool = _keyword_page(s, d, 50).join(table(s, d, "documents").select("doc_id", "lang", "source"), "doc_id")
+    pool = table(s, d, "documents").select("doc_id", "lang", "source").join(F.broadcast(_keyword_page(s, d, 50)), "doc_id")  # 50 rows
     return S.facets(pool.withColumn("entities", F.array("source")), "lang", "entities", "doc_id", 5)
 
 
