@@ -2,7 +2,8 @@
 
 A source's words are indexed by the places of runs of 1, 2, 4 and 8 words. Runs are named by doubling (a run of 2 w words is the pair of its halves' names), so
 equal names are equal words and nothing is hashed. A piece is placed by the longest runs that occur once in what is left of the source; a longest increasing
-subsequence of these makes a chain, and what lies between two links is filled in by shorter runs. Work per piece follows its length, not the source's.
+subsequence of these makes a chain, and what lies between two links is filled in by shorter runs. Work per piece follows its length, not the source's. A piece that stands at the
+next word as it is, and a marker that stands whole in its window, have just that place by these rules, so the runs are named only where one does not.
 Order matters within a document only, so documents are the groups; sections and chunks meet in equi-joins of short pieces.
 """
 
@@ -10,11 +11,14 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from functools import cached_property, lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from sextant.functions import text as T
 
@@ -32,34 +36,48 @@ NO_START, NO_END = "no-start-anchor", "no-end-anchor"
 LEAST_EDGE, LEAST_CLOSE, MOST_SIZE, EDGE_WORDS, CLOSE_WORDS, BARE_WORDS = 0.75, 0.6, 1.5, 8, 3, 3
 MOST_WORDS, SNAP_WORDS = 700, 40
 PROBE, REST_PROBE, LEAST_CHARS = 80, 60, 50
+WHOLE = 8
 # end of fixed values
 
 LEVELS = (3, 2, 1, 0)  # runs of 8, 4, 2 and 1 words
 
 
+@lru_cache(1 << 16)
 def canonical_word(word: str) -> str:
     return MARKUP.sub("", word).lower() or word.lower()
 
 
+def canonical_words(text: str) -> list[str]:
+    if not text.isascii():  # there lower case may depend on the neighbours
+        return [canonical_word(w) for w in WORD.findall(text)]
+    words = WORD.findall(text.lower())
+    return [MARKUP.sub("", w) or w for w in words] if MARKUP.search(text) else words
+
+
 class Places:
     """Where the runs of words of `texts` stand in `source`."""
 
     def __init__(self, source: str, texts: list[str]):
-        self.source = source
-        self.spans = np.array([m.span() for m in WORD.finditer(source)], np.int64).reshape(-1, 2)
-        words = [source[a:b] for a, b in self.spans.tolist()]
-        self.bare = np.array([not MARKUP.sub("", w) for w in words], bool)
-        self.n = len(words)
-        pieces = [[canonical_word(w) for w in WORD.findall(t)] for t in texts]
+        self.source, self.words, self.pieces = source, canonical_words(source), [canonical_words(t) for t in texts]
+        self.n, self.size, self.at = len(self.words), [len(p) for p in self.pieces], []
+        place = self.n
+        for size in self.size:
+            self.at.append(place + 1)
+            place += 1 + size
+
+    @cached_property
+    def spans(self) -> list[tuple[int, int]]:
+        return [m.span() for m in WORD.finditer(self.source)]
+
+    @cached_property
+    def _index(self) -> tuple[list, list, list]:
         known: dict[str, int] = {}
-        ids = [known.setdefault(canonical_word(w), len(known)) for w in words]
-        self.at, self.size = [], [len(p) for p in pieces]
-        for k, piece in enumerate(pieces):
+        ids = [known.setdefault(w, len(known)) for w in self.words]
+        for k, piece in enumerate(self.pieces):
             ids.append(-1 - k)  # no run goes over a border
-            self.at.append(len(ids))
             ids += [known.setdefault(w, len(known)) for w in piece]
         names = np.unique(np.array(ids, np.int64), return_inverse=True)[1].astype(np.int64)
-        self.names, self.order, self.keys = [], [], []
+        index = ([], [], [])
         for level in range(max(LEVELS) + 1):
             width = 1 << level
             if level:
@@ -68,9 +86,26 @@ class Places:
                 names = np.unique(pairs, return_inverse=True)[1].astype(np.int64)
             own = names[: max(0, self.n - width + 1)]
             order = np.argsort(own, kind="stable")
-            self.names.append(names)
-            self.order.append(order)
-            self.keys.append(own[order] * (self.n + 1) + order)  # ascending by name, then place
+            for column, values in zip(index, (names, order, own[order] * (self.n + 1) + order), strict=True):  # keys ascend by name, then place
+                column.append(values)
+        return index
+
+    names, order, keys = (property(lambda self, k=k: self._index[k]) for k in range(3))
+
+    @cached_property
+    def _whole(self) -> dict[tuple, list[int]]:
+        """Where the pieces of up to WHOLE words stand as they are."""
+        found: dict[tuple, list[int]] = {tuple(p): [] for p in self.pieces if 0 < len(p) <= WHOLE}
+        for size in {len(p) for p in found}:
+            for j, run in enumerate(zip(*(self.words[k:] for k in range(size)))):
+                if run in found:
+                    found[run].append(j)
+        return found
+
+    def whole(self, piece: int, j0: int, j1: int) -> list[int]:
+        """The places within source words [j0, j1) at which a short piece stands as it is."""
+        at = self._whole.get(tuple(self.pieces[piece]), [])
+        return at[bisect_left(at, j0) : bisect_left(at, j1 - self.size[piece] + 1)]
 
     def occurrences(self, piece: int, level: int, i0: int, i1: int, j0: int, j1: int) -> tuple[np.ndarray, np.ndarray]:
         """For each run that starts at i0 ... of a piece and ends before i1: its range in order[level] within source words [j0, j1)."""
@@ -96,6 +131,8 @@ class Places:
 
     def blocks(self, piece: int, cursor: int) -> list[tuple[int, int, int]]:
         """(place in the piece, place in the source, words) of what a piece and the source have in common, in order."""
+        if self.words[cursor : cursor + self.size[piece]] == self.pieces[piece]:  # its runs stand there; one that occurs once, there only
+            return [(0, cursor, self.size[piece])] if self.size[piece] else []
         level, chain = self.anchors(piece, cursor)
         if not chain:
             return []
@@ -138,12 +175,12 @@ class Places:
     def with_bare(self, last: int) -> int:
         """Markup without a word goes with the passage before it."""
         for _ in range(BARE_WORDS):
-            if last + 1 < self.n and self.bare[last + 1]:
+            if last + 1 < self.n and not MARKUP.sub("", self.source[slice(*self.spans[last + 1])]):
                 last += 1
         return last
 
     def cut(self, first: int, last: int) -> tuple[int, int, str]:
-        a, b = int(self.spans[first][0]), int(self.spans[last][1])
+        a, b = self.spans[first][0], self.spans[last][1]
         return a, b, self.source[a:b]
 
 
@@ -185,6 +222,8 @@ def joined(blocks: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
 
 def likeness(a, b) -> float:
     """Twice the words of the longest common subsequence over all words; for a few words."""
+    if a == b:
+        return 1.0
     row = [0] * (len(b) + 1)
     for x in a:
         last = 0
@@ -201,7 +240,7 @@ def recovered_sequence(pieces: list[str | None], source: str | None, least: floa
     likeness of the first and last EDGE_WORDS words.
     """
     places = Places(source or "", [p or "" for p in pieces])
-    words, out, cursor = places.names[0], [], 0
+    words, out, cursor = places.words, [], 0
     for k, size in enumerate(places.size):
         blocks = places.blocks(k, cursor) if size and cursor < places.n else []
         if not blocks:
@@ -210,7 +249,7 @@ def recovered_sequence(pieces: list[str | None], source: str | None, least: floa
         (i, j, _), (x, y, n) = blocks[0], blocks[-1]
         first = max(cursor, j - i)
         last = places.with_bare(min(places.n - 1, max(first, y + size - 1 - x)))
-        own, theirs = words[places.at[k] : places.at[k] + size].tolist(), words[first : last + 1].tolist()
+        own, theirs = places.pieces[k], words[first : last + 1]
         matched, ratio = sum(b[2] for b in blocks) / size, len(theirs) / size
         head, tail = likeness(theirs[:EDGE_WORDS], own[:EDGE_WORDS]), likeness(theirs[-EDGE_WORDS:], own[-EDGE_WORDS:])
         whole = ratio <= MOST_SIZE and tail >= LEAST_EDGE and matched >= least
@@ -225,7 +264,10 @@ def recovered_sequence(pieces: list[str | None], source: str | None, least: floa
 
 def _best(places: Places, marker: int, first: int, stop: int, last_run: bool) -> list[int]:
     """Where a marker's first word may stand, within source words [first, stop): of the places of its first (or last) run of the longest kind that is there, those at
-    which most of its words agree."""
+    which most of its words agree. Where it stands whole, these are all of its places."""
+    whole = places.whole(marker, first, stop)
+    if whole or not places.size[marker]:
+        return whole
     size, own = places.size[marker], places.names[0][places.at[marker] : places.at[marker] + places.size[marker]]
     for level in LEVELS:
         lo, hi = places.occurrences(marker, level, 0, size, first, stop)
@@ -281,18 +323,40 @@ def anchored_sequence(pairs: list[tuple[str | None, str | None]], source: str |
 
 
 def _in_order(pieces: DataFrame, sources: DataFrame, columns: list[str], schema: str, find) -> DataFrame:
-    """find(rows of a document in order, its text) -> a row each, document by document; a document's text meets its pieces once, not once a piece."""
-    names = ["doc_id", *(c.split()[0] for c in schema.split(", "))]
-
-    def align(rows: pd.DataFrame, source: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty or source.empty:
-            return pd.DataFrame([], columns=names)
-        rows = rows.sort_values(["position", *columns])
-        text = source["text"].dropna().min() if source["text"].notna().any() else None
-        values = [tuple(None if pd.isna(v) else v for v in r) for r in rows[columns].itertuples(index=False)]
-        return pd.DataFrame([(k, n, *x) for k, n, x in zip(rows["doc_id"], rows["position"], find(values, text), strict=True)], columns=names)
-
-    return pieces.groupBy("doc_id").cogroup(sources.groupBy("doc_id")).applyInPandas(align, f"doc_id long, {schema}")
+    """find(rows of a document in order, its text) -> a row each, document by document; a document's text meets its pieces once, not once a piece. Both are exchanged once and
+    sorted, so a task sees its documents one after the other, texts before pieces; of several texts of a document the smallest counts."""
+    types = {f.name: f.dataType for f in pieces.schema.fields}
+    rows = pieces.select("doc_id", F.lit(True).alias("piece"), "position", *columns, F.lit(None).cast("string").alias("text"))
+    texts = sources.select("doc_id", F.lit(False).alias("piece"), *(F.lit(None).cast(types[c]).alias(c) for c in ("position", *columns)), "text")
+    order = ["doc_id", "piece", *(F.asc_nulls_last(c) for c in ("position", *columns))]
+    wanted = f"doc_id long, {schema}"
+
+    def align(batches):
+        def done(group):
+            place = next((k for k, r in enumerate(group) if r[1]), len(group))
+            if not 0 < place < len(group):
+                return
+            text = min((r[-1] for r in group[:place] if r[-1] is not None), default=None)
+            for r, x in zip(group[place:], find([r[3:-1] for r in group[place:]], text), strict=True):
+                yield (r[0], r[2], *x)
+
+        def out(found):
+            columns = zip(*found) if found else [[]] * len(target)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target, strict=True)], schema=target)
+
+        group = []
+        for batch in batches:
+            found = []
+            for row in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns))):
+                if group and row[0] != group[0][0]:
+                    found += done(group)
+                    group = []
+                group.append(row)
+            yield out(found)
+        yield out(list(done(group)))
+
+    target = to_arrow_schema(StructType.fromDDL(wanted))
+    return rows.unionByName(texts).repartition("doc_id").sortWithinPartitions(*order).mapInArrow(align, wanted)
 
 
 def recovered(pieces: DataFrame, sources: DataFrame) -> DataFrame:
@@ -371,7 +435,7 @@ def bounded_by_sections(chunks: DataFrame, sections: DataFrame, edits: int = 8)
 def numbered_lines(documents: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, position, content) of the lines with anything in them."""
     rows = documents.select("doc_id", F.posexplode(F.split(text, "\n+")).alias("position", "content"))
-    return rows.where(F.length(normal(F.col("content"))) > 0)
+    return rows.where(F.col("content").rlike(f"[^{SPACE}]"))
 
 
 def windows_of_lines(lines: DataFrame, width: int, step: int) -> DataFrame:

@@ -188,3 +188,23 @@ def test_missing_includes(spark):
     main = r"\input{intro} \include{parts/method.tex} \input{figures/plot} % \input{commented}" + "\n" + r"\input{data\_set} \input{macros-a} \input{\jobname}"
     files = spark.createDataFrame([(1, "main.tex", main), (1, "a/intro.tex", "x"), (2, "main.tex", r"\input{intro}"), (3, "x.tex", None)], "doc_id long, path string, text string")
     assert {(r["doc_id"], r["include"]) for r in missing_includes(files).collect()} == {(1, "parts/method.tex"), (1, "data_set"), (2, "intro")}
+
+
+def test_exact_pieces_need_no_names_of_runs(monkeypatch):
+    said = words(300, 10)
+    source, lines = " ".join(said), [said[k : k + 12] for k in range(0, 300, 12)]
+    monkeypatch.setattr(L.np, "unique", lambda *a, **k: pytest.fail("runs are named"))
+    assert [r[4] for r in L.recovered_sequence([" ".join(x) for x in lines], source)] == [" ".join(x) for x in lines]
+    assert {r[0] for r in L.anchored_sequence([(" ".join(x[:4]), " ".join(x[-4:])) for x in lines], source)} == {"recovered"}
+
+
+def test_documents_are_streamed_in_order(spark):
+    """One exchange, no group of its own a document; null positions and pieces come last, null ids are one document, of several texts the smallest counts."""
+    pieces = spark.createDataFrame([(1, 1, "c d"), (1, 0, "a b"), (1, None, "e"), (1, 1, None), (None, 0, "x y"), (2, 0, "z"), (4, 0, "q")], "doc_id long, position int, content string")
+    sources = spark.createDataFrame([(1, "b a"), (1, "a b c d e"), (1, None), (None, "x y"), (3, "z"), (4, None)], "doc_id long, text string")
+    rows = L.recovered(pieces, sources)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "CoGroup" not in plan
+    found = [(r["doc_id"], r["position"], r["status"], r["text"]) for r in rows.collect()]
+    assert [x for x in found if x[0] == 1] == [(1, 0, "recovered", "a b"), (1, 1, "recovered", "c d"), (1, 1, "FAILED", None), (1, None, "recovered", "e")]
+    assert sorted((x for x in found if x[0] != 1), key=str) == [(4, 0, "FAILED", None), (None, 0, "recovered", "x y")]
