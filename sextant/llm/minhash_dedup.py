@@ -10,10 +10,11 @@
    posting). A block is dealt into cells of about CELL classes by a hash. In a cell, collisions
    are counted, pairs of that many or more are confirmed on full sets; pairs already connected are passed over.
 4. Blocks of several cells are dealt in DEALS ways, once by the smallest class met, then at random, which
-   joins up large groups. After that each class outside the block's largest component is compared with
-   all cells in which a class shares one of its prefix tokens. Then no pair of classes that meet
+   joins up large groups. After that each class outside the block's largest component is compared with all classes of other components
+   that share one of its prefix tokens. These meet in tiles of TILE times TILE with their coordinates and sets: a pair that agrees on
+   enough coordinates, and differs in size by no more than the similarity allows, is confirmed under the first token that it shares. Then no pair of classes that meet
    in a prefix is both unconnected and uncompared; at no time do all pairs of a group exist as
-   rows, and no cell outgrows its bound.
+   rows, a class goes to its tokens' tiles only and not to all cells of its block, and no cell or tile outgrows its bound.
 
 Nulls and empty tables: null or wordless texts have no set (n_shingles 0) and no link; a null doc_id
 counts as the largest and comes back as null. Rows that share a doc_id are one node if they share their text, else one node each. Only doc_id
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from sextant.llm import bytescan as bs
 from sextant.llm.shared import LAST, connected_components, join_counted, materialize, row_keys
 
-COORDS, MISSED, CELL, CELL_BYTES, DEALS = 32, 3e-8, 128, 32 << 20, 3
+COORDS, MISSED, CELL, CELL_BYTES, DEALS, TILE = 32, 3e-8, 128, 32 << 20, 3, 1024
 U = np.uint64
 
 
@@ -128,10 +129,8 @@ def _sign(words: int):
 class _Links:
     """Union-find over the classes of one cell, with the links that joined them."""
 
-    def __init__(self, nodes: np.ndarray, comps: np.ndarray):
-        self.nodes, self.found = nodes, []
-        known: dict[int, int] = {}
-        self.up = [known.setdefault(int(c), k) for k, c in enumerate(comps)]
+    def __init__(self, nodes: np.ndarray):
+        self.nodes, self.found, self.up = nodes, [], list(range(len(nodes)))
 
     def top(self, x: int) -> int:
         while self.up[x] != x:
@@ -163,17 +162,15 @@ def _collisions(tokens: np.ndarray, x: int, postings: tuple[np.ndarray, np.ndarr
     return np.where(met, same + merged(rare[COORDS - least + 1 :]), 0) if met.any() and least > 1 else same
 
 
-def _link_cell(nodes, comps, query, sets, tokens, percent: int) -> list[tuple[int, int]]:
-    """Links between the classes of a cell; where some are queries, between a query and any other."""
-    links, size, least = _Links(nodes, comps), len(nodes), least_matches(percent)
-    some = bool(query.any())
-    among = ~query if some else np.ones(size, bool)
+def _link_cell(nodes, sets, tokens, percent: int) -> list[tuple[int, int]]:
+    """Links between the classes of a cell."""
+    links, size, least = _Links(nodes), len(nodes), least_matches(percent)
+    among = np.ones(size, bool)
     flat = np.sort(tokens.ravel())
     order = np.argsort(tokens.ravel(), kind="stable") // COORDS  # postings: the classes under each token
     postings = order, np.searchsorted(flat, tokens, "left"), np.searchsorted(flat, tokens, "right")
-    for x in np.flatnonzero(query) if some else range(size):
-        if not some:
-            among[x] = False  # pairs of x are done after this round
+    for x in range(size):
+        among[x] = False  # pairs of x are done after this round
         same = _collisions(tokens, x, postings, among, least)
         keep = np.flatnonzero(same >= least)
         for y in keep[np.argsort(-same[keep], kind="stable")].tolist():
@@ -182,26 +179,28 @@ def _link_cell(nodes, comps, query, sets, tokens, percent: int) -> list[tuple[in
     return links.found
 
 
+def _groups(batches, first: str, second: str):
+    """Tables of the rows equal in two columns, by which the batches are sorted."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        if not table.num_rows:
+            continue
+        one, two = table[first].to_numpy(), table[second].to_numpy(zero_copy_only=False)
+        cut = np.flatnonzero((one[1:] != one[:-1]) | (two[1:] != two[:-1])) + 1
+        for a, b in zip(np.concatenate([[0], cut])[:-1], cut, strict=False):
+            yield table.slice(a, b - a)
+        rest = table.slice(int(cut[-1]) if len(cut) else 0)
+        bs.give_back()
+    if rest is not None:
+        yield rest
+
+
 def _link(words: int, percent: int):
     """Batches sorted by (block, cell): links (a, b)."""
 
-    def cells(batches):
-        rest = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            if not table.num_rows:
-                continue
-            block, cell = table["block"].to_numpy(), table["cell"].to_numpy(zero_copy_only=False)
-            cut = np.flatnonzero((block[1:] != block[:-1]) | (cell[1:] != cell[:-1])) + 1
-            for a, b in zip(np.concatenate([[0], cut])[:-1], cut, strict=False):
-                yield table.slice(a, b - a)
-            rest = table.slice(int(cut[-1]) if len(cut) else 0)
-            bs.give_back()
-        if rest is not None:
-            yield rest
-
     def link(batches):
-        for table in cells(batches):
+        for table in _groups(batches, "block", "cell"):
             if table.num_rows < 2:
                 continue
             data, offsets = bs.buffers(table["text"].combine_chunks())
@@ -212,7 +211,7 @@ def _link(words: int, percent: int):
             tokens = np.concatenate(tokens)
             if len(tokens) != len(sets):
                 raise ValueError("a class without a set")
-            found = _link_cell(table["rep"].to_numpy(), table["comp"].to_numpy(), table["query"].to_numpy(zero_copy_only=False), sets, tokens, percent)
+            found = _link_cell(table["rep"].to_numpy(), sets, tokens, percent)
             if found:
                 a, b = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -220,11 +219,80 @@ def _link(words: int, percent: int):
     return link
 
 
+def _meet(percent: int):
+    """Batches sorted by (token, tile): links of an asking class and one of another component. A pair is looked at under the first token
+    that both have in their prefixes, and of two asking classes from the smaller."""
+    least = least_matches(percent)
+
+    def meet(batches):
+        for table in _groups(batches, "token", "tile"):
+            asks = table["ask"].to_numpy(zero_copy_only=False)
+            if not 0 < np.count_nonzero(asks) < len(asks):
+                continue
+            rep, comp, query = (table[c].to_numpy(zero_copy_only=False) for c in ("rep", "comp", "query"))
+            tokens, head = (table[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, COORDS) for c in ("tokens", "head"))
+            sets = table["set"].combine_chunks()
+            n = sets.value_lengths().to_numpy().astype(np.int64)
+            at, (known, names) = np.concatenate([[0], np.cumsum(n)]), np.unique(sets.flatten().to_numpy(), return_inverse=True)
+            here, there = np.flatnonzero(tokens[0] == table["token"][0].as_py())[0], np.flatnonzero(~asks)
+            inside, found = np.zeros(len(known), bool), []
+            for x in np.flatnonzero(asks).tolist():
+                some = there[(comp[there] != comp[x]) & (~query[there] | (rep[there] > rep[x])) & (100 * np.minimum(n[there], n[x]) >= percent * np.maximum(n[there], n[x]))]
+                same = tokens[some] == tokens[x]
+                enough = np.count_nonzero(same, axis=1) >= least
+                some, same = some[enough], same[enough]
+                some = some[(same & head[some] & head[x]).argmax(axis=1) == here] if len(some) else some
+                own = names[at[x] : at[x + 1]]
+                inside[own] = True
+                for k in range(0, len(some), CELL):
+                    ys = some[k : k + CELL]
+                    both = np.add.reduceat(inside[np.concatenate([names[at[y] : at[y + 1]] for y in ys.tolist()])].astype(np.int64), np.cumsum(n[ys]) - n[ys])
+                    found += [(int(rep[x]), y) for y in rep[ys[100 * both >= percent * (n[x] + n[ys] - both)]].tolist()]
+                inside[own] = False
+            if found:
+                a, b = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return meet
+
+
+def _sets(words: int):
+    def sets(batches):
+        for reps, text in bs.arrow_batches(batches, ["rep", "text"]):
+            data, offsets = bs.buffers(text)
+            for i, j, values, at in sets_of(data, offsets, words):
+                yield pa.RecordBatch.from_arrays([reps[i:j], pa.ListArray.from_arrays(at.astype(np.int32), pa.array(values.view(np.int64)))], names=["rep", "set"])
+            bs.give_back()
+
+    return sets
+
+
 def _dealt(rows: DataFrame, parts: int, words: int, percent: int) -> DataFrame:
-    rows = rows.select("block", F.col("cell").cast("string").alias("cell"), "rep", "comp", "query", "text")
+    rows = rows.select("block", "cell", "rep", "text")
     return rows.repartition(parts, "block", "cell").sortWithinPartitions("block", "cell").mapInArrow(_link(words, percent), "a long, b long")
 
 
+def _across(posted: DataFrame, marked: DataFrame, parts: int, percent: int) -> DataFrame:
+    """Links (a, b) between a class marked as query and a class of another component that share a token of posted(rep, token). marked(rep, comp, query, n, tokens, head, set) has the
+    coordinates, which of them are posted, and the shingles."""
+    spots = posted.join(marked.select("rep", "comp", "query", "n"), "rep")
+    told = spots.groupBy("token").agg(
+        F.count(F.lit(1)).alias("posts"), F.count_if("query").alias("asks"), F.min("comp").alias("low"), F.max("comp").alias("high"),
+        F.sum(8 * F.col("n")).alias("bytes"), F.sum(F.when(F.col("query"), 8 * F.col("n"))).alias("ask_bytes"),
+    ).where("asks > 0 and low <> high")
+    over = lambda c, size: F.greatest(F.ceil(F.col(c) / TILE), F.ceil(F.col(size) / CELL_BYTES)).cast("int")
+    told = materialize(told.select("token", "posts", over("asks", "ask_bytes").alias("hands"), over("posts", "bytes").alias("strips")))
+    spots = materialize(join_counted(spots.select("rep", "token", "query"), told, "token", "posts", "rep"))
+    # the asking classes of a token are dealt into hands, all its classes into strips, and each hand meets each strip in a tile
+    at = lambda n: F.pmod(F.xxhash64("rep", F.lit(1)), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    tile = lambda hand, strip: (F.shiftleft(hand.cast("long"), 32) + strip).alias("tile")
+    asked = spots.where("query").select("rep", "token", "hands", F.explode(every("strips")).alias("strip")).select("rep", "token", F.lit(True).alias("ask"), tile(at("hands"), F.col("strip")))
+    there = spots.select("rep", "token", "strips", F.explode(every("hands")).alias("hand")).select("rep", "token", F.lit(False).alias("ask"), tile(F.col("hand"), at("strips")))
+    tiles = asked.unionAll(there).join(marked.drop("n"), "rep").repartition(parts, "token", "tile").sortWithinPartitions("token", "tile")
+    return tiles.mapInArrow(_meet(percent), "a long, b long")
+
+
 def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """documents(doc_id, text) -> (doc_id, n_shingles, class_id, component_id), a row per document row.
 
@@ -278,28 +346,17 @@ def linked(texts: DataFrame, words: int, percent: int) -> DataFrame:
     # no way of dealing shares a cell with another
     by_lead = F.pmod(F.xxhash64("lead", F.pmod(F.xxhash64("rep", F.lit(0)), F.col("splits"))), F.col("cells")).cast("int")
     ways = F.when(F.col("cells") == 1, F.array(F.lit(0))).otherwise(F.array(by_lead, *(F.col("cells") * k + at("rep", k) for k in range(1, DEALS))))
-    links = materialize(_dealt(body.withColumns({"cell": F.explode(ways), "comp": F.col("rep"), "query": F.lit(False)}), parts, words, percent))
+    links = materialize(_dealt(body.withColumn("cell", F.explode(ways)), parts, words, percent))
     large = placed.where("cells > 1")
     if not large.isEmpty():
         found = connected_components(links)
-        comp = materialize(large.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "block", "cells", F.coalesce("root", "rep").alias("comp")))
-        main = comp.groupBy("block", "comp").count().groupBy("block").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
-        marked = materialize(comp.join(main, "block").select("rep", "cells", "comp", (F.col("comp") != F.col("main")).alias("query")))
-        spots = posted.join(marked, "rep").select("rep", "token", "query", at("rep", 1).alias("cell"))
-        homes = materialize(spots.groupBy("token").agg(F.collect_set("cell").alias("homes"), F.count_if("query").alias("asks")).where("asks > 0"))
-        ask = join_counted(spots.where("query").select("rep", "token"), homes, "token", "asks", "rep").groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("homes"))).alias("homes"))
-        text = body.where("cells > 1").select("rep", "block", "text")
-        asked = text.join(marked.where("query").select("rep", "comp", "query"), "rep").join(ask, "rep").withColumn("home", F.explode("homes")).drop("homes")
-        there = text.join(marked.select("rep", "cells", "comp"), "rep").withColumns({"query": F.lit(False), "home": at("rep", 1)}).drop("cells")
-        # the queries of a cell are dealt too, and the cell goes with each hand of them
-        hands = asked.groupBy("block", "home").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CELL), F.ceil(F.sum(F.octet_length("text")) / CELL_BYTES)).cast("int").alias("hands"))
-        hands = materialize(hands)
-        hand = lambda h: F.concat_ws("/", "home", h).alias("cell")
-        columns = ["block", "rep", "comp", "query", "text"]
-        asked = asked.join(hands, ["block", "home"]).select(*columns, hand(F.pmod(F.xxhash64("rep", F.lit(1)), "hands")))
-        there = there.join(hands, ["block", "home"]).select(*columns, F.explode(F.sequence(F.lit(0), F.col("hands") - 1)).alias("h"), "home")
-        last = _dealt(asked.unionByName(there.select(*columns, hand(F.col("h")))), parts, words, percent)
-        links = links.unionAll(materialize(last))
+        comp = materialize(large.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "block", F.coalesce("root", "rep").alias("comp")))
+        main = comp.groupBy("block", "comp").count().groupBy("block").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+        marked = materialize(comp.join(main, "block").select("rep", "comp", (F.col("comp") != F.col("main")).alias("query")))
+        sets = body.join(marked.select("rep"), "rep").select("rep", "text").mapInArrow(_sets(words), "rep long, set array<long>")
+        marked = marked.join(signed.select(F.col("doc").alias("rep"), "n", "tokens"), "rep").join(kept.withColumnRenamed("tokens", "heads"), "rep").join(sets, "rep")
+        marked = materialize(marked.select("rep", "comp", "query", "n", "tokens", F.transform("tokens", lambda t: F.array_contains("heads", t)).alias("head"), "set"))
+        links = links.unionAll(materialize(_across(posted, marked, parts, percent)))
     roots = connected_components(links)
     joined = member.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("doc", "n", "rep", F.coalesce("root", "rep").alias("root"))
     alone = signed.where("n = 0").select("doc", "n", F.col("doc").alias("rep"), F.col("doc").alias("root"))

@@ -17,3 +17,36 @@ def test_border_repeats_compares_whole_parts(spark, tmp_path):
     pq.write_table(pa.table({"doc_id": list(range(5)), "text": texts}), tmp_path / "documents.parquet")
     found = {r["doc_id"]: (r["batches"], r["dropped"]) for r in border_repeats(spark, str(tmp_path)).collect()}
     assert found == {0: (2, 0), 1: (2, 1), 2: (2, 1), 3: (2, 0), 4: (2, 1)}
+
+
+def near(texts, percent=80):
+    """Smallest key reachable over links, by comparing all with all; op6's words and sets."""
+    words = [t.lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} or {tuple(w)} for w in words]
+    root = list(range(len(texts)))
+    top = lambda k: k if root[k] == k else top(root[k])
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    return {k: top(k) for k in range(len(texts))}
+
+
+def test_a_line_that_many_documents_share_does_not_deal_texts_to_all_cells(spark, monkeypatch):
+    from sextant.llm import minhash_dedup as md
+
+    dealt, deal = [], md._dealt
+    monkeypatch.setattr(md, "_dealt", lambda rows, *a: (dealt.append(rows.count()), deal(rows, *a))[1])
+    monkeypatch.setattr(md, "CELL", 16)
+    monkeypatch.setattr(md, "TILE", 24)  # tiles of several hands and strips
+    draw = random.Random(8)
+    line = " ".join(f"common{k}" for k in range(16))
+    own = lambda n: " ".join(f"w{draw.randrange(10**9)}" for _ in range(n))
+    texts = [f"{line}\n{own(draw.randrange(1, 9))}" for _ in range(240)]
+    texts += [f"{t} {own(1)}" for t in texts[:40]] + [f"{own(1)} {t} {own(1)}" for t in texts[20:60]]
+    draw.shuffle(texts)
+    found = md.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), words=4)
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == near(texts)
+    assert sum(dealt) <= md.DEALS * len(texts)
