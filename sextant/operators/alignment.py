@@ -4,7 +4,7 @@ A source's words are indexed by the places of runs of 1, 2, 4 and 8 words. Runs
 equal names are equal words and nothing is hashed. A piece is placed by the longest runs that occur once in what is left of the source; a longest increasing
 subsequence of these makes a chain, and what lies between two links is filled in by shorter runs. Work per piece follows its length, not the source's. A piece that stands at the
 next word as it is, and a marker that stands whole in its window, have just that place by these rules, so the runs are named only where one does not.
-Order matters within a document only, so documents are the groups; sections and chunks meet in equi-joins of short pieces.
+Order matters within a document only, so documents are the groups; with edits, sections and chunks meet in equi-joins of short pieces.
 """
 
 from __future__ import annotations
@@ -411,25 +411,34 @@ def bounded_by_sections(chunks: DataFrame, sections: DataFrame, edits: int = 8)
     A chunk whose first PROBE characters stand in several sections is taken for one that runs over its own section's end. It is cut where the longest beginning
     that its section holds ends, if LEAST_CHARS characters are left behind it; the second part goes to the first other section that holds its first REST_PROBE characters, or stays. Parts of
     fewer than LEAST_CHARS characters go. Runs of blanks count as one. Other chunks come back as they are (part 0); a chunk whose section is not
-    among the document's, too, and so do all chunks of a document with one section. Null and empty contents have no parts.
+    among the document's, too, and so do all chunks of a document with one section. Null and empty contents have no parts. A document's chunks and sections are one row, so texts
+    are exchanged by document only, and not at all where both sides come dealt by it.
     """
     told = sections.select("doc_id", "section", normal(F.coalesce("content", F.lit(""))).alias("content")).where("content <> ''")
-    rows = chunks.where(F.length("content") > 0).withColumn("flat", normal(F.col("content")))
-    where = near_places(rows.select("doc_id", "chunk", F.left("flat", F.lit(PROBE)).alias("probe")), told, edits)
-    several = where.groupBy("doc_id", "chunk").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "chunk")
-    own = told.withColumnRenamed("content", "own")
-    cut = rows.join(several, ["doc_id", "chunk"]).join(own, ["doc_id", "section"]).withColumn("held", held_prefix(F.col("flat"), F.col("own")))
-    cut = cut.where((F.col("held") > 0) & (F.col("held") < F.length("flat") - LEAST_CHARS)).select("doc_id", "chunk", "section", "flat", "held")
-    first, rest = F.trim(F.left("flat", F.col("held"))), F.trim(F.substring("flat", F.col("held") + 1, F.length("flat")))
-    cut = cut.select("doc_id", "chunk", "section", first.alias("first"), rest.alias("rest"))
-    other = told.select("doc_id", F.col("section").alias("to"), F.col("content").alias("there"))
-    at = F.contains("there", F.left("rest", F.lit(REST_PROBE))) & (F.col("to") != F.col("section"))
-    owner = cut.join(other, "doc_id").where(at).groupBy("doc_id", "chunk").agg(F.min("to").alias("to"))  # a document's cut chunks with its sections
-    cut = cut.join(owner, ["doc_id", "chunk"], "left")
-    parts = F.array(F.struct(F.lit(0).alias("part"), F.col("section"), F.col("first").alias("content")), F.struct(F.lit(1).alias("part"), F.coalesce("to", "section").alias("section"), F.col("rest").alias("content")))
-    done = cut.select("doc_id", "chunk", F.inline(parts)).where(F.length("content") >= LEAST_CHARS).withColumn("split", F.lit(True))
-    same = rows.join(cut.select("doc_id", "chunk"), ["doc_id", "chunk"], "left_anti").select("doc_id", "chunk", F.lit(0).alias("part"), "section", "content", F.lit(False).alias("split"))
-    return same.unionByName(done)
+    rows = chunks.where(F.length("content") > 0)
+    held = rows.groupBy("doc_id").agg(F.collect_list(F.struct("chunk", "section", "content")).alias("chunks"))
+    held = held.join(told.groupBy("doc_id").agg(F.collect_list(F.struct("section", "content")).alias("told")), "doc_id", "left")
+    if edits:
+        where = near_places(rows.select("doc_id", "chunk", F.left(normal(F.col("content")), F.lit(PROBE)).alias("probe")), told, edits)
+        several = where.groupBy("doc_id", "chunk").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        held = held.join(several.groupBy("doc_id").agg(F.collect_set("chunk").alias("several")), "doc_id", "left")
+    there = lambda probe: F.array_distinct(F.transform(F.filter("told", lambda s: F.contains(s["content"], probe)), lambda s: s["section"]))
+
+    def parts(c: Column) -> Column:
+        """The chunk's parts: array<struct<chunk, part, section, content, split>>."""
+        in_several = F.array_contains("several", c["chunk"]) if edits else F.size(there(F.left(c["flat"], F.lit(PROBE)))) > 1
+        own = F.filter("told", lambda s: (s["section"] == c["section"]) & (F.length(c["flat"]) > LEAST_CHARS) & in_several)
+        ends = F.filter(F.transform(own, lambda s: held_prefix(c["flat"], s["content"])), lambda n: (n > 0) & (n < F.length(c["flat"]) - LEAST_CHARS))
+        halves = F.transform(ends, lambda n: F.struct(F.trim(F.left(c["flat"], n)).alias("first"), F.trim(F.substring(c["flat"], n + 1, F.length(c["flat"]))).alias("rest")))
+        other = lambda rest: F.array_min(F.filter(there(F.left(rest, F.lit(REST_PROBE))), lambda k: k != c["section"]))
+        part = lambda n, section, content, split: F.struct(c["chunk"].alias("chunk"), F.lit(n).alias("part"), section.alias("section"), content.alias("content"), F.lit(split).alias("split"))
+        cut = lambda h: F.array(part(0, c["section"], h["first"], True), part(1, F.coalesce(other(h["rest"]), c["section"]), h["rest"], True))
+        # bound as the only item of an array, so that it is evaluated once
+        choose = lambda found: F.when(F.size(found) > 0, F.filter(F.flatten(F.transform(found, cut)), lambda p: F.length(p["content"]) >= LEAST_CHARS)).otherwise(F.array(part(0, c["section"], c["content"], False)))
+        return F.flatten(F.transform(F.array(F.coalesce(halves, F.array().cast("array<struct<first: string, rest: string>>"))), choose))
+
+    flat = F.transform("chunks", lambda c: F.struct(c["chunk"].alias("chunk"), c["section"].alias("section"), c["content"].alias("content"), normal(c["content"]).alias("flat")))
+    return held.select("doc_id", F.inline(F.flatten(F.transform(flat, parts)))).select("doc_id", "chunk", "part", "section", "content", "split")
 
 
 def numbered_lines(documents: DataFrame, text: str = "text") -> DataFrame:

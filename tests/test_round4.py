@@ -50,3 +50,15 @@ def test_a_line_that_many_documents_share_does_not_deal_texts_to_all_cells(spark
     found = md.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), words=4)
     assert {r["doc_id"]: r["component_id"] for r in found.collect()} == near(texts)
     assert sum(dealt) <= md.DEALS * len(texts)
+
+
+def test_section_boundaries_exchanges_each_side_once(spark, folder):
+    from sextant.plans.texts import section_boundaries
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where no side is small
+    try:
+        plan = section_boundaries(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") <= 2 and "Broadcast" not in plan
