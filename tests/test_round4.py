@@ -62,3 +62,14 @@ def test_section_boundaries_exchanges_each_side_once(spark, folder):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert plan.count("Exchange hashpartitioning") <= 2 and "Broadcast" not in plan
+
+
+def test_titles_that_share_a_segment_only_are_no_rows(spark):
+    from sextant.operators.curation import title_pairs
+
+    draw = random.Random(6)
+    texts = ["in of the beginning " + "".join(draw.choices("abcdefghij", k=38)) for _ in range(60)]
+    found = title_pairs(spark.createDataFrame([*enumerate(texts), (60, texts[0][:-1]), (61, "b" + texts[1])], "k long, t string"), "k", "t", 0.9)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert any("bit_count" in x for x in plan.splitlines() if "Join Inner" in x)  # dropped where they meet
+    assert sorted((r["a"], r["b"]) for r in found.collect()) == [(0, 60), (1, 61)]
